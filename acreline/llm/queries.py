@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acreline.llm.op1_sentencepiece import encode_documents
 from acreline.llm.op2_substring import remove_repeated_words
+from acreline.llm.op8_suffix import remove_repeated_bytes
 from acreline.llm.op10_packing import pack_documents
 
 
@@ -22,9 +23,13 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring, op8_suffix, op10_packing)}
 ORACLES: dict[str, str] = {}

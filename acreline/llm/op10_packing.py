@@ -195,7 +195,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int | None = None)
     gives an empty result, and repeated rows are packed as often as they come.
     """
     spark = pieces.sparkSession
-    salts = salts or max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = salts or min(1024, max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     counted = salted.groupBy("length", "salt").count().collect()  # at most capacity x salts rows
     by_length: Counter = Counter()

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acreline.llm.op1_sentencepiece import encode_documents
 from acreline.llm.op2_substring import remove_repeated_words
+from acreline.llm.op6_winnowing import compare_with_next
 from acreline.llm.op8_suffix import remove_repeated_bytes
+from acreline.llm.op9_toxicity import toxicity
 from acreline.llm.op10_packing import pack_documents
 
 
@@ -23,13 +25,21 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(_table(spark, sf_dir, "documents"))
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring, op8_suffix, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring, op6_winnowing, op8_suffix, op9_toxicity, op10_packing)}
 ORACLES: dict[str, str] = {}

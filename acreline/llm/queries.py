@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acreline.llm.op1_sentencepiece import encode_documents
 from acreline.llm.op2_substring import remove_repeated_words
+from acreline.llm.op4_html import extract_pages
+from acreline.llm.op5_ann import search
 from acreline.llm.op6_winnowing import compare_with_next
 from acreline.llm.op8_suffix import remove_repeated_bytes
 from acreline.llm.op9_toxicity import toxicity
@@ -25,6 +27,14 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(_table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(_table(spark, sf_dir, "documents"))
 
@@ -41,5 +51,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring, op6_winnowing, op8_suffix, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring, op4_html, op5_ann, op6_winnowing, op8_suffix, op9_toxicity, op10_packing)}
 ORACLES: dict[str, str] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from acreline.llm.op1_sentencepiece import encode_documents
 from acreline.llm.op2_substring import remove_repeated_words
+from acreline.llm.op3_minhash import near_duplicate_classes
 from acreline.llm.op4_html import extract_pages
 from acreline.llm.op5_ann import search
 from acreline.llm.op6_winnowing import compare_with_next
@@ -27,6 +28,10 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(_table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -51,5 +56,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring, op4_html, op5_ann, op6_winnowing, op8_suffix, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring, op3_minhash, op4_html, op5_ann, op6_winnowing, op8_suffix, op9_toxicity, op10_packing)}
 ORACLES: dict[str, str] = {}

@@ -11,6 +11,7 @@ from acreline.llm.op3_minhash import near_duplicate_classes
 from acreline.llm.op4_html import extract_pages
 from acreline.llm.op5_ann import search
 from acreline.llm.op6_winnowing import compare_with_next
+from acreline.llm.op7_licenses import scan_documents
 from acreline.llm.op8_suffix import remove_repeated_bytes
 from acreline.llm.op9_toxicity import toxicity
 from acreline.llm.op10_packing import pack_documents
@@ -44,6 +45,10 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents"))
 
@@ -56,5 +61,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring, op3_minhash, op4_html, op5_ann, op6_winnowing, op8_suffix, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring, op3_minhash, op4_html, op5_ann, op6_winnowing, op7_licenses, op8_suffix, op9_toxicity, op10_packing)}
 ORACLES: dict[str, str] = {}

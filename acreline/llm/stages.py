@@ -4,10 +4,35 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from acreline.llm.op3_minhash import near_duplicate_classes
+from acreline.llm.op8_suffix import remove_repeated_bytes
+from acreline.llm.op9_toxicity import fit, keep_clean, sample_labelled
 from acreline.llm.op10_packing import pack_documents
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose score stays under their language's threshold."""
+    return keep_clean(docs, fit(sample_labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates: the one with the least id."""
+    classes = near_duplicate_classes(docs)
+    heads = classes.filter("doc_id = class_id or doc_id is null").select("doc_id").distinct()
+    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
+    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without what else stands in the corpus; rows stay, also those left without text."""
+    kept = remove_repeated_bytes(docs, keep_text=True).select(F.col("doc_id").alias("id"), F.col("kept").alias("text"))
+    rest = docs.drop("text", "n_chars").join(kept, F.col("doc_id").eqNullSafe(F.col("id")))
+    return rest.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences and offsets."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from acreline.llm.common import materialize
-from acreline.llm.stages import pack
+from acreline.llm.stages import near_duplicates, pack, repeated_bytes, toxicity
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("repeated_bytes", repeated_bytes),
     ("packing", pack),
 ]
 

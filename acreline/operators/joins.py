@@ -63,3 +63,10 @@ def first_priority(pairs: DataFrame, key: str, priority: str, *ties: str) -> Dat
     """The pair of least priority for each key."""
     rank = Window.partitionBy(key).orderBy(priority, *ties)
     return pairs.withColumn("__rank", F.row_number().over(rank)).filter("__rank = 1").drop("__rank")
+
+
+def first_n(rows: DataFrame, key: str, order: str, value: str, n: int) -> DataFrame:
+    """Per key the first n values by `order`, joined by commas as `first`."""
+    rank = Window.partitionBy(key).orderBy(order)
+    some = rows.select(key, order, value, F.row_number().over(rank).alias("__rank")).filter(F.col("__rank") <= n)
+    return some.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__rank", value))), lambda x: x[value]), ",").alias("first"))

@@ -3,58 +3,82 @@
 Every stretch of a given length holds an anchor chosen by its content alone (the least
 k-gram hash of the stretch), so whatever repeats has anchors that repeat. Keys (hashes of
 anchors or windows) travel as packed arrays in rows of one bucket, a bucket being a range
-of the hash; a task sums up its own keys first, so however often a key occurs, each task
+of the hash, and what is found travels back by shelf, a range of documents; a task sums up its own keys first, so however often a key occurs, each task
 sends it once. Buckets are many more than partitions and keys spread evenly over them.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acreline.llm.common import arrow_slices, sliding, text_bytes, texts
 
 #: Keys that a task gathers before it sends them.
 FLUSH = 400_000
-#: A place is copy << COPY | start; copy tells rows with one id apart.
-COPY = 40
-START = (1 << COPY) - 1
+#: A place is tag << TAG | start; the tag, a checksum of the text, tells rows with one id apart.
+TAG = 40
+START = (1 << TAG) - 1
+TAGS = (1 << 22) - 1
 HOT = np.int64(1 << 62)
 SENT = "bucket int, known boolean, keys binary, docs binary, places binary, counts binary"
-FOUND = "doc long, places binary"
+FOUND = "shelf int, docs binary, places binary"
+SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("counts", pa.binary())])
+NO_ID = -(1 << 63)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(key, copy, doc_id, text), dealt by key: null ids as the least one, rows of one id numbered by their text.
+def buckets_of(df: DataFrame) -> int:
+    """Buckets of keys and shelves of documents: they grow with the partitions, so one stays small."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def shelved(docs: DataFrame) -> DataFrame:
+    """(shelf, key, doc_id, text) dealt by shelf, a checksum of the id; the key is the id, null ids the least one.
 
     The exchange is the same wherever this is used, so Spark runs it once for all passes.
     """
-    rows = texts(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("key"), "doc_id", "text").repartition("key")
-    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("key").orderBy("text")).cast("long") - 1)
+    rows = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("key"), "doc_id", "text")
+    shelf = (F.crc32(F.col("key").cast("string")) % buckets_of(docs)).cast("int")
+    return rows.select(shelf.alias("shelf"), "key", "doc_id", "text").repartition("shelf")
 
 
-def buckets_of(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+class Slice:
+    """Some rows: their bytes, offsets, keys and places without a start."""
 
+    def __init__(self, part: pa.RecordBatch) -> None:
+        self.part = part
+        self.data, self.offsets = text_bytes(part.column("text"))
+        self.keys = part.column("key").to_numpy()
+        raw = self.data.tobytes()
+        o = self.offsets.tolist()
+        self.tags = np.array([zlib.crc32(raw[a:b]) & TAGS for a, b in zip(o[:-1], o[1:], strict=True)], np.int64) << TAG
+        self.raw = raw
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """(bytes, offsets, keys, copies, batch) of bounded slices."""
-    for part in arrow_slices(batches):
-        data, offsets = text_bytes(part.column("text"))
-        yield data, offsets, part.column("key").to_numpy(), part.column("copy").to_numpy(), part
+    def __len__(self) -> int:
+        return self.part.num_rows
 
 
-def marked(part: pa.RecordBatch, row: int, copy: int) -> np.ndarray:
-    """Places that were found for this row, without the copy; HOT stays."""
-    cell = part.column("found")[row]
-    if not cell.is_valid:
-        return np.zeros(0, np.int64)
-    got = np.frombuffer(b"".join(cell.as_py()), np.int64)
-    return got[((got & ~HOT) >> COPY) == copy] & (HOT | START)
+class Places:
+    """Places found for the documents of a shelf; width: how many numbers one takes."""
+
+    def __init__(self, table: pa.Table, width: int = 1) -> None:
+        cat = lambda c: np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64)
+        docs, places = cat("docs"), cat("places").reshape(-1, width)
+        order = np.argsort(docs, kind="stable")
+        self.docs, self.places = docs[order], places[order]
+
+    def of(self, rows: Slice, i: int) -> np.ndarray:
+        a, b = np.searchsorted(self.docs, rows.keys[i], "left"), np.searchsorted(self.docs, rows.keys[i], "right")
+        got = self.places[a:b]
+        first = got[:, 0]
+        got = got[((first & ~HOT) >> TAG) == rows.tags[i] >> TAG].copy()
+        got[:, 0] &= HOT | START
+        return got
 
 
 class Sender:
@@ -67,7 +91,8 @@ class Sender:
         self.turn = 0
 
     def add(self, keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((keys, docs, places))
+        if len(keys):
+            self.held.append((keys, docs, places))
         self.n += len(keys)
         if self.n >= FLUSH:
             yield from self.flush()
@@ -103,34 +128,39 @@ class Sender:
             i = order[at[b] : at[b + 1]]
             rows.append((int(b), False, keys[i].tobytes(), docs[i].tobytes(), places[i].tobytes(), counts[i].astype(np.int32).tobytes()))
         cols = list(zip(*rows, strict=True))
-        kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "known", "keys", "docs", "places", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SENT_SCHEMA, strict=True)], schema=SENT_SCHEMA)
 
 
-def sender(make: Callable, buckets: int, later: bool) -> Callable:
-    """A mapInArrow function: make(data, offsets, keys, copies, part) gives (key, doc, place) arrays of a slice."""
+def sender(make: Callable, buckets: int) -> Callable:
+    """A mapInArrow function that sends what make(slice) gives: (key, doc, place) arrays."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sender(buckets, later)
-        for args in slices(batches):
-            keys, docs, places = make(*args)
-            if len(keys):
-                yield from out.add(keys, docs, places)
+        out = Sender(buckets, False)
+        for part in arrow_slices(batches):
+            yield from out.add(*make(Slice(part)))
         yield from out.flush()
 
     return work
 
 
-def by_document(docs: np.ndarray, places: np.ndarray) -> pa.Table:
-    order = np.argsort(docs, kind="stable")
-    docs, places = docs[order], places[order]
-    first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-    ends = np.append(first[1:], len(docs))[: len(first)]
-    return pa.table({"doc": pa.array(docs[first], pa.int64()), "places": pa.array([places[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())})
+def shelf_slices(table: pa.Table) -> Iterator[Slice]:
+    for part in arrow_slices(iter(table.combine_chunks().to_batches())):
+        yield Slice(part)
+
+
+def on_shelves(docs: np.ndarray, places: np.ndarray, shelves: int) -> pa.Table:
+    """Places packed by the shelf of their document; places may be rows of several numbers."""
+    ids, back = np.unique(docs, return_inverse=True)
+    shelf = np.array([zlib.crc32(b"%d" % k) % shelves for k in ids.tolist()], np.int64)[back] if len(ids) else np.zeros(0, np.int64)
+    order = np.argsort(shelf, kind="stable")
+    docs, places, shelf = docs[order], places[order], shelf[order]
+    first = np.flatnonzero(np.concatenate([[True], shelf[1:] != shelf[:-1]])) if len(docs) else np.zeros(0, np.int64)
+    cut = list(zip(first.tolist(), np.append(first[1:], len(docs)).tolist(), strict=False))
+    return pa.table({"shelf": pa.array(shelf[first], pa.int32()), "docs": pa.array([docs[a:b].tobytes() for a, b in cut], pa.binary()), "places": pa.array([places[a:b].tobytes() for a, b in cut], pa.binary())})
 
 
-def settle(sent: DataFrame, later: bool, hot: int | None = None) -> DataFrame:
-    """Per document the places whose key occurs more than once (later: those that aren't the key's first place).
+def settle(sent: DataFrame, shelves: int, later: bool, hot: int | None = None) -> DataFrame:
+    """The places whose key occurs more than once (later: those that aren't the key's first place), by shelf.
 
     With `hot`, places of keys that occur more often than that carry the HOT bit.
     """
@@ -152,15 +182,14 @@ def settle(sent: DataFrame, later: bool, hot: int | None = None) -> DataFrame:
             keep = (total > 1) & (places >= 0)
             if hot is not None:
                 places = np.where(total > hot, places | HOT, places)
-        return by_document(np.concatenate([docs[keep], cat("docs", known, np.int64)]), np.concatenate([places[keep], cat("places", known, np.int64)]))
+        return on_shelves(np.concatenate([docs[keep], cat("docs", known, np.int64)]), np.concatenate([places[keep], cat("places", known, np.int64)]), shelves)
 
     return sent.groupBy("bucket").applyInArrow(group, FOUND)
 
 
-def beside(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """rows with the places found for each, as `found`: array<binary>."""
-    lists = found.groupBy("doc").agg(F.collect_list("places").alias("found"))
-    return rows.join(lists, rows["key"] == lists["doc"], how).select("key", "copy", "doc_id", "text", "found")
+def with_found(rows: DataFrame, found: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], kind: str) -> DataFrame:
+    """work(rows of a shelf, places found for them) for each shelf."""
+    return rows.groupBy("shelf").cogroup(found.groupBy("shelf")).applyInArrow(work, kind)
 
 
 def cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:

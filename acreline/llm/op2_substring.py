@@ -7,85 +7,91 @@
 3. Per document, repeated windows merge into maximal intervals, and their words go.
 
 The documents are dealt by id once and read by all three passes. Rows without an id count
-as the smallest one; rows of one id stand in the order of their texts; null and short
+as the smallest one; rows of one id stand in the order of a checksum of their texts, of
+identical rows one is the first; null and short
 texts (under a window) lose nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from acreline.llm.anchors import COPY, SENT, START, beside, buckets_of, cover, least_of, marked, numbered, sender, settle, slices
-from acreline.llm.common import minimizers, rolling, prefix_sums, word_hashes
+from acreline.llm.anchors import SENT, SENT_SCHEMA, START, Places, Sender, Slice, buckets_of, cover, least_of, sender, settle, shelf_slices, shelved, with_found
+from acreline.llm.common import minimizers, prefix_sums, rolling, word_hashes
 
 WINDOW = 20
 GRAM = 8
 
 
-def _places(doc: int, copy: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.full(len(starts), doc, np.int64), starts + (copy << COPY)
+def gather(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else none
 
 
-def anchor_maker(window: int, gram: int):
-    def make(data, offsets, keys, copies, part):
-        hashes, _, _, first = word_hashes(data, offsets)
-        sums = prefix_sums(hashes)
-        grams = rolling(sums, gram)
-        out = []
-        for i, (doc, copy) in enumerate(zip(keys.tolist(), copies.tolist(), strict=True)):
-            own = grams[first[i] : max(first[i], first[i + 1] - gram + 1)]
-            at = minimizers(own, window - gram + 1)
-            if len(at):
-                out.append((own[at], *_places(doc, copy, at)))
-        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else ([], [], [])
-
-    return make
+def _grams(rows: Slice, gram: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(prefix sums of word hashes, first word of each row, each row's own gram hashes)."""
+    hashes, _, _, first = word_hashes(rows.data, rows.offsets)
+    sums = prefix_sums(hashes)
+    grams = rolling(sums, gram)
+    return sums, first, [grams[a : max(a, b - gram + 1)] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
-def window_maker(window: int, gram: int):
-    def make(data, offsets, keys, copies, part):
-        hashes, _, _, first = word_hashes(data, offsets)
-        sums = prefix_sums(hashes)
-        grams, windows = rolling(sums, gram), rolling(sums, window)
+def anchors_of(window: int, gram: int):
+    def make(rows: Slice):
         out = []
-        for i, (doc, copy) in enumerate(zip(keys.tolist(), copies.tolist(), strict=True)):
-            own = grams[first[i] : max(first[i], first[i + 1] - gram + 1)]
-            at = np.flatnonzero(least_of(own, marked(part, i, copy) & START, window - gram + 1))
+        for i, own in enumerate(_grams(rows, gram)[2]):
+            at = minimizers(own, window - gram + 1)
             if len(at):
-                out.append((windows[first[i] + at], *_places(doc, copy, at)))
-        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else ([], [], [])
+                out.append((own[at], np.full(len(at), rows.keys[i]), at + rows.tags[i]))
+        return gather(out)
 
     return make
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(numbered documents, places of all windows that aren't the first of their words)."""
-    rows = numbered(docs)
-    n = buckets_of(docs)
-    anchors = settle(rows.select("key", "copy", "doc_id", "text").mapInArrow(sender(anchor_maker(window, gram), n, False), SENT), False)
-    near = beside(rows, anchors, "inner")
-    return rows, settle(near.mapInArrow(sender(window_maker(window, gram), n, True), SENT), True)
+def windows_on(window: int, gram: int, buckets: int):
+    """Of a shelf, the windows whose least gram is a repeated anchor; identical rows send theirs once."""
+
+    def work(docs: pa.Table, found: pa.Table) -> pa.Table:
+        places, out, seen = Places(found), Sender(buckets, True), set()
+        batches = []
+        for rows in shelf_slices(docs):
+            sums, first, grams = _grams(rows, gram)
+            windows = rolling(sums, window)
+            for i, own in enumerate(grams):
+                row = (int(rows.keys[i]), int(rows.tags[i]))
+                if row in seen:
+                    continue
+                seen.add(row)
+                at = np.flatnonzero(least_of(own, places.of(rows, i)[:, 0] & START, window - gram + 1))
+                if len(at):
+                    batches += out.add(windows[first[i] + at], np.full(len(at), rows.keys[i]), at + rows.tags[i])
+        batches += out.flush()
+        return pa.Table.from_batches(batches, SENT_SCHEMA)
+
+    return work
 
 
 def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row; with keep_text also the kept words and removed intervals."""
-    rows, found = repeated_windows(docs, window, gram)
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, removed array<struct<start:int,end:int>>" * keep_text
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, copies, part in slices(batches):
-            total, gone, digest, kept, spans = [], [], [], [], []
-            for i, text in enumerate(part.column("text").to_pylist()):
-                words = text.encode().split()
-                at = marked(part, i, int(copies[i])) & START
+    def work(docs: pa.Table, found: pa.Table) -> pa.Table:
+        places, seen = Places(found), set()
+        ids, total, gone, digest, kept, spans = [], [], [], [], [], []
+        for rows in shelf_slices(docs):
+            ids += rows.part.column("doc_id").to_pylist()
+            for i, (a, b) in enumerate(zip(rows.offsets[:-1].tolist(), rows.offsets[1:].tolist(), strict=True)):
+                words = rows.raw[a:b].split()
                 n = len(words)
+                row = (int(rows.keys[i]), int(rows.tags[i]))
+                at = np.arange(n - window + 1) if row in seen else places.of(rows, i)[:, 0] & START
+                seen.add(row)
+                covered = cover(at, window, n) if len(at) else np.zeros(n, bool)
                 if len(at):
-                    covered = cover(at, window, n)
                     words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
                 joined = b" ".join(words)
                 total.append(n)
@@ -93,11 +99,13 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRA
                 digest.append(hashlib.sha256(joined).hexdigest())
                 if keep_text:
                     kept.append(joined.decode())
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))) if len(at) else np.zeros(0, np.int64)
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
                     spans.append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
-            cols = {"doc_id": part.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
-            if keep_text:
-                cols |= {"kept": pa.array(kept, pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
-            yield pa.RecordBatch.from_pydict(cols)
-
-    return beside(rows, found, "left").mapInArrow(work, kind)
+        cols = {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+        if keep_text:
+            cols |= {"kept": pa.array(kept, pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
+        return pa.table(cols)
+
+    rows, n = shelved(docs), buckets_of(docs)
+    anchors = settle(rows.mapInArrow(sender(anchors_of(window, gram), n), SENT), n, False)
+    return with_found(rows, settle(with_found(rows, anchors, windows_on(window, gram, n), SENT), n, True), work, kind)

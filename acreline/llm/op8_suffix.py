@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from acreline.llm.anchors import COPY, FLUSH, HOT, SENT, START, Sender, beside, buckets_of, by_document, marked, numbered, sender, settle, slices
+from acreline.llm.anchors import FOUND, HOT, SENT, SENT_SCHEMA, START, Places, Sender, Slice, buckets_of, on_shelves, sender, settle, shelf_slices, shelved, with_found
 from acreline.llm.common import byte_values, minimizers, prefix_sums, rolling, sliding
+from acreline.llm.op2_substring import gather
 
 WIDTH = 200
 GRAM = 40
@@ -34,7 +35,7 @@ HOT_ANCHOR = 1_000
 #: Window starts that one suffix sort takes, unless one anchor has more.
 BLOCK = 200_000
 MOVED = SENT + ", lengths binary, texts binary"
-_PAIR = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("lengths", pa.binary()), ("texts", pa.binary())])
+_PAIR = pa.schema([*SENT_SCHEMA, ("lengths", pa.binary()), ("texts", pa.binary())])
 
 
 def two_stage_sort(text: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -122,16 +123,16 @@ def repeated_starts(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     return [np.flatnonzero(hit[a : a + n]) for a, n in zip(base[:-1].tolist(), per.tolist(), strict=True)]
 
 
-def anchor_maker(width: int, gram: int):
-    def make(data, offsets, keys, copies, part):
-        grams = rolling(prefix_sums(byte_values(data)), gram)
+def anchors_of(width: int, gram: int):
+    def make(rows: Slice):
+        grams = rolling(prefix_sums(byte_values(rows.data)), gram)
         out = []
-        for i, (doc, copy) in enumerate(zip(keys.tolist(), copies.tolist(), strict=True)):
-            own = grams[offsets[i] : max(offsets[i], offsets[i + 1] - gram + 1)]
+        for i, (a, b) in enumerate(zip(rows.offsets[:-1].tolist(), rows.offsets[1:].tolist(), strict=True)):
+            own = grams[a : max(a, b - gram + 1)]
             at = minimizers(own, width - gram + 1)
             if len(at):
-                out.append((own[at], np.full(len(at), doc, np.int64), at + (copy << COPY)))
-        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else ([], [], [])
+                out.append((own[at], np.full(len(at), rows.keys[i]), at + rows.tags[i]))
+        return gather(out)
 
     return make
 
@@ -150,58 +151,51 @@ def _segment_rows(held: dict, buckets: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PAIR, strict=True)], schema=_PAIR)
 
 
-def window_sender(width: int, gram: int, buckets: int):
-    """Of documents with repeated anchors: segments, and for hot anchors window hashes."""
+def windows_on(width: int, gram: int, buckets: int):
+    """Of a shelf, what rests on repeated anchors: segments, and for hot anchors window hashes."""
 
     def wide(batch: pa.RecordBatch) -> pa.RecordBatch:
         none = pa.nulls(batch.num_rows, pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns, none, none], schema=_PAIR)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Sender(buckets, False), {}, 0
+    def work(docs: pa.Table, found: pa.Table) -> pa.Table:
+        places, hashes, held, batches = Places(found), Sender(buckets, False), {}, []
         top = np.iinfo(np.uint64).max
-        for data, offsets, keys, copies, part in slices(batches):
-            sums = prefix_sums(byte_values(data))
+        for rows in shelf_slices(docs):
+            sums = prefix_sums(byte_values(rows.data))
             grams, windows = rolling(sums, gram), rolling(sums, width)
-            raw = data.tobytes()
-            for i, (doc, copy) in enumerate(zip(keys.tolist(), copies.tolist(), strict=True)):
-                base = int(offsets[i])
-                own = grams[base : max(base, offsets[i + 1] - gram + 1)]
-                found = marked(part, i, copy)
+            for i, (base, end) in enumerate(zip(rows.offsets[:-1].tolist(), rows.offsets[1:].tolist(), strict=True)):
+                got = places.of(rows, i)[:, 0]
+                if not len(got):
+                    continue
+                own = grams[base : max(base, end - gram + 1)]
+                at, doc, tag = got & START, int(rows.keys[i]), int(rows.tags[i])
                 low = sliding(own, width - gram + 1, np.minimum)
                 shown = np.full(len(own), top, np.uint64)
-                places = found & START
-                shown[places] = own[places]
+                shown[at] = own[at]
                 repeated = sliding(shown, width - gram + 1, np.minimum) == low
-                hot = np.unique(own[places[(found & HOT) != 0]])
+                hot = np.unique(own[at[(got & HOT) != 0]])
                 if len(hot):
                     is_hot = repeated & np.isin(low, hot)
                     at = np.flatnonzero(is_hot)
-                    for batch in hashes.add(windows[base + at], np.full(len(at), doc, np.int64), at + (copy << COPY)):
-                        yield wide(batch)
+                    batches += map(wide, hashes.add(windows[base + at], np.full(len(at), doc, np.int64), at + tag))
                     repeated &= ~is_hot
                 at = np.flatnonzero(repeated)
                 if not len(at):
                     continue
                 cut = np.flatnonzero((np.diff(at) != 1) | (low[at[1:]] != low[at[:-1]])) + 1
                 for a, b in zip(at[np.append(0, cut)].tolist(), at[np.append(cut - 1, len(at) - 1)].tolist(), strict=True):
-                    text = raw[base + a : base + b + width]
-                    known = held.setdefault((int(low[a]), text), [])
-                    size += 16 if known else len(text) + 150
-                    known.append((doc, a + (copy << COPY)))
-            if size > 40 * FLUSH:
-                yield from _segment_rows(held, buckets)
-                held, size = {}, 0
-        for batch in hashes.flush():
-            yield wide(batch)
+                    held.setdefault((int(low[a]), rows.raw[base + a : base + b + width]), []).append((doc, a + tag))
+        batches += map(wide, hashes.flush())
         if held:
-            yield from _segment_rows(held, buckets)
+            batches += _segment_rows(held, buckets)
+        return pa.Table.from_batches(batches, _PAIR)
 
     return work
 
 
-def settle_windows(moved: DataFrame, width: int) -> DataFrame:
-    """Per document (place, bytes) pairs of int64: the runs of bytes that repeated windows cover."""
+def settle_windows(moved: DataFrame, shelves: int, width: int) -> DataFrame:
+    """(place, bytes) pairs of int64 by shelf: the runs of bytes that repeated windows cover."""
 
     def group(table: pa.Table) -> pa.Table:
         cols = {c: table.column(c).to_pylist() for c in table.column_names}
@@ -256,34 +250,9 @@ def settle_windows(moved: DataFrame, width: int) -> DataFrame:
         places.append(np.array(out_p, np.int64))
         widths.append(np.array(out_w, np.int64))
         docs, places, widths = np.concatenate(docs), np.concatenate(places), np.concatenate(widths)
-        return by_document(docs, np.stack([places, widths], axis=1))
-
-    return moved.groupBy("bucket").applyInArrow(group, "doc long, places binary")
-
-
-def repeated_bytes(part: pa.RecordBatch, row: int, copy: int, n: int) -> np.ndarray | None:
-    """For each of a row's n bytes whether it is in a repeat; None if none is."""
-    cell = part.column("found")[row]
-    if not cell.is_valid:
-        return None
-    pairs = np.frombuffer(b"".join(cell.as_py()), np.int64).reshape(-1, 2)
-    pairs = pairs[(pairs[:, 0] >> COPY) == copy]
-    if not len(pairs):
-        return None
-    edge = np.zeros(n + 1, np.int32)
-    start = pairs[:, 0] & START
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + pairs[:, 1], -1)
-    return np.cumsum(edge[:-1]) > 0
+        return on_shelves(docs, np.stack([places, widths], axis=1), shelves)
 
-
-def with_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT_ANCHOR) -> DataFrame:
-    """key, copy, doc_id, text and `found`, the repeated runs of each text."""
-    rows = numbered(docs)
-    n = buckets_of(docs)
-    anchors = settle(rows.select("key", "copy", "doc_id", "text").mapInArrow(sender(anchor_maker(width, gram), n, False), SENT), False, hot)
-    moved = beside(rows, anchors, "inner").mapInArrow(window_sender(width, gram, n), MOVED)
-    return beside(rows, settle_windows(moved, width), "left")
+    return moved.groupBy("bucket").applyInArrow(group, FOUND)
 
 
 def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT_ANCHOR, keep_text: bool = False) -> DataFrame:
@@ -293,25 +262,28 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     """
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, offsets, _, copies, part in slices(batches):
-            rows, kept = [], []
-            for i in range(part.num_rows):
-                own = data[offsets[i] : offsets[i + 1]]
-                gone = repeated_bytes(part, i, int(copies[i]), len(own))
-                if gone is None:
-                    rows.append((len(own), 0, 0, hashlib.sha256(own).hexdigest()))
-                    left = own
-                else:
-                    spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                    rows.append((len(own), int(gone.sum()), spans, hashlib.sha256(own[~gone]).hexdigest()))
-                    if keep_text:
-                        char = np.cumsum((own & 0xC0) != 0x80) - 1
-                        left = own[~(np.bincount(char, weights=gone) > 0)[char]]
+    def work(docs: pa.Table, found: pa.Table) -> pa.Table:
+        places = Places(found, 2)
+        ids, out, kept = [], [], []
+        for rows in shelf_slices(docs):
+            ids += rows.part.column("doc_id").to_pylist()
+            for i, (a, b) in enumerate(zip(rows.offsets[:-1].tolist(), rows.offsets[1:].tolist(), strict=True)):
+                own, runs = rows.data[a:b], places.of(rows, i)
+                edge = np.zeros(len(own) + 1, np.int32)
+                np.add.at(edge, runs[:, 0], 1)
+                np.add.at(edge, runs[:, 0] + runs[:, 1], -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                spans = int(gone[:1].sum()) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+                out.append((len(own), int(gone.sum()), spans, hashlib.sha256(own[~gone]).hexdigest()))
                 if keep_text:
+                    char = np.cumsum((own & 0xC0) != 0x80) - 1
+                    left = own[~(np.bincount(char, weights=gone) > 0)[char]] if len(runs) else own
                     kept.append(left.tobytes().decode())
-            cols = list(zip(*rows, strict=True))
-            arrays = [part.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.string())] * keep_text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
-
-    return with_repeats(docs, width, gram, hot).mapInArrow(work, kind)
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        table = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "n_spans": pa.array(cols[2], pa.int64()), "kept_sha256": pa.array(cols[3], pa.string())}
+        return pa.table(table | ({"kept": pa.array(kept, pa.string())} if keep_text else {}))
+
+    rows, n = shelved(docs), buckets_of(docs)
+    anchors = settle(rows.mapInArrow(sender(anchors_of(width, gram), n), SENT), n, False, hot)
+    moved = with_found(rows, anchors, windows_on(width, gram, n), MOVED)
+    return with_found(rows, settle_windows(moved, n, width), work, kind)

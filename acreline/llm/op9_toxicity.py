@@ -18,6 +18,7 @@ the share of label 1 (0.5 without any labels).
 from __future__ import annotations
 
 import dataclasses
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -199,15 +200,22 @@ def calibrate(model: Model, rows: list[tuple[str, int, str | None]]) -> None:
         model.thresholds[lang] = float(s[i] - gap[i] / 2)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, int, str | None]]:
-    """At most `sample_rows` (text, toxic, lang) rows that learning may use: crc32 of the id modulo 4 isn't 2."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Fit, in one task, on at most `sample_rows` labelled rows that learning may use: crc32 of the id modulo 4 isn't 2."""
     marks = plain(labels, ["doc_id", "toxic"]).filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 4 <> 2")
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
     names = ["doc_id", "text"] + ["lang"] * ("lang" in docs.columns)
     found = plain(docs, names).join(F.broadcast(chosen), "doc_id")  # at most sample_rows rows of two integers
-    rows = found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int"), (F.col("lang") if "lang" in names else F.lit(None).cast("string")).alias("lang"))
+    rows = found.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int"), (F.col("lang") if "lang" in names else F.lit(None).cast("string")).alias("lang"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "toxic", "lang")], strict=True)]
+        rows.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % (1 << 64), r[1], r[2]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1:] for r in rows]))], pa.binary())], names=["model"])
+
     # repeated ids could bring more rows than were chosen
-    return [(r.text, int(r.toxic), r.lang) for r in sorted(rows.limit(2 * sample_rows).collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % (1 << 64), r.text))]
+    made = rows.limit(2 * sample_rows).repartition(1).mapInArrow(work, "model binary").collect()
+    return pickle.loads(bytes(made[0].model)) if made else fit([])
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -244,6 +252,6 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from CUT on) of each row."""
-    scored = score_documents(docs, fit(sample_labelled(docs, labels, sample_rows)))
+    scored = score_documents(docs, learn(docs, labels, sample_rows))
     held_out = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from acreline.llm.op3_minhash import near_duplicate_classes
 from acreline.llm.op8_suffix import remove_repeated_bytes
-from acreline.llm.op9_toxicity import fit, keep_clean, sample_labelled
+from acreline.llm.op9_toxicity import keep_clean, learn
 from acreline.llm.op10_packing import pack_documents
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows whose score stays under their language's threshold."""
-    return keep_clean(docs, fit(sample_labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+    return keep_clean(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ props AS (
     o_orderkey % 11 <> 0 AS route_active,
     CAST(1950 + (o_orderkey * 37) % 51 AS INTEGER) AS year_built,
     CAST(800 + (o_orderkey * 53) % 3000 AS DOUBLE) AS sqft, CAST(2000 + (o_orderkey * 97) % 20000 AS DOUBLE) AS lot_size,
-    o_custkey % 50 AS owner_id
+    o_custkey % 50 AS owner_id, o_custkey AS cust_id
   FROM orders),
 logs AS (
   SELECT event_id, user_id AS rep, ts, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k,
@@ -89,7 +89,7 @@ class Tables:
             pick(k % 4, ["DEED", "MLS", "DEED_CONFIRMED"], "CORPORATE").alias("sale_type"),
             pick(k % 7, ["Single Family", "Condo", "Townhouse", "Multi-Family", "Commercial", "Vacant Land"]).alias("property_type"),
             (k % 11 != 0).alias("route_active"), (1950 + (k * 37) % 51).cast("int").alias("year_built"),
-            (800 + (k * 53) % 3000).cast("double").alias("sqft"), (2000 + (k * 97) % 20000).cast("double").alias("lot_size"), (c % 50).alias("owner_id"),
+            (800 + (k * 53) % 3000).cast("double").alias("sqft"), (2000 + (k * 97) % 20000).cast("double").alias("lot_size"), (c % 50).alias("owner_id"), c.alias("cust_id"),
         )
 
     @cached_property

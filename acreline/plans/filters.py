@@ -68,9 +68,9 @@ simple("c09_verified_only", "confidence IN ('verified', 'high')")
 simple("c10_placed", "(abs(lat) >= 1e-4 OR abs(lng) >= 1e-4) AND NOT isnan(lat) AND NOT isnan(lng)")
 
 
-@query("c11_territory_or_on_route", "SELECT id FROM props WHERE zip_code IN ('29601', '29602') OR address_hash IN (SELECT address_hash FROM stops WHERE route_id < 100)")
+@query("c11_territory_or_on_route", "SELECT id FROM props WHERE zip_code IN ('29601', '29602') OR address_hash IN (SELECT address_hash FROM stops)")
 def c11(t: Tables) -> DataFrame:
-    assigned = t.stops.filter("route_id < 100").select("address_hash").distinct().withColumn("on_route", F.lit(True))
+    assigned = t.stops.select("address_hash").distinct().withColumn("on_route", F.lit(True))
     return t.props.join(assigned, "address_hash", "left").filter(F.col("zip_code").isin("29601", "29602") | F.col("on_route").isNotNull()).select("id")
 
 

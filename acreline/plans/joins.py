@@ -25,10 +25,10 @@ def d01(t: Tables) -> DataFrame:
 
 
 @query("d02_zip_coordinates", """WITH zips AS (SELECT zip_code, avg(lat) AS zlat FROM props WHERE id % 2 = 0 AND zip_code < '29620' GROUP BY zip_code)
-SELECT p.id, round(coalesce(z.zlat, p.lat), 6) AS lat FROM props p LEFT JOIN zips z USING (zip_code) WHERE p.id < 5000""")
+SELECT p.id, round(coalesce(z.zlat, p.lat), 6) AS lat FROM props p LEFT JOIN zips z USING (zip_code)""")
 def d02(t: Tables) -> DataFrame:
     zips = t.props.filter("id % 2 = 0 AND zip_code < '29620'").groupBy("zip_code").agg(F.avg("lat").alias("zlat"))
-    return t.props.filter("id < 5000").join(zips, "zip_code", "left").select("id", F.round(F.coalesce("zlat", "lat"), 6).alias("lat"))
+    return t.props.join(zips, "zip_code", "left").select("id", F.round(F.coalesce("zlat", "lat"), 6).alias("lat"))
 
 
 @query("d03_alias_join", f"SELECT l.event_id, p.id FROM {ALIAS_SQL}")
@@ -36,9 +36,9 @@ def d03(t: Tables) -> DataFrame:
     return joins.alias_join(t.logs, t.props.select("id", "address_hash", "legacy_hash")).select("event_id", "id")
 
 
-@query("d04_request_order", "SELECT s.route_id, s.pos, p.zip_code FROM stops s JOIN props p USING (address_hash) WHERE s.route_id < 500")
+@query("d04_request_order", "SELECT s.route_id, s.pos, p.zip_code FROM stops s JOIN props p USING (address_hash)")
 def d04(t: Tables) -> DataFrame:
-    return joins.in_order(t.stops.filter("route_id < 500"), t.props.select("address_hash", "zip_code"), "address_hash").select("route_id", "pos", "zip_code")
+    return joins.in_order(t.stops, t.props.select("address_hash", "zip_code"), "address_hash").select("route_id", "pos", "zip_code")
 
 
 @query("d05_fallback_lookup", """SELECT k.address_hash, CASE WHEN p.owner_id = 7 THEN 0 WHEN p.id < 1000 THEN 1 ELSE 2 END AS tier
@@ -82,10 +82,10 @@ def d10(t: Tables) -> DataFrame:
     return t.listings.join(t.listings.filter("last_seen < timestamp'1999-01-01'").select("id"), "id", "left_anti").select("id")
 
 
-@query("d11_knocked_flag", "SELECT id, address_hash IN (SELECT address_hash FROM logs) AS knocked FROM props WHERE id < 3000")
+@query("d11_knocked_flag", "SELECT id, address_hash IN (SELECT address_hash FROM logs) AS knocked FROM props")
 def d11(t: Tables) -> DataFrame:
     knocked = t.logs.select("address_hash").distinct().withColumn("seen", F.lit(True))
-    return t.props.filter("id < 3000").join(knocked, "address_hash", "left").select("id", F.col("seen").isNotNull().alias("knocked"))
+    return t.props.join(knocked, "address_hash", "left").select("id", F.col("seen").isNotNull().alias("knocked"))
 
 
 @query("d12_verification_result", """SELECT p.id, CASE WHEN v.status = 'SOLD' THEN 'verified' WHEN v.status IS NULL THEN p.confidence ELSE 'low' END AS confidence
@@ -97,12 +97,12 @@ def d12(t: Tables) -> DataFrame:
 
 @query("d13_heat_join", """WITH cells AS (SELECT id, CAST(floor(lat / 0.004e0) AS BIGINT) AS r, CAST(floor(lng / 0.004e0) AS BIGINT) AS c, status FROM props),
 rings(a, b) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1))
-SELECT p.id, count(*) AS n_sales FROM cells p, rings JOIN cells s ON s.status = 'SOLD' AND s.r = p.r + a AND s.c = p.c + b WHERE p.id < 2000 GROUP BY p.id""")
+SELECT p.id, count(*) AS n_sales FROM cells p, rings JOIN cells s ON s.status = 'SOLD' AND s.r = p.r + a AND s.c = p.c + b GROUP BY p.id""")
 def d13(t: Tables) -> DataFrame:
     row, col = geo.cell(F.col("lat"), F.col("lng"))
     # sales are summed per cell first, so a crowded cell is one row
     sold = t.props.filter("status = 'SOLD'").groupBy(F.struct(row.alias("r"), col.alias("c")).alias("cell")).agg(F.count("*").alias("n"))
-    around = t.props.filter("id < 2000").select("id", F.explode(geo.ring(row, col)).alias("cell"))
+    around = t.props.select("id", F.explode(geo.ring(row, col)).alias("cell"))
     return around.join(sold, "cell").groupBy("id").agg(F.sum("n").alias("n_sales"))
 
 
@@ -161,9 +161,9 @@ def d20(t: Tables) -> DataFrame:
     return t.logs.join(named, "route_id", "left").select("event_id", F.coalesce("name", F.concat(F.lit("Route "), "route_id")).alias("route"))
 
 
-@query("d21_routes_of_logs", "SELECT l.event_id, s.route_id AS saved_route FROM logs l JOIN stops s USING (address_hash) WHERE s.route_id < 200")
+@query("d21_routes_of_logs", "SELECT l.event_id, s.route_id AS saved_route FROM logs l JOIN stops s USING (address_hash)")
 def d21(t: Tables) -> DataFrame:
-    saved = t.stops.filter("route_id < 200").groupBy("route_id").agg(F.collect_list("address_hash").alias("hashes"))
+    saved = t.stops.groupBy("route_id").agg(F.collect_list("address_hash").alias("hashes"))
     members = saved.select(F.col("route_id").alias("saved_route"), F.explode("hashes").alias("address_hash"))
     return t.logs.join(members, "address_hash").select("event_id", "saved_route")
 
@@ -179,11 +179,11 @@ def d22(t: Tables) -> DataFrame:
 
 
 @query("d24_fuzzy_address", """SELECT s.route_id, s.pos, p.id FROM stops s JOIN (SELECT house_number, street_name, arg_max(id, (sold_date, id)) AS id FROM props WHERE sold_date IS NOT NULL GROUP BY 1, 2) p
-ON p.house_number = 1 + (s.pid * 7919) % 400 AND p.street_name LIKE 'Maple ' || (s.pid % 61) || ' %' WHERE s.route_id < 50""")
+ON p.house_number = 1 + (s.pid * 7919) % 400 AND p.street_name LIKE 'Maple ' || (s.pid % 61) || ' %'""")
 def d24(t: Tables) -> DataFrame:
     last = t.props.filter("sold_date IS NOT NULL").groupBy("house_number", "street_name").agg(F.max_by("id", F.struct("sold_date", "id")).alias("id"))
     keyed = last.withColumn("street_no", F.regexp_extract("street_name", r"(\d+)", 1).cast("long"))
-    asked = t.stops.filter("route_id < 50").select("route_id", "pos", (1 + (F.col("pid") * 7919) % 400).cast("int").alias("house_number"), (F.col("pid") % 61).alias("street_no"))
+    asked = t.stops.select("route_id", "pos", (1 + (F.col("pid") * 7919) % 400).cast("int").alias("house_number"), (F.col("pid") % 61).alias("street_no"))
     return asked.join(keyed, ["house_number", "street_no"]).select("route_id", "pos", "id")
 
 
@@ -202,10 +202,10 @@ def d26(t: Tables) -> DataFrame:
     return per.select("owner_id", F.array_join(F.array_sort(both), ",").alias("zips")).filter("zips <> ''")
 
 
-@query("d27_referrals", "SELECT m.member_id, r.member_id AS referrer_id FROM members m JOIN members r ON m.member_id // 7 = r.member_id WHERE m.member_id < 700")
+@query("d27_referrals", "SELECT m.member_id, r.member_id AS referrer_id FROM members m JOIN members r ON m.member_id // 7 = r.member_id")
 def d27(t: Tables) -> DataFrame:
     referrer = t.members.select(F.col("member_id").alias("referrer_id"))
-    return t.members.filter("member_id < 700").withColumn("code", F.expr("member_id div 7")).join(referrer, F.col("code") == F.col("referrer_id")).select("member_id", "referrer_id")
+    return t.members.withColumn("code", F.expr("member_id div 7")).join(referrer, F.col("code") == F.col("referrer_id")).select("member_id", "referrer_id")
 
 
 @query("d28_cache_ttl", f"SELECT p.id, l.id AS cached_id FROM props p JOIN listings l ON p.id = l.id WHERE l.last_seen > TIMESTAMP '{AS_OF_PROPS}' - INTERVAL 14 DAY")

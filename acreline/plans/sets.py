@@ -66,9 +66,9 @@ def h09(t: Tables) -> DataFrame:
 
 
 @query("h10_channels", """SELECT 'team' AS kind, 'team' AS channel UNION ALL SELECT 'group', 'route_' || route_id FROM (SELECT DISTINCT route_id FROM logs) r
-UNION ALL SELECT 'direct', 'dm_' || least(a.email, b.email) || '_' || greatest(a.email, b.email) FROM members a JOIN members b ON b.member_id = a.member_id + 1 WHERE a.member_id < 20""")
+UNION ALL SELECT 'direct', 'dm_' || least(a.email, b.email) || '_' || greatest(a.email, b.email) FROM members a JOIN members b ON b.member_id = a.member_id + 1""")
 def h10(t: Tables) -> DataFrame:
     team = t.spark.createDataFrame([("team", "team")], "kind string, channel string")
     groups = t.logs.select("route_id").distinct().select(F.lit("group").alias("kind"), F.concat(F.lit("route_"), "route_id").alias("channel"))
-    a, b = t.members.filter("member_id < 20").select("member_id", F.col("email").alias("a")), t.members.select((F.col("member_id") - 1).alias("member_id"), F.col("email").alias("b"))
+    a, b = t.members.select("member_id", F.col("email").alias("a")), t.members.select((F.col("member_id") - 1).alias("member_id"), F.col("email").alias("b"))
     return team.unionAll(groups).unionAll(a.join(b, "member_id").select(F.lit("direct"), pair_key(F.col("a"), F.col("b"))))

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from acreline.operators.snapshots import VersionedTable, last_wins
+from acreline.operators.ordered import keep_first
+from acreline.operators.snapshots import VersionedTable
 
 STATUS = {"purchase": "SOLD", "signup": "QUALIFIED", "click": "CALLBACK", "view": "NO_ANSWER"}
 
@@ -63,7 +64,8 @@ def upsert(rows: DataFrame, table: VersionedTable, checkpoint: str, key: str = "
         if table.current() == version:
             return
         old = table.read()
-        newest = last_wins(batch.limit(0), batch, [key], order)
-        table.swap(newest if old is None else last_wins(old, newest, [key], order), version)
+        # files may come in any order, so the later row by event time stays, not the later delivered
+        rows = batch if old is None else old.unionByName(batch)
+        table.swap(keep_first(rows, [key], [F.desc(order)]), version)
 
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()

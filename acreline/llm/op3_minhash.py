@@ -5,18 +5,20 @@
    least labelled runs, put back in text order, are hashed to one value: texts with much
    the same runs in the same order share values, texts with the same runs in another order
    don't.
-2. Equal texts are one class from the start; only the least id of each goes on. Texts that
-   share a band's value form a bucket. No bucket is expanded into pairs: in each of three turns
-   the members that aren't in one class yet are compared with centers chosen by hash, anew
-   each turn, and with the neighbour in the order of the next band. Every member takes part
-   in all its buckets; a bucket of up to CENTERS + 1 classes is compared in full.
+2. Equal texts are one node. Nodes that share a band's value form a bucket. Two turns compare
+   the members of some bands' buckets with one center each, chosen by hash, which links most
+   of a class at little cost. Then every pair of a bucket's members that aren't in one class
+   yet is held against an exact bound: texts carry the parities of their labelled runs in
+   PARITIES cells, which differ in no more cells than the runs do. The pairs within the bound
+   are aligned, nearest first and more a member in each round, until all of them are
+   compared or linked; none is left out, whatever a bucket's size.
 3. A pair is compared by aligning its runs: the longest common subsequence within the band
    of diagonals that a similarity of SIMILAR allows. Similarity is common / (a + b - common).
 4. Classes are the connected components of the links, by least label and pointer jumping.
 
 Texts under five words have no run: only equal ones are duplicates. Null texts count as
-empty ones. Rows without an id take part under the least id. Rows with one id are one
-node: its class joins what any of its rows is like.
+empty ones. Rows without an id take part under the least id. Rows with one id and different
+texts are different nodes.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acreline.llm.common import arrow_slices, byte_values, materialize, mix, prefix_sums, range_hash, rolling, text_bytes, texts, words_of
@@ -34,9 +36,14 @@ RUN = 5
 BANDS = 20
 KEPT = 3
 SIMILAR = 0.8
-#: Bands of the first turn, and centers of a bucket in the later ones.
-FIRST_BANDS = 6
-CENTERS = 4
+#: Bands of the two turns with one center a bucket.
+STAR_BANDS = (1, 6)
+#: Cells of parities a text.
+PARITIES = 1024
+#: Nearest members that a member is aligned with in the first round, and by how much they grow.
+NEAREST, MORE = 4, 8
+#: Pairs of a bucket that one group holds against the bound.
+PAIRS = 4_000_000
 NO_ID = -(1 << 63)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -64,6 +71,12 @@ def labelled(runs: np.ndarray) -> np.ndarray:
         return np.where(nth > 0, mix(runs + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), runs)
 
 
+def parities(own: np.ndarray) -> bytes:
+    """Parities of how many labelled runs fall in each cell."""
+    cells = (mix(own ^ _SEEDS[-1]) % np.uint64(PARITIES)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=PARITIES) & 1).tobytes()
+
+
 def sketch(runs: np.ndarray, bands: int = BANDS, kept: int = KEPT) -> np.ndarray:
     """One value a band: the hash of the least labelled runs in text order."""
     own = labelled(runs)
@@ -123,19 +136,22 @@ def aligned(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> float:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, kept: int = KEPT) -> DataFrame:
-    """key, same (a checksum of the text), bands: array<long> (empty for texts without runs)."""
+    """key, bands: array<long>, n (runs) and parities of each text with runs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_slices(batches):
-            rows = [sketch(r, bands, kept).view(np.int64) if len(r) else [] for r in runs_of(*text_bytes(part.column("text")))]
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("same"), pa.array(rows, pa.list_(pa.int64()))], names=["key", "same", "bands"])
+            own = [labelled(r) if len(r) else r for r in runs_of(*text_bytes(part.column("text")))]
+            n = np.array([len(r) for r in own], np.int32)
+            rows = [(sketch(r, bands, kept).view(np.int64), parities(r)) for r in own if len(r)]
+            cols = [part.column("key").filter(pa.array(n > 0)), pa.array([x for x, _ in rows], pa.list_(pa.int64())), pa.array(n[n > 0]), pa.array([x for _, x in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "bands", "n", "parities"])
 
-    keyed = _keyed(docs).select("key", "text", F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("same"))
-    return keyed.mapInArrow(work, "key long, same binary, bands array<long>")
+    return keyed(docs).select("key", "text").mapInArrow(work, "key long, bands array<long>, n int, parities binary")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("key"), "text")
+def keyed(docs: DataFrame) -> DataFrame:
+    """key (a checksum of the text), doc_id, text."""
+    return texts(docs).select(F.xxhash64("text").alias("key"), "doc_id", "text")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -169,54 +185,99 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
-def _pairs(members: DataFrame, labels: DataFrame, bands: int, centers: int, seed: int) -> DataFrame:
-    """Distinct pairs (a, b) of different classes to compare: each member with its bucket's centers and with its neighbour.
-
-    Centers are the first members by a seeded hash. Neighbours follow each other in the order
-    of the next band's value, so texts that agree in that too stand together. Both grow as
-    the members do, whatever a bucket's size.
-    """
+def _stars(members: DataFrame, labels: DataFrame, bands: int, seed: int) -> DataFrame:
+    """Distinct pairs (a, b) of different classes: each member of some bands' buckets with a center chosen by hash."""
     now = members.filter(F.col("band") < bands).join(labels, "key")
-    mixed = now.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("bucket")
-    now = now.join(mixed, "bucket").select("bucket", "near", "key", "class")
-    order = F.struct(F.xxhash64("bucket", "key", F.lit(seed)).alias("order"), "key", "class")
-    # salted, so that a crowded bucket's members never meet in one place
-    part = now.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
-    first = Window.partitionBy("bucket", "salt").orderBy("order", "key")
-    few = part.withColumn("order", order["order"]).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= centers)
-    chosen = few.groupBy("bucket").agg(F.slice(F.array_sort(F.collect_list(F.struct("order", "key", "class"))), 1, centers).alias("c")).select("bucket", F.explode("c").alias("c"))
-    star = now.join(chosen, "bucket").select("key", "class", F.col("c.key").alias("other"), F.col("c.class").alias("other_class"))
-    along = Window.partitionBy("bucket", F.pmod(F.xxhash64("near"), F.lit(64))).orderBy("near", "key")
-    beside = now.select("key", "class", F.lag("key").over(along).alias("other"), F.lag("class").over(along).alias("other_class"))
-    both = star.unionByName(beside).filter("class <> other_class").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
-    return both.distinct()
+    first = F.min(F.struct(F.xxhash64("bucket", "key", F.lit(seed)).alias("order"), "key", "class")).alias("c")
+    centers = now.groupBy("bucket").agg(first, F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
+    star = now.join(centers.select("bucket", F.col("c.key").alias("other"), F.col("c.class").alias("other_class")), "bucket")
+    return star.filter("class <> other_class").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, bands: int = BANDS, kept: int = KEPT, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id of each row: the least id among its near duplicates, linked directly or by others."""
-    drawn = materialize(sketches(docs, bands, kept), "sketches")
-    firsts = drawn.groupBy("same").agg(F.min("key").alias("first"))
-    copies = materialize(drawn.join(firsts, "same").select("key", "first", F.when(F.col("key") == F.col("first"), F.col("bands")).alias("bands")), "copies")
-    rows = copies.filter("bands is not null").select("key", "bands", F.posexplode("bands").alias("band", "value"))
-    rows = rows.select("key", "band", F.xxhash64("band", "value").alias("bucket"), F.get("bands", (F.col("band") + 1) % bands).alias("near"))
+def _nearest(members: DataFrame, labels: DataFrame, profiles: DataFrame, number: int, similar: float) -> DataFrame:
+    """Distinct pairs (a, b) of different classes that the bound lets pass: for each member the `number` nearest in each bucket.
+
+    `more` says whether a member had more than these. Members of a bucket's largest class don't
+    ask: all others do. A crowded bucket is cut by the askers, each part with all members.
+    """
+    most = (1 - similar) / (1 + similar)
+
+    def group(table: pa.Table) -> pa.Table:
+        col = lambda c: table.column(c).to_numpy()
+        bucket, part = col("bucket"), col("part")
+        order = np.lexsort((part, bucket))
+        bucket, part = bucket[order], part[order]
+        keys, classes, n, asks = (col(c)[order] for c in ("key", "class", "n", "asks"))
+        cells = np.frombuffer(b"".join(table.column("parities").to_pylist()), np.uint64).reshape(-1, PARITIES // 64)[order]
+        edge = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]), [True]]))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            asking = lo + np.flatnonzero(asks[lo:hi])
+            step = max(1, 250_000 // (hi - lo))
+            for at in range(0, len(asking), step):
+                rows = asking[at : at + step]
+                apart = np.zeros((len(rows), hi - lo), np.int32)
+                for k in range(cells.shape[1]):
+                    apart += np.bitwise_count(cells[rows, k, None] ^ cells[None, lo:hi, k])
+                x, y = n[rows, None], n[None, lo:hi]
+                fits = (classes[rows, None] != classes[None, lo:hi]) & (np.minimum(x, y) >= similar * np.maximum(x, y)) & (apart <= most * (x + y) + 1e-6)
+                r, c = np.nonzero(fits)
+                if not len(r):
+                    continue
+                by = np.lexsort((keys[lo + c], apart[r, c], r))
+                r, c = r[by], c[by]
+                nth = np.arange(len(r)) - np.searchsorted(r, r)
+                few = nth < number
+                left = (np.bincount(r, minlength=len(rows)) > number)[r[few]]
+                out.append((keys[rows[r[few]]], keys[lo + c[few]], left))
+        one, two, left = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two), "more": left})
+
+    now = members.select("bucket", "key").join(labels, "key")
+    sizes = now.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("lead"), F.sum("n").alias("total"), F.count("*").alias("classes")).filter("classes > 1")
+    parts = (F.lit(1) + F.floor((F.col("total") - F.col("lead.n")) * F.col("total") / PAIRS)).cast("int")
+    now = now.join(mixed.select("bucket", F.col("lead.class").alias("lead"), parts.alias("parts")), "bucket").join(profiles, "key")
+    asks = (F.col("class") != F.col("lead")) & (F.pmod(F.xxhash64("key"), F.col("parts")) == F.col("part"))
+    now = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", asks)
+    groups = 8 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = now.select(F.pmod(F.xxhash64("bucket", "part"), F.lit(groups)).alias("group"), "bucket", "part", "key", "class", "n", "parities", "asks")
+    return dealt.groupBy("group").applyInArrow(group, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def text_classes(docs: DataFrame, bands: int = BANDS, kept: int = KEPT, similar: float = SIMILAR) -> DataFrame:
+    """key, class of each distinct text (see `keyed`): equal classes are near duplicates, linked directly or by others."""
+    drawn = materialize(sketches(docs, bands, kept), "sketches").dropDuplicates(["key"])
+    rows = drawn.select("key", F.posexplode("bands").alias("band", "value")).select("key", "band", F.xxhash64("band", "value").alias("bucket"))
     shared = rows.groupBy("bucket").count().filter("count > 1").select("bucket")
     members = materialize(rows.join(shared, "bucket"), "buckets")
     # only texts that share a bucket are ever compared
-    candidates = materialize(_keyed(docs).join(members.select("key").distinct(), "key", "left_semi"), "candidates")
-    labels = materialize(copies.groupBy("key").agg(F.min("first").alias("class")), "labels")
-    # an id with several texts links their classes
-    twice = materialize(copies.groupBy("key").agg(F.min("first").alias("a"), F.max("first").alias("b")).filter("a < b").select("a", "b"), "twice")
-    if twice.limit(1).count():
-        labels = components(twice, labels)
-    # a few bands link most of a class at little cost, so that the later turns compare only what is left apart
-    for seed, (some, centers) in enumerate(((FIRST_BANDS, 1), (bands, CENTERS), (bands, CENTERS))):
-        pairs = _pairs(members, labels, some, centers, seed)
+    nodes = members.select("key").distinct()
+    profiles = materialize(drawn.select("key", "n", "parities").join(nodes, "key"), "profiles")
+    candidates = materialize(keyed(docs).select("key", "text").join(nodes, "key", "left_semi").dropDuplicates(["key"]), "candidates")
+    labels = materialize(nodes.select("key", F.col("key").alias("class")), "labels")
+
+    def linked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         links = materialize(verified(pairs, candidates, similar), "links")
-        if not links.limit(1).count():
-            continue
-        labels = components(links, labels)
-    return _keyed_ids(docs).join(labels, "key").select("doc_id", F.when(F.col("class") == NO_ID, None).otherwise(F.col("class")).alias("class_id"))
+        return components(links, labels) if links.limit(1).count() else labels
 
+    for seed, some in enumerate(STAR_BANDS):
+        labels = linked(_stars(members, labels, min(some, bands), seed), labels)
+    number, done = NEAREST, None
+    while True:
+        near = materialize(_nearest(members, labels, profiles, number, similar), "near")
+        pairs = near.select("a", "b")
+        labels = linked(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), labels)
+        if not near.filter("more").limit(1).count():
+            return labels
+        done = pairs if done is None else done.union(pairs).distinct()
+        number *= MORE
 
-def _keyed_ids(docs: DataFrame) -> DataFrame:
-    return texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("key"), "doc_id")
+
+def near_duplicate_classes(docs: DataFrame, bands: int = BANDS, kept: int = KEPT, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, class_id of each row: the least id among its near duplicates, linked directly or by others."""
+    labels = text_classes(docs, bands, kept, similar)
+    ids = keyed(docs).select("key", "doc_id").join(labels, "key", "left").select("doc_id", F.coalesce("class", "key").alias("class"))
+    ids = materialize(ids, "classes")
+    least = ids.groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID).cast("long"))).alias("least"))
+    return ids.join(least, "class").select("doc_id", F.when(F.col("least") == NO_ID, None).otherwise(F.col("least")).alias("class_id"))

@@ -173,6 +173,58 @@ def test_op3_star_rounds_lose_no_link(spark):
     assert {r.class_id for r in op3_minhash.near_duplicate_classes(df).collect()} == set(brute_classes(dict(texts)).values())
 
 
+def test_op3_crowded_bucket_in_full(spark):
+    """Pairs of small classes among a bucket led by many linked near copies are found whatever stands beside them."""
+    r = random.Random(8)
+    words = lambda n, p: [f"{p}{r.randrange(10**6)}" for _ in range(n)]
+    base, texts = words(120, "b"), []
+    for i in range(150):
+        copy = list(base)
+        copy[i % 120] = f"c{i}"
+        texts.append(copy)
+    for g in range(40):
+        own = words(150, f"s{g}_")
+        texts += [own, own[:-8] + words(8, f"t{g}_")]
+    r.shuffle(texts)
+    items = {i: " ".join(t) for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(items.items()), "doc_id long, text string")
+    # one bucket holds all texts
+    keys = [x.key for x in op3_minhash.keyed(docs).collect()]
+    members = spark.createDataFrame([(k, 0, 1) for k in keys], "key long, band int, bucket long")
+    labels = spark.createDataFrame([(k, k) for k in keys], "key long, class long")
+    profiles = op3_minhash.sketches(docs).select("key", "n", "parities")
+    near = op3_minhash._nearest(members, labels, profiles, 1000, 0.8).collect()
+    place = {x.key: x.doc_id for x in op3_minhash.keyed(docs).collect()}
+    got = {tuple(sorted((place[x.a], place[x.b]))) for x in near}
+    sets = {i: shingles(t) for i, t in items.items()}
+    want = set()
+    for i in items:
+        for j in range(i):
+            both = sum((sets[i] & sets[j]).values())
+            if both >= 0.8 * (sets[i].total() + sets[j].total() - both):
+                want.add((j, i))
+    assert want <= got and len(want) > 40
+    few = op3_minhash._nearest(members, labels, profiles, 1, 0.8).collect()
+    assert any(x.more for x in few) and not any(x.more for x in near)
+
+
+def test_op3_follows_a_crowded_bucket_to_its_end(spark, monkeypatch):
+    """With all texts in one bucket for each band, classes equal comparing every pair."""
+    r = random.Random(9)
+    base, texts = [f"b{i}" for i in range(120)], []
+    for i in range(100):
+        texts.append(base[:i] + [f"c{i}"] + base[i + 1 :])
+    for g in range(30):
+        own = [f"s{g}_{r.randrange(10**6)}" for _ in range(150)]
+        texts += [own, own[:-8] + [f"t{g}_{i}" for i in range(8)]]
+    r.shuffle(texts)
+    items = {i: " ".join(t) for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(items.items()), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(op3_minhash, "sketch", lambda own, bands, kept: np.arange(bands, dtype=np.uint64))
+    got = {x.doc_id: x.class_id for x in op3_minhash.near_duplicate_classes(docs, bands=2).collect()}
+    assert got == brute_classes(items)
+
+
 # 4
 
 PAGE = """<html><head><title>x</title></head><body><header><h1>Site</h1></header><div class="cookie-notice"><p>We use cookies, accept them please, thanks.</p></div><nav><a href=1>a</a></nav>

@@ -125,11 +125,12 @@ def scan(text: str, index: Index, least: float = COVERAGE) -> list[tuple[str, fl
     for t, diagonals in by.items():
         template = index.words[t]
         band = max(2, len(template) // 5)
-        done = -1
-        for d in sorted(diagonals):
-            if d - band < done:
+        done = 0
+        for d in sorted(set(diagonals)):
+            # words of the match before aren't matched again
+            low, high = max(done, d - band), min(len(words), d + len(template) + band)
+            if high - low < least * len(template):
                 continue
-            low, high = max(0, d - band), min(len(words), d + len(template) + band)
             common, first, last = align(template, words[low:high], band, d - low)
             if common >= least * len(template):
                 a, b = low + first, low + last

@@ -329,6 +329,17 @@ def test_op7_finds_declared_licenses(spark, docs):
     assert want <= got and len(got) == len(want)
 
 
+@pytest.mark.parametrize("name", list(op7_licenses.TEMPLATES))
+def test_op7_any_place(name):
+    """A notice at the first word, at the last, alone, and repeated back to back."""
+    line, index = op7_licenses.TEMPLATES[name], op7_licenses.Index(op7_licenses.TEMPLATES)
+    n = len(op7_licenses.words_in(line)[0])
+    for before, times, after in ((0, 1, 0), (0, 1, 40), (40, 1, 0), (3, 1, 3), (0, 3, 0), (5, 2, 5)):
+        text = " ".join([*[f"x{i}" for i in range(before)], *[line] * times, *[f"y{i}" for i in range(after)]])
+        got = [x[1:5] for x in op7_licenses.scan(text, index) if x[0] == name]
+        assert got == [(1.0, n, before + k * n, before + (k + 1) * n) for k in range(times)]
+
+
 def test_op7_edge_rows(edge, empty):
     assert op7_licenses.scan_documents(edge).count() == op7_licenses.scan_documents(empty).count() == 0
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,6 @@ FLUSH = 400_000
 TAG = 40
 START = (1 << TAG) - 1
 TAGS = (1 << 22) - 1
-HOT = np.int64(1 << 62)
 SENT = "bucket int, known boolean, keys binary, docs binary, places binary, counts binary"
 FOUND = "shelf int, docs binary, places binary"
 SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("counts", pa.binary())])
@@ -64,9 +64,12 @@ class Slice:
 
 
 class Places:
-    """Places found for the documents of a shelf; width: how many numbers one takes."""
+    """Places found for the documents of a shelf, and the hot keys; width: how many numbers a place takes."""
 
     def __init__(self, table: pa.Table, width: int = 1) -> None:
+        whole = pc.equal(pc.binary_length(table.column("docs")), 0)
+        self.hot = np.unique(np.frombuffer(b"".join(table.filter(whole).column("places").to_pylist()), np.uint64))
+        table = table.filter(pc.invert(whole))
         cat = lambda c: np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64)
         docs, places = cat("docs"), cat("places").reshape(-1, width)
         order = np.argsort(docs, kind="stable")
@@ -75,9 +78,8 @@ class Places:
     def of(self, rows: Slice, i: int) -> np.ndarray:
         a, b = np.searchsorted(self.docs, rows.keys[i], "left"), np.searchsorted(self.docs, rows.keys[i], "right")
         got = self.places[a:b]
-        first = got[:, 0]
-        got = got[((first & ~HOT) >> TAG) == rows.tags[i] >> TAG].copy()
-        got[:, 0] &= HOT | START
+        got = got[(got[:, 0] >> TAG) == rows.tags[i] >> TAG].copy()
+        got[:, 0] &= START
         return got
 
 
@@ -162,7 +164,8 @@ def on_shelves(docs: np.ndarray, places: np.ndarray, shelves: int) -> pa.Table:
 def settle(sent: DataFrame, shelves: int, later: bool, hot: int | None = None) -> DataFrame:
     """The places whose key occurs more than once (later: those that aren't the key's first place), by shelf.
 
-    With `hot`, places of keys that occur more often than that carry the HOT bit.
+    With `hot`, keys that occur more often than that go to every shelf, in a row without
+    documents, so that all places of a key are taken alike whichever way they came.
     """
 
     def group(table: pa.Table) -> pa.Table:
@@ -170,6 +173,7 @@ def settle(sent: DataFrame, shelves: int, later: bool, hot: int | None = None) -
         cat = lambda c, keep, kind: np.frombuffer(b"".join(x for x, k in zip(table.column(c).to_pylist(), keep, strict=True) if k), kind)
         keys, docs, places = cat("keys", ~known, np.uint64), cat("docs", ~known, np.int64), cat("places", ~known, np.int64)
         counts = cat("counts", ~known, np.int32)
+        crowded = np.zeros(0, np.uint64)
         order = np.lexsort((places, docs, keys)) if later else np.argsort(keys, kind="stable")
         keys, docs, places, counts = keys[order], docs[order], places[order], counts[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
@@ -178,11 +182,15 @@ def settle(sent: DataFrame, shelves: int, later: bool, hot: int | None = None) -
             keep = ~new
         else:
             total = np.add.reduceat(counts.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+            if hot is not None:
+                crowded = keys[first][total > hot]
             total = np.repeat(total, np.diff(np.append(first, len(keys))))
             keep = (total > 1) & (places >= 0)
-            if hot is not None:
-                places = np.where(total > hot, places | HOT, places)
-        return on_shelves(np.concatenate([docs[keep], cat("docs", known, np.int64)]), np.concatenate([places[keep], cat("places", known, np.int64)]), shelves)
+        found = on_shelves(np.concatenate([docs[keep], cat("docs", known, np.int64)]), np.concatenate([places[keep], cat("places", known, np.int64)]), shelves)
+        if not len(crowded):
+            return found
+        told = {"shelf": pa.array(range(shelves), pa.int32()), "docs": pa.array([b""] * shelves, pa.binary()), "places": pa.array([crowded.tobytes()] * shelves, pa.binary())}
+        return pa.concat_tables([found, pa.table(told)])
 
     return sent.groupBy("bucket").applyInArrow(group, FOUND)
 

@@ -10,7 +10,8 @@
    windows of a segment that stands at two places.
 3. An anchor that occurs more than HOT_ANCHOR times would fill a block with its contexts;
    its windows are counted by their hash instead (each task sending a hash once), which
-   needs no group to be together. Nothing is capped on either way.
+   needs no group to be together. Such anchors are told to every shelf, so all windows of
+   one go the same way. Nothing is capped on either way.
 
 Removed is each byte that a repeated window covers, judged on the input. Null texts are
 empty; texts under 200 bytes lose nothing; a row without an id counts as the least id.
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from acreline.llm.anchors import FOUND, HOT, SENT, SENT_SCHEMA, START, Places, Sender, Slice, buckets_of, on_shelves, sender, settle, shelf_slices, shelved, with_found
+from acreline.llm.anchors import FOUND, SENT, SENT_SCHEMA, Places, Sender, Slice, buckets_of, on_shelves, sender, settle, shelf_slices, shelved, with_found
 from acreline.llm.common import byte_values, minimizers, prefix_sums, rolling, sliding
 from acreline.llm.op2_substring import gather
 
@@ -169,12 +170,12 @@ def windows_on(width: int, gram: int, buckets: int):
                 if not len(got):
                     continue
                 own = grams[base : max(base, end - gram + 1)]
-                at, doc, tag = got & START, int(rows.keys[i]), int(rows.tags[i])
+                at, doc, tag = got, int(rows.keys[i]), int(rows.tags[i])
                 low = sliding(own, width - gram + 1, np.minimum)
                 shown = np.full(len(own), top, np.uint64)
                 shown[at] = own[at]
                 repeated = sliding(shown, width - gram + 1, np.minimum) == low
-                hot = np.unique(own[at[(got & HOT) != 0]])
+                hot = np.intersect1d(own[at], places.hot) if len(places.hot) else places.hot
                 if len(hot):
                     is_hot = repeated & np.isin(low, hot)
                     at = np.flatnonzero(is_hot)

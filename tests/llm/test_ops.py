@@ -369,6 +369,26 @@ def test_op8_equals_brute_force(which, hot, request):
     assert rows(op8_suffix.remove_repeated_bytes(df, hot=hot)) == brute_bytes(items, 200)
 
 
+def test_op8_hot_anchors_go_one_way(spark):
+    """A window with one copy in a task that holds its hot anchor once and one where it stands often is found."""
+    r = random.Random(5)
+    chars = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    cores = [chars(120) for _ in range(10)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for single in range(4):
+            shelf = lambda i: zlib.crc32(b"%d" % i) % 4
+            others = [i for i in range(200) if shelf(i) == (single + 1) % 4][:6]
+            alone = next(i for i in range(200) if shelf(i) == single)
+            shared = [(chars(60), chars(60)) for _ in cores]
+            text = lambda like: "".join(chars(250) + (a + c + b if like else chars(60) + c + chars(60)) for c, (a, b) in zip(cores, shared, strict=True))  # noqa: B023, E731
+            items = [(alone, text(True)), (others[0], text(True))] + [(i, text(False)) for i in others[1:]]
+            df = spark.createDataFrame(items, "doc_id long, text string")
+            assert rows(op8_suffix.remove_repeated_bytes(df, hot=2)) == brute_bytes(items, 200)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("text", [b"mississippi" * 5, b"a" * 400, bytes(range(256)) * 3, b"ab" * 300, b"\x00\xff\x00" * 80, b"zyx" * 90 + b"a"])
 def test_op8_two_stage_order(text):
     data, width = np.frombuffer(text, np.uint8), 24

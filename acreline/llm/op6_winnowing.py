@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from acreline.llm.common import minimizers, mix, prefix_sums, range_hash, rolling, sliding, texts
 
 GRAM = 12
-WINDOW = 89
+WINDOW = 12
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 

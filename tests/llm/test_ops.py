@@ -315,6 +315,15 @@ def test_op6_edits_and_likeness(which, request):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (r.near_edited == 1 or r.fingerprint != r.edited_fingerprint) for r in got)
 
 
+def test_op6_likeness_tells_edits_from_others():
+    r = random.Random(6)
+    chars = lambda n: "".join(r.choice("abcdefghijklmnop  ") for _ in range(n))
+    for n in (40, 60, 100, 300, 1000):
+        got = [op6_winnowing.compared(1, chars(n), chars(n))[5:] for _ in range(100)]
+        assert min(near for near, _ in got) > max(other for _, other in got)
+        assert 0.35 < np.mean([near for near, _ in got]) < 0.75
+
+
 # 7
 
 

@@ -274,10 +274,14 @@ def text_classes(docs: DataFrame, bands: int = BANDS, kept: int = KEPT, similar:
         number *= MORE
 
 
+def row_classes(docs: DataFrame, bands: int = BANDS, kept: int = KEPT, similar: float = SIMILAR) -> DataFrame:
+    """key (a checksum of the text), doc_id, class of each row."""
+    rows = keyed(docs).select("key", "doc_id").join(text_classes(docs, bands, kept, similar), "key", "left")
+    return materialize(rows.select("key", "doc_id", F.coalesce("class", "key").alias("class")), "classes")
+
+
 def near_duplicate_classes(docs: DataFrame, bands: int = BANDS, kept: int = KEPT, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id of each row: the least id among its near duplicates, linked directly or by others."""
-    labels = text_classes(docs, bands, kept, similar)
-    ids = keyed(docs).select("key", "doc_id").join(labels, "key", "left").select("doc_id", F.coalesce("class", "key").alias("class"))
-    ids = materialize(ids, "classes")
+    ids = row_classes(docs, bands, kept, similar)
     least = ids.groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID).cast("long"))).alias("least"))
     return ids.join(least, "class").select("doc_id", F.when(F.col("least") == NO_ID, None).otherwise(F.col("least")).alias("class_id"))

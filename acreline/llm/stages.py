@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acreline.llm.op3_minhash import near_duplicate_classes
+from acreline.llm.op3_minhash import NO_ID, row_classes
 from acreline.llm.op8_suffix import remove_repeated_bytes
 from acreline.llm.op9_toxicity import keep_clean, learn
 from acreline.llm.op10_packing import pack_documents
@@ -18,12 +18,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates: the one with the least id."""
-    classes = near_duplicate_classes(docs)
-    heads = classes.filter("doc_id = class_id or doc_id is null").select("doc_id").distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """One row of each class of near duplicates: the one with the least id. Rows are told apart by id and text."""
+    rows = row_classes(docs).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID).cast("long")))
+    heads = rows.groupBy("class").agg(F.min(F.struct("id", "key")).alias("head")).select(F.col("head.id").alias("__id"), F.col("head.key").alias("__key"))
+    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
+    row_key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = docs.withColumns({"__id": row_id, "__key": row_key}).join(heads, ["__id", "__key"], "left_semi")
+    repeated = rows.groupBy("id", "key").count().filter("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["__id", "__key"]) if repeated else kept).select(*docs.columns)
 
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,14 @@ def test_stages(spark, tmp_path):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).select("sequence_id").distinct().count() > 10
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Rows with one id or none but other texts are other documents; of like ones the least id stays."""
+    text = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    items = [(None, text("a")), (None, text("b")), (None, text("b")), (5, text("c")), (5, text("d")), (5, text("d")), (6, text("e")), (7, text("e") + " end"), (8, text("a")), (9, text("f")), (5, text("f")), (10, None), (11, "")]
+    docs = spark.createDataFrame([(d, t, "en") for d, t in items], "doc_id long, text string, lang string")
+    got = corpus_pipeline.STAGES[1][1](spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(None, text("a")), (None, text("b")), (5, text("c")), (5, text("d")), (5, text("f")), (6, text("e")), (10, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)

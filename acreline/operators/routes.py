@@ -65,23 +65,26 @@ def two_opt(points: np.ndarray, order: np.ndarray, passes: int = TWO_OPT_PASSES)
 
 def or_opt(points: np.ndarray, order: np.ndarray, passes: int = 30, least: float = 1e-3) -> np.ndarray:
     """Move one or two neighbouring stops elsewhere while that saves at least `least`; the first stop stays."""
-    order = list(order)
+    if not 3 <= len(order) <= TWO_OPT_MAX:
+        return order
+    d = miles(points[:, None], points[None])
+    order = np.array(order)
     for _ in range(passes):
         better = False
         for size in (1, 2):
-            i = 1
-            while i + size <= len(order):
-                part, rest = order[i : i + size], order[:i] + order[i + size :]
-                base = path_miles(points[order])
-                costs = [path_miles(points[rest[:k] + part + rest[k:]]) for k in range(1, len(rest) + 1)] if len(order) <= 60 else []
-                if costs and base - min(costs) > least:
-                    k = int(np.argmin(costs)) + 1
-                    order = rest[:k] + part + rest[k:]
+            for i in range(1, len(order) - size + 1):
+                part, rest = order[i : i + size], np.delete(order, slice(i, i + size))
+                # what the path saves without the part, and what each place for it costs; the last place has no stop after it
+                gap = np.append(d[rest[:-1], rest[1:]], 0)
+                saved = d[order[i - 1], part[0]] + (d[part[-1], rest[i]] if i < len(rest) else 0) - gap[i - 1]
+                costs = d[rest, part[0]] + np.append(d[part[-1], rest[1:]], 0) - gap
+                k = int(costs.argmin())
+                if saved - costs[k] > least:
+                    order = np.concatenate([rest[: k + 1], part, rest[k + 1 :]])
                     better = True
-                i += 1
         if not better:
             break
-    return np.array(order)
+    return order
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:

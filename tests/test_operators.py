@@ -131,3 +131,15 @@ def test_greedy_assignment_spreads(spark):
     rows = [(0, r, p, 50.0 + (p == 1)) for r in range(4) for p in (1, 2)]
     got = {r.route_id: r.rep for r in routes.greedy_assign(spark.createDataFrame(rows, "team int, route_id long, rep long, score double")).collect()}
     assert sorted(got.values()) == [1, 1, 2, 2]
+
+
+@pytest.mark.parametrize("n", [5, 60, 61, 150, 300])
+def test_relocation_on_long_routes(n):
+    """Stops put out of place are moved back, and every accepted move shortens the path."""
+    points = np.stack([np.linspace(34, 36, n), np.zeros(n)], axis=1)
+    order = np.arange(n)
+    order = np.concatenate([order[:2], order[3:], order[2:3]])
+    got = routes.or_opt(points, order)
+    assert sorted(got.tolist()) == list(range(n)) and got[0] == 0
+    assert routes.path_miles(points[got]) == pytest.approx(routes.path_miles(points))
+    assert routes.or_opt(points, np.arange(n)).tolist() == list(range(n))

@@ -6,9 +6,11 @@ the words, each keeps its largest response in the text, and a logistic layer sco
 As filters are linear up to the maximum, a filter's share of each table row is computed
 once and scoring is a few gathers, sums and maxima.
 
-Fitting takes a sample of labelled rows whose number is bounded by `sample_rows` (the
-least by a hash of the id), one part of which sets a threshold for each language. Labels,
-language, source and id never enter a score. Scoring maps over whole texts.
+Fitting takes a sample of labelled ids whose number is bounded by `sample_rows` (the
+least by a hash of the id; an id's largest label and least text count), one part of which
+sets a threshold for each language. Labels, language, source and id never enter a score.
+Texts become word numbers as they arrive and are scored in slices, so the fitting task holds
+eight bytes a word of the sample. Scoring maps over whole texts.
 
 Null and empty texts have no words: their score is the logistic layer's own offset, as
 for any text of which no filter has responded. Without labels of both kinds the score is
@@ -36,9 +38,13 @@ FILTERS = 16
 STEM = 4
 #: Labelled rows that fitting takes at most.
 SAMPLE_ROWS = 16_000
-EPOCHS = 6
+#: Rows that training visits in all: a smaller sample is gone through more often, MOST_EPOCHS times at most.
+VISITS = 76_800
+MOST_EPOCHS = 40
 BATCH = 64
 CUT = 0.3
+#: Words that are scored at a time, unless one text has more.
+WORDS = 150_000
 #: A language with fewer rows of either kind has CUT as its threshold.
 LEAST_KIND = 10
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -55,6 +61,8 @@ class Model:
     out: np.ndarray
     offset: float
     thresholds: dict[str, float] = dataclasses.field(default_factory=dict)
+    #: Whether there were labels of both kinds to learn from.
+    learned: bool = False
 
 
 def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,30 +113,36 @@ def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(best.astype(np.float64) @ model.out + model.offset)))
 
 
-def fit(rows: list[tuple[str, int, str | None]], seed: int = 7, epochs: int = EPOCHS) -> Model:
+def word_numbers(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(table row of each word, of its stem) of one text."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return word_rows(raw, np.array([0, len(raw)]))[:2]
+
+
+def fit(rows: list[tuple[str, int, str | None]], seed: int = 7, visits: int = VISITS) -> Model:
     """A model of (text, label, language) rows; the fifth part of them sets thresholds only."""
+    return train([word_numbers(r[0]) for r in rows], [r[1] for r in rows], [r[2] for r in rows], seed, visits)
+
+
+def train(encoded: list[tuple[np.ndarray, np.ndarray]], marks: list[int], langs: list[str | None], seed: int = 7, visits: int = VISITS) -> Model:
     rng = np.random.default_rng(seed)
     k = FILTERS * len(WIDTHS)
     model = Model(
         rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32), {w: rng.normal(0, 0.3 / w**0.5, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS},
         np.zeros(k, np.float32), rng.normal(0, 0.1, k), 0.0,
     )
-    labels = np.array([r[1] for r in rows], np.float64)
+    labels = np.array(marks, np.float64)
     if len(set(labels.tolist())) < 2:
         model.out[:] = 0
         share = (labels.sum() + 1) / (len(labels) + 2)
         model.offset = float(np.log(share / (1 - share)))
         return model
+    model.learned = True
     share = labels.mean()
     model.offset = float(np.log(share / (1 - share)))
-    encoded = []
-    for text, _, _ in rows:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        whole, stem, _ = word_rows(raw, np.array([0, len(raw)]))
-        encoded.append((whole, stem))
-    held = np.arange(len(rows)) % 5 == 4 if len(rows) >= 100 else np.zeros(len(rows), bool)
-    train = np.flatnonzero(~held)
-    epochs = max(epochs, min(40, 30_000 // len(train)))
+    held = np.arange(len(labels)) % 5 == 4 if len(labels) >= 100 else np.zeros(len(labels), bool)
+    learned = np.flatnonzero(~held)
+    epochs = min(MOST_EPOCHS, -(-visits // len(learned)))
     slow, fast = {}, {}
     t = 0
 
@@ -142,7 +156,7 @@ def fit(rows: list[tuple[str, int, str | None]], seed: int = 7, epochs: int = EP
 
     offset = np.array([model.offset])
     for epoch in range(epochs):
-        order = rng.permutation(train)
+        order = rng.permutation(learned)
         rate = 0.01 * (1 - epoch / epochs) + 0.0005
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
@@ -176,17 +190,24 @@ def fit(rows: list[tuple[str, int, str | None]], seed: int = 7, epochs: int = EP
             step("table", model.table, grad_table, rate)
     model.offset = float(offset[0])
     if held.any():
-        calibrate(model, [rows[i] for i in np.flatnonzero(held)])
+        at = np.flatnonzero(held).tolist()
+        calibrate(model, [encoded[i] for i in at], labels[at], [langs[i] for i in at])
     return model
 
 
-def calibrate(model: Model, rows: list[tuple[str, int, str | None]]) -> None:
+def calibrate(model: Model, encoded: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: list[str | None]) -> None:
     """Per language the threshold of best F1 on these rows, the widest gap's middle among equals; CUT where rows are few."""
-    raw = [r[0].encode() for r in rows]
-    got = scores(model, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
-    for lang in {r[2] for r in rows if r[2] is not None}:
-        at = [i for i, r in enumerate(rows) if r[2] == lang]
-        s, y = got[at], np.array([rows[i][1] for i in at])
+    sizes = np.array([len(w) for w, _ in encoded])
+    part = np.cumsum(sizes) // WORDS
+    got = np.empty(len(encoded))
+    for p in np.unique(part).tolist():
+        at = np.flatnonzero(part == p)
+        whole, stem = (np.concatenate([encoded[i][j] for i in at]) for j in (0, 1))
+        best = responses(model, whole, stem, np.concatenate([[0], np.cumsum(sizes[at])]))
+        got[at] = 1 / (1 + np.exp(-(best.astype(np.float64) @ model.out + model.offset)))
+    for lang in {x for x in langs if x is not None}:
+        at = [i for i, x in enumerate(langs) if x == lang]
+        s, y = got[at], labels[at]
         if min(y.sum(), len(y) - y.sum()) < LEAST_KIND:
             model.thresholds[lang] = CUT
             continue
@@ -203,18 +224,23 @@ def calibrate(model: Model, rows: list[tuple[str, int, str | None]]) -> None:
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit, in one task, on at most `sample_rows` labelled rows that learning may use: crc32 of the id modulo 4 isn't 2."""
     marks = plain(labels, ["doc_id", "toxic"]).filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 4 <> 2")
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
+    chosen = marks.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     names = ["doc_id", "text"] + ["lang"] * ("lang" in docs.columns)
     found = plain(docs, names).join(F.broadcast(chosen), "doc_id")  # at most sample_rows rows of two integers
-    rows = found.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int"), (F.col("lang") if "lang" in names else F.lit(None).cast("string")).alias("lang"))
+    lang = F.col("lang") if "lang" in names else F.lit(None).cast("string")
+    rows = found.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "toxic", lang.alias("lang"))
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("text", "toxic", "lang")).alias("row")).select("doc_id", "row.*")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "toxic", "lang")], strict=True)]
-        rows.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % (1 << 64), r[1], r[2]))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1:] for r in rows]))], pa.binary())], names=["model"])
-
-    # repeated ids could bring more rows than were chosen
-    made = rows.limit(2 * sample_rows).repartition(1).mapInArrow(work, "model binary").collect()
+        rows = []
+        for part in (p for b in batches for p in arrow_slices(iter([b]))):
+            words = map(word_numbers, part.column("text").to_pylist())
+            rows += zip(*[part.column(c).to_pylist() for c in ("doc_id", "toxic", "lang")], words, strict=True)
+        rows.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % (1 << 64), r[0]))
+        model = train([r[3] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = one.repartition(1).mapInArrow(work, "model binary").collect()
     return pickle.loads(bytes(made[0].model)) if made else fit([])
 
 
@@ -231,7 +257,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows under their language's threshold, with all their columns."""
+    """The rows under their language's threshold, with all their columns; all rows if there was nothing to learn from."""
+    if not model.learned:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index("text")
     at_lang = docs.columns.index("lang") if "lang" in docs.columns else None
@@ -247,7 +275,9 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
                 kept = part.filter(pa.array(score < limit))
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=batch.schema.names)
 
-    return docs.mapInArrow(work, docs.schema)
+    # by place, since names may differ by letter case only
+    placed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return placed.mapInArrow(work, placed.schema).toDF(*docs.columns)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

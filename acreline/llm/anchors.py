@@ -2,20 +2,26 @@
 
 Every stretch of a given length holds an anchor chosen by its content alone (the least
 k-gram hash of the stretch), so whatever repeats has anchors that repeat. Keys (hashes of
-anchors or windows) travel as packed arrays in rows of one bucket, a bucket being a range
-of the hash, and what is found travels back by shelf, a range of documents; a task sums up its own keys first, so however often a key occurs, each task
-sends it once. Buckets are many more than partitions and keys spread evenly over them.
+anchors or windows) travel as packed arrays in rows of one bucket, a bucket being a part
+of the hashes, and what is found travels back by shelf, a part of the documents. A task sums
+up its own keys first, so however often a key occurs, each task sends it once.
+
+One bucket or shelf is in a worker's memory at a time. Their numbers grow with the bytes
+of text (see `Layout`), not only with the partitions, so what a worker holds is bounded
+whatever the number of partitions. A document's shelf depends on its id and its text, so
+the rows that share an id, or have none, are spread like all others.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from acreline.llm.common import arrow_slices, sliding, text_bytes, texts
@@ -32,19 +38,41 @@ SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("keys",
 NO_ID = -(1 << 63)
 
 
-def buckets_of(df: DataFrame) -> int:
-    """Buckets of keys and shelves of documents: they grow with the partitions, so one stays small."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of text that a shelf has at most, on average; keys of a bucket take about half of that.
+SHELF_BYTES = 32 << 20
+#: Shelves a bucket: several a partition even out their sizes.
+SHELVES_A_BUCKET = 4
 
 
-def shelved(docs: DataFrame) -> DataFrame:
-    """(shelf, key, doc_id, text) dealt by shelf, a checksum of the id; the key is the id, null ids the least one.
+@dataclasses.dataclass(frozen=True)
+class Layout:
+    """How many buckets of keys and shelves of documents there are."""
+
+    buckets: int
+    shelves: int
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> Layout:
+        """From the bytes of all texts (one aggregate that no row leaves the scan for) and the number of partitions."""
+        size = texts(docs).agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+        buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHELF_BYTES))
+        return cls(buckets, SHELVES_A_BUCKET * buckets)
+
+
+def shelf_of(doc: int, tag: int, shelves: int) -> int:
+    """The shelf of a document, by its id and the checksum of its text."""
+    return (zlib.crc32(b"%d" % doc) + 31 * tag) % shelves
+
+
+def shelved(docs: DataFrame, layout: Layout, carry: Column | None = None) -> DataFrame:
+    """(shelf, key, doc_id, text) dealt by shelf; the key is the id, null ids the least one. `carry`: a column that stays with its row.
 
     The exchange is the same wherever this is used, so Spark runs it once for all passes.
     """
-    rows = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("key"), "doc_id", "text")
-    shelf = (F.crc32(F.col("key").cast("string")) % buckets_of(docs)).cast("int")
-    return rows.select(shelf.alias("shelf"), "key", "doc_id", "text").repartition("shelf")
+    rows = texts(docs, carry).withColumn("key", F.coalesce("doc_id", F.lit(NO_ID).cast("long")))
+    tag = F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(TAGS).cast("long"))
+    shelf = ((F.crc32(F.col("key").cast("string").cast("binary")) + 31 * tag) % layout.shelves).cast("int")
+    return rows.select(shelf.alias("shelf"), "key", "doc_id", "text", *(["carry"] if carry is not None else [])).repartition("shelf")
 
 
 class Slice:
@@ -152,8 +180,9 @@ def shelf_slices(table: pa.Table) -> Iterator[Slice]:
 
 def on_shelves(docs: np.ndarray, places: np.ndarray, shelves: int) -> pa.Table:
     """Places packed by the shelf of their document; places may be rows of several numbers."""
-    ids, back = np.unique(docs, return_inverse=True)
-    shelf = np.array([zlib.crc32(b"%d" % k) % shelves for k in ids.tolist()], np.int64)[back] if len(ids) else np.zeros(0, np.int64)
+    tags = (places if places.ndim == 1 else places[:, 0]) >> TAG
+    pairs, back = np.unique(np.stack([docs, tags], axis=1), axis=0, return_inverse=True)
+    shelf = np.array([shelf_of(d, t, shelves) for d, t in pairs.tolist()], np.int64)[back.ravel()] if len(docs) else np.zeros(0, np.int64)
     order = np.argsort(shelf, kind="stable")
     docs, places, shelf = docs[order], places[order], shelf[order]
     first = np.flatnonzero(np.concatenate([[True], shelf[1:] != shelf[:-1]])) if len(docs) else np.zeros(0, np.int64)

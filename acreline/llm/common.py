@@ -14,10 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
+#: A column that no table has.
+CARRIED = "__carried_with_its_row"
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -28,12 +30,13 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, from spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder all executors see, from spark.checkpoint.dir. Only a local session may do without: it gets a temporary one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(named)
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         named = sc.getCheckpointDir()
     return named
 
@@ -57,9 +60,11 @@ def plain(df: DataFrame, names: list[str]) -> DataFrame:
     return out.select(*[F.col(f"__keep_{k}").alias(n) for k, n in enumerate(names)])
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of each row: null texts as empty, other columns left out."""
-    return plain(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, carry: Column | None = None) -> DataFrame:
+    """(doc_id, text) of each row: null texts as empty, other columns left out; with `carry` that column as `carry`."""
+    rows = plain(docs, ["doc_id", "text"]) if carry is None else plain(docs.withColumn(CARRIED, carry), ["doc_id", "text", CARRIED])
+    some = [F.col(CARRIED).alias("carry")] if carry is not None else []
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *some)
 
 
 def arrow_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

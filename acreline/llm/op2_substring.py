@@ -6,7 +6,7 @@
    hash the first place (smallest document, then start) is kept, all others are repeats.
 3. Per document, repeated windows merge into maximal intervals, and their words go.
 
-The documents are dealt by id once and read by all three passes. Rows without an id count
+The documents are dealt by id and text once and read by all three passes. Rows without an id count
 as the smallest one; rows of one id stand in the order of a checksum of their texts, of
 identical rows one is the first; null and short
 texts (under a window) lose nothing.
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from acreline.llm.anchors import SENT, SENT_SCHEMA, START, Places, Sender, Slice, buckets_of, cover, least_of, sender, settle, shelf_slices, shelved, with_found
+from acreline.llm.anchors import SENT, SENT_SCHEMA, START, Layout, Places, Sender, Slice, cover, least_of, sender, settle, shelf_slices, shelved, with_found
 from acreline.llm.common import minimizers, prefix_sums, rolling, word_hashes
 
 WINDOW = 20
@@ -106,6 +106,8 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRA
             cols |= {"kept": pa.array(kept, pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
         return pa.table(cols)
 
-    rows, n = shelved(docs), buckets_of(docs)
-    anchors = settle(rows.mapInArrow(sender(anchors_of(window, gram), n), SENT), n, False)
-    return with_found(rows, settle(with_found(rows, anchors, windows_on(window, gram, n), SENT), n, True), work, kind)
+    layout = Layout.of(docs)
+    rows = shelved(docs, layout)
+    anchors = settle(rows.mapInArrow(sender(anchors_of(window, gram), layout.buckets), SENT), layout.shelves, False)
+    windows = with_found(rows, anchors, windows_on(window, gram, layout.buckets), SENT)
+    return with_found(rows, settle(windows, layout.shelves, True), work, kind)

@@ -24,9 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 
-from acreline.llm.anchors import FOUND, SENT, SENT_SCHEMA, Places, Sender, Slice, buckets_of, on_shelves, sender, settle, shelf_slices, shelved, with_found
+from acreline.llm.anchors import FOUND, SENT, SENT_SCHEMA, Layout, Places, Sender, Slice, on_shelves, sender, settle, shelf_slices, shelved, with_found
 from acreline.llm.common import byte_values, minimizers, prefix_sums, rolling, sliding
 from acreline.llm.op2_substring import gather
 
@@ -256,12 +257,17 @@ def settle_windows(moved: DataFrame, shelves: int, width: int) -> DataFrame:
     return moved.groupBy("bucket").applyInArrow(group, FOUND)
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT_ANCHOR, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with keep_text also `kept`.
+def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT_ANCHOR, keep_text: bool = False, carry: Column | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with keep_text also `kept`, with `carry` that column as `carry`.
 
-    `kept` is text: a character of which a byte was repeated goes as a whole.
+    `kept` is text: a character of which a byte was repeated goes as a whole. Other columns of
+    `docs` play no part, whatever their names.
     """
-    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
+    layout = Layout.of(docs)
+    rows = shelved(docs, layout, carry)
+    kind = T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text)
+    if carry is not None:
+        kind.add("carry", rows.schema["carry"].dataType)
 
     def work(docs: pa.Table, found: pa.Table) -> pa.Table:
         places = Places(found, 2)
@@ -282,9 +288,11 @@ def remove_repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
                     kept.append(left.tobytes().decode())
         cols = list(zip(*out, strict=True)) or [()] * 4
         table = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "n_spans": pa.array(cols[2], pa.int64()), "kept_sha256": pa.array(cols[3], pa.string())}
-        return pa.table(table | ({"kept": pa.array(kept, pa.string())} if keep_text else {}))
-
-    rows, n = shelved(docs), buckets_of(docs)
-    anchors = settle(rows.mapInArrow(sender(anchors_of(width, gram), n), SENT), n, False, hot)
-    moved = with_found(rows, anchors, windows_on(width, gram, n), MOVED)
-    return with_found(rows, settle_windows(moved, n, width), work, kind)
+        table |= {"kept": pa.array(kept, pa.string())} if keep_text else {}
+        # slices keep the order of the shelf's rows
+        return pa.table(table | ({"carry": docs.column("carry")} if carries else {}))
+
+    carries = carry is not None
+    anchors = settle(rows.mapInArrow(sender(anchors_of(width, gram), layout.buckets), SENT), layout.shelves, False, hot)
+    moved = with_found(rows, anchors, windows_on(width, gram, layout.buckets), MOVED)
+    return with_found(rows, settle_windows(moved, layout.shelves, width), work, kind)

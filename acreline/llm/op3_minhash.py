@@ -5,13 +5,14 @@
    least labelled runs, put back in text order, are hashed to one value: texts with much
    the same runs in the same order share values, texts with the same runs in another order
    don't.
-2. Equal texts are one node. Nodes that share a band's value form a bucket. Two turns compare
-   the members of some bands' buckets with one center each, chosen by hash, which links most
-   of a class at little cost. Then every pair of a bucket's members that aren't in one class
+2. Equal texts are one node. Nodes that share a band's value form a bucket. First each node
+   is compared with one node, the hashed center of its most crowded bucket, which links most
+   of a large class at one alignment a member. Then every pair of a bucket's members that aren't in one class
    yet is held against an exact bound: texts carry the parities of their labelled runs in
    PARITIES cells, which differ in no more cells than the runs do. The pairs within the bound
    are aligned, nearest first and more a member in each round, until all of them are
-   compared or linked; none is left out, whatever a bucket's size.
+   compared or linked; none is left out, whatever a bucket's size. A crowded bucket is cut
+   into blocks of members, and each pair of blocks is a group of its own.
 3. A pair is compared by aligning its runs: the longest common subsequence within the band
    of diagonals that a similarity of SIMILAR allows. Similarity is common / (a + b - common).
 4. Classes are the connected components of the links, by least label and pointer jumping.
@@ -36,14 +37,12 @@ RUN = 5
 BANDS = 20
 KEPT = 3
 SIMILAR = 0.8
-#: Bands of the two turns with one center a bucket.
-STAR_BANDS = (1, 6)
 #: Cells of parities a text.
 PARITIES = 1024
 #: Nearest members that a member is aligned with in the first round, and by how much they grow.
-NEAREST, MORE = 4, 8
-#: Pairs of a bucket that one group holds against the bound.
-PAIRS = 4_000_000
+NEAREST, MORE = 3, 16
+#: Members of a bucket's block.
+BLOCK = 2_000
 NO_ID = -(1 << 63)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -185,63 +184,75 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
-def _stars(members: DataFrame, labels: DataFrame, bands: int, seed: int) -> DataFrame:
-    """Distinct pairs (a, b) of different classes: each member of some bands' buckets with a center chosen by hash."""
-    now = members.filter(F.col("band") < bands).join(labels, "key")
-    first = F.min(F.struct(F.xxhash64("bucket", "key", F.lit(seed)).alias("order"), "key", "class")).alias("c")
-    centers = now.groupBy("bucket").agg(first, F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
-    star = now.join(centers.select("bucket", F.col("c.key").alias("other"), F.col("c.class").alias("other_class")), "bucket")
-    return star.filter("class <> other_class").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): each node with the center, chosen by hash, of its most crowded bucket; each node once."""
+    first = F.min(F.struct(F.xxhash64("bucket", "key").alias("order"), "key"))
+    centers = members.groupBy("bucket").agg(first.alias("c"), F.count("*").alias("n")).select("bucket", F.col("c.key").alias("center"), "n")
+    own = members.join(centers, "bucket").groupBy("key").agg(F.max(F.struct("n", "bucket", "center")).alias("top"))
+    return own.select("key", F.col("top.center").alias("center")).filter("key <> center").select(F.least("key", "center").alias("a"), F.greatest("key", "center").alias("b")).distinct()
 
 
 def _nearest(members: DataFrame, labels: DataFrame, profiles: DataFrame, number: int, similar: float) -> DataFrame:
-    """Distinct pairs (a, b) of different classes that the bound lets pass: for each member the `number` nearest in each bucket.
+    """Distinct pairs (a, b) of different classes that the bound lets pass: for each member the `number` nearest in each block of each bucket.
 
     `more` says whether a member had more than these. Members of a bucket's largest class don't
-    ask: all others do. A crowded bucket is cut by the askers, each part with all members.
+    ask: all others do.
     """
     most = (1 - similar) / (1 + similar)
 
+    def compared(keys, classes, n, cells, asking, asked) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        step = max(1, 250_000 // max(1, len(asked)))
+        for at in range(0, len(asking), step):
+            rows = asking[at : at + step]
+            apart = np.zeros((len(rows), len(asked)), np.int32)
+            for k in range(cells.shape[1]):
+                apart += np.bitwise_count(cells[rows, k, None] ^ cells[None, asked, k])
+            x, y = n[rows, None], n[None, asked]
+            fits = (classes[rows, None] != classes[None, asked]) & (np.minimum(x, y) >= similar * np.maximum(x, y)) & (apart <= most * (x + y) + 1e-6)
+            r, c = np.nonzero(fits)
+            if not len(r):
+                continue
+            by = np.lexsort((keys[asked[c]], apart[r, c], r))
+            r, c = r[by], c[by]
+            few = np.arange(len(r)) - np.searchsorted(r, r) < number
+            left = (np.bincount(r, minlength=len(rows)) > number)[r[few]]
+            yield keys[rows[r[few]]], keys[asked[c[few]]], left
+
     def group(table: pa.Table) -> pa.Table:
         col = lambda c: table.column(c).to_numpy()
-        bucket, part = col("bucket"), col("part")
-        order = np.lexsort((part, bucket))
-        bucket, part = bucket[order], part[order]
+        where = (col("bucket"), col("row"), col("column"))
+        order = np.lexsort(where[::-1])
+        where = [x[order] for x in where]
         keys, classes, n, asks = (col(c)[order] for c in ("key", "class", "n", "asks"))
         cells = np.frombuffer(b"".join(table.column("parities").to_pylist()), np.uint64).reshape(-1, PARITIES // 64)[order]
-        edge = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]), [True]]))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        change = np.zeros(max(0, len(keys) - 1), bool)
+        for x in where:
+            change |= x[1:] != x[:-1]
+        edge = np.flatnonzero(np.concatenate([[True], change, [True]]))
+        out = []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             asking = lo + np.flatnonzero(asks[lo:hi])
-            step = max(1, 250_000 // (hi - lo))
-            for at in range(0, len(asking), step):
-                rows = asking[at : at + step]
-                apart = np.zeros((len(rows), hi - lo), np.int32)
-                for k in range(cells.shape[1]):
-                    apart += np.bitwise_count(cells[rows, k, None] ^ cells[None, lo:hi, k])
-                x, y = n[rows, None], n[None, lo:hi]
-                fits = (classes[rows, None] != classes[None, lo:hi]) & (np.minimum(x, y) >= similar * np.maximum(x, y)) & (apart <= most * (x + y) + 1e-6)
-                r, c = np.nonzero(fits)
-                if not len(r):
-                    continue
-                by = np.lexsort((keys[lo + c], apart[r, c], r))
-                r, c = r[by], c[by]
-                nth = np.arange(len(r)) - np.searchsorted(r, r)
-                few = nth < number
-                left = (np.bincount(r, minlength=len(rows)) > number)[r[few]]
-                out.append((keys[rows[r[few]]], keys[lo + c[few]], left))
+            # members of the block itself are asked too; in a pair of two blocks only those that came to be asked
+            asked = np.arange(lo, hi) if where[1][lo] == where[2][lo] else lo + np.flatnonzero(~asks[lo:hi])
+            out += compared(keys, classes, n, cells, asking, asked)
         one, two, left = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
         return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two), "more": left})
 
     now = members.select("bucket", "key").join(labels, "key")
     sizes = now.groupBy("bucket", "class").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("lead"), F.sum("n").alias("total"), F.count("*").alias("classes")).filter("classes > 1")
-    parts = (F.lit(1) + F.floor((F.col("total") - F.col("lead.n")) * F.col("total") / PAIRS)).cast("int")
-    now = now.join(mixed.select("bucket", F.col("lead.class").alias("lead"), parts.alias("parts")), "bucket").join(profiles, "key")
-    asks = (F.col("class") != F.col("lead")) & (F.pmod(F.xxhash64("key"), F.col("parts")) == F.col("part"))
-    now = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", asks)
+    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
+    now = now.join(mixed.select("bucket", F.col("lead.class").alias("lead"), blocks.alias("blocks")), "bucket").join(profiles, "key")
+    own, asks = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.col("class") != F.col("lead")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    others = F.filter(every, lambda x: x != F.col("own"))
+    place = lambda row, column, asks: F.struct(row.alias("row"), column.alias("column"), asks.alias("asks"))
+    home = F.array(place(F.col("own"), F.col("own"), asks))
+    asked = F.transform(others, lambda x: place(x, F.col("own"), F.lit(False)))
+    asking = F.when(asks, F.transform(others, lambda x: place(F.col("own"), x, F.lit(True)))).otherwise(F.array().cast("array<struct<row:int,column:int,asks:boolean>>"))
+    now = now.withColumn("own", own).withColumn("at", F.explode(F.concat(home, asked, asking)))
     groups = 8 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = now.select(F.pmod(F.xxhash64("bucket", "part"), F.lit(groups)).alias("group"), "bucket", "part", "key", "class", "n", "parities", "asks")
+    dealt = now.select(F.pmod(F.xxhash64("bucket", "at.row", "at.column"), F.lit(groups)).alias("group"), "bucket", "at.row", "at.column", "key", "class", "n", "parities", "at.asks")
     return dealt.groupBy("group").applyInArrow(group, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
@@ -261,16 +272,16 @@ def text_classes(docs: DataFrame, bands: int = BANDS, kept: int = KEPT, similar:
         links = materialize(verified(pairs, candidates, similar), "links")
         return components(links, labels) if links.limit(1).count() else labels
 
-    for seed, some in enumerate(STAR_BANDS):
-        labels = linked(_stars(members, labels, min(some, bands), seed), labels)
-    number, done = NEAREST, None
+    done = materialize(_stars(members), "stars")
+    labels = linked(done, labels)
+    number = NEAREST
     while True:
         near = materialize(_nearest(members, labels, profiles, number, similar), "near")
         pairs = near.select("a", "b")
-        labels = linked(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), labels)
+        labels = linked(pairs.join(done, ["a", "b"], "left_anti"), labels)
         if not near.filter("more").limit(1).count():
             return labels
-        done = pairs if done is None else done.union(pairs).distinct()
+        done = materialize(done.union(pairs).distinct(), "compared")
         number *= MORE
 
 

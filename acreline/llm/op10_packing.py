@@ -12,8 +12,14 @@ whatever the corpus, and a plan over (length, count) is exact for all documents:
 
 Equal sequences are handled as one group with a count, so the plan takes time by distinct
 groups, not by documents. A group is a list of slots (length, first rank, offset); the
-piece that is r-th of its length takes the slot that holds rank r. Ranks are numbered
-within (length, salt) and shifted by the salts' bounded counts, so no length is one task.
+piece that is r-th of its length takes the slot that holds rank r. Full pieces have no rank:
+each is a sequence, numbered where it is read. Other ranks are counted within (length, salt),
+a length having a salt for every SALTED of its pieces, and shifted by the salts before, so a
+task ranks about that many pieces however many a length has. The driver sees the histogram
+of lengths only.
+
+Null texts count as empty ones (a piece with the closing id alone); repeated rows and ids are
+packed as often as they come; other columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +27,6 @@ from __future__ import annotations
 import bisect
 import functools
 import os
-import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -37,49 +42,77 @@ from acreline.llm.common import arrow_slices, materialize, texts
 CAPACITY = 2048
 TABLE_ENTRIES = 500_000
 LONGEST_KEPT = 64
-_WORD = re.compile(r"[^ \t\n\r\f\v]+")
+#: Pieces of a length that one task ranks, about.
+SALTED = 20_000
+_ENDS = (b".", b",")
+
+
+def check_tokenizer(tokenizer) -> None:
+    """Raise unless a text's ids are those of its words, in lower case, a full stop or comma being a word of its own."""
+    ids = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
+    for a, b in (("Stone", "Wall."), ("x1", "'s"), ("é", "日本,")):
+        for blank in (" ", "\t", "\n\r", " \f\v "):
+            if ids(f"{blank}{a}{blank}{b}{blank}") != ids(a) + ids(b):
+                raise ValueError("the tokenizer's ids depend on white space")
+    letters = "".join(map(chr, range(65, 91)))
+    for word in (*letters, letters, "Tree"):
+        for end in ("", ".", ","):
+            if ids(word + end) != ids(word.lower()) + (ids(end) if end else []):
+                raise ValueError("the tokenizer tells letter case or joins a word and its full stop")
 
 
 class WordTable:
-    """Word -> its ids as little-endian 32-bit integers.
+    """Word (UTF-8) -> its ids as little-endian 32-bit integers.
 
     The tokenizer drops white space and none of its tokens crosses it, so a text's ids are
-    those of its words in turn. It lower-cases, and ends a token between a letter and a
-    full stop or comma, so a word with such an end is put together from its parts.
+    those of its words in turn. It lower-cases, and ends a token between a letter and a full
+    stop or comma, so words of ASCII letters share an entry whatever their case and end. What
+    holds other characters is looked up as it stands: letter case and composition may join those.
     """
 
     def __init__(self, tokenizer) -> None:
+        check_tokenizer(tokenizer)
         self.tokenizer = tokenizer
-        self.packed: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.ends = {c: self._ids([c])[0] for c in ".,"}
+        self.packed: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        self.ends = dict(zip(_ENDS, self._ids(list(_ENDS)), strict=True))
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: set[bytes]) -> None:
         parts = {}
         for w in new:
-            end = w[-1] if w[-1] in ".," and w[:-1].isalpha() else ""
-            stem = w[:-1] if end else w
-            parts[w] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, end)
+            # bytes.isalpha knows ASCII letters only
+            if w.isalpha():
+                parts[w] = w.lower(), b""
+            elif w[-1:] in _ENDS and w[:-1].isalpha():
+                parts[w] = w[:-1].lower(), w[-1:]
+            else:
+                parts[w] = w, b""
         unknown = list({s for s, _ in parts.values() if s not in self.stems})
         self.stems.update(zip(unknown, self._ids(unknown), strict=True))
         for w, (stem, end) in parts.items():
             self.packed[w] = self.stems[stem] + self.ends[end] if end else self.stems[stem]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.packed) > TABLE_ENTRIES:
             self.packed.clear()
             self.stems.clear()
-        rows = [_WORD.findall(t) for t in texts]
-        new = {w for row in rows for w in row if w not in self.packed}
+        # bytes.split cuts at ASCII white space; any other stays inside words and is the tokenizer's matter
+        rows = [t.split() for t in texts]
+        new: set[bytes] = set()
+        for row in rows:
+            new.update(row)
+        new -= self.packed.keys()
         if new:
             self._learn(new)
-        out = [b"".join([self.packed[w] for w in row]) for row in rows]
+        known = self.packed.__getitem__
+        out = [b"".join(map(known, row)) for row in rows]
         for w in new:
             if len(w) > LONGEST_KEPT:
                 del self.packed[w]
+                self.stems.pop(w, None)
         return out
 
 
@@ -102,7 +135,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
         step = 4 * capacity
         for part in arrow_slices(batches):
             rows = []
-            for doc_id, packed in zip(part.column("doc_id").to_pylist(), table.encode(part.column("text").to_pylist()), strict=True):
+            raw = part.column("text").cast(pa.binary()).to_pylist()
+            for doc_id, packed in zip(part.column("doc_id").to_pylist(), table.encode(raw), strict=True):
                 packed += last
                 for i, at in enumerate(range(0, len(packed), step)):
                     ids = packed[at : at + step]
@@ -188,43 +222,42 @@ def slots_of(groups: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nd
     return {n: tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) for n, rows in slots.items()}
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, salted: int = SALTED) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    `pieces` is read twice, so give it written out. Nothing is lost or cut; an empty table
-    gives an empty result, and repeated rows are packed as often as they come.
+    `pieces` is read several times, so give it written out. Nothing is lost or cut.
     """
     spark = pieces.sparkSession
-    salts = salts or min(1024, max(32, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    counted = salted.groupBy("length", "salt").count().collect()  # at most capacity x salts rows
-    by_length: Counter = Counter()
-    base: dict[int, np.ndarray] = {}
-    per = defaultdict(lambda: np.zeros(salts, np.int64))
-    for length, salt, n in counted:
-        by_length[length] += n
-        per[length][salt] = n
-    for length, n in per.items():
-        base[length] = np.concatenate([[0], np.cumsum(n)[:-1]])
-    slots = slots_of(plan_groups(by_length, capacity))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
-    shared = spark.sparkContext.broadcast((base, slots))  # bounded by capacity, salts and the plan's groups
+    by_length = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
+    names = [x.split()[0] for x in PACKED.split(", ")]
+    full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    # numbers below zero: full pieces have the others
+    slots = slots_of(plan_groups({n: c for n, c in by_length.items() if n < capacity}, capacity))
+    salts = spark.createDataFrame([(n, -(-c // salted)) for n, c in by_length.items()], "length long, salts long")
+    rest = pieces.filter(F.col("length") < capacity).join(F.broadcast(salts), "length")  # a row a length
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).drop("salts")
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    base = rest.groupBy("length", "salt").count().select("length", "salt", before.alias("base"))
+    ranked = rest.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
+    ranked = ranked.join(base, ["length", "salt"]).select(*names[:5], (F.col("nth") + F.col("base")).alias("rank"))
+    shared = spark.sparkContext.broadcast(slots)  # bounded by the plan's groups
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, slots = shared.value
+        slots = shared.value
         for batch in batches:
-            length, salt, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "salt", "rank"))
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for n in np.unique(length).tolist():
                 at = np.flatnonzero(length == n)
-                r = rank[at] + base[n][salt[at]]
                 first, seq, off = slots[n]
-                k = np.searchsorted(first, r, side="right") - 1
-                sequence[at], offset[at] = seq[k] + r - first[k], off[k]
-            cols = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+                k = np.searchsorted(first, rank[at], side="right") - 1
+                sequence[at], offset[at] = -1 - (seq[k] + rank[at] - first[k]), off[k]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:5]], pa.array(sequence), pa.array(offset)], names=names)
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return full.select(*names).union(ranked.mapInArrow(place, PACKED))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -466,6 +466,34 @@ def test_op10_packs_every_piece(which, request):
     assert n <= -(-total // 2048) * 1.05 + 2
 
 
+def test_op10_words_alone_are_the_text():
+    """Every character, alone and before or after letters and signs, gives in a text of such words the tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    table = op10_packing.WordTable(tok)
+    chars = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x20000)]]
+    for at in range(0, len(chars), 2_000):
+        text = " ".join(f"{c}. A{c}, {c}b {c}'s" for c in chars[at : at + 2_000])
+        assert table.encode([text.encode()])[0] == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), at
+    odd = "<|endoftext|>x <|startoftext|>. İ. क़. STRASSE. ß, ﬁ. Σ. ΑΣ. \u200b. \u0301. a\u0301, \x1c\x85\xa0.\u2003 I.D. tree.."
+    assert table.encode([odd.encode()])[0] == np.array(tok.encode(odd, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_op10_ranks_with_salts(spark):
+    """Lengths with many salts, one of them full: each piece has a place of its own."""
+    rows = [(i, 0, 0, n, i) for i, n in enumerate([2048] * 40 + [1] * 500 + [700] * 90 + [1300] * 33)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = op10_packing.pack(pieces, salted=7).collect()
+    assert sorted(r.doc_id for r in got) == [r[0] for r in rows]
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 2048
+
+
 def test_op10_plans_near_the_least():
     for capacity, draw in ((2048, lambda: min(2048, int(rng.lognormvariate(6, 1.2)) + 1)), (100, lambda: rng.randint(1, 100)), (30, lambda: rng.choice([8, 11, 16]))):
         counts = Counter(draw() for _ in range(5000))

@@ -1,22 +1,31 @@
 """Operator 4: main text of a page by tag-path ratios.
 
-A page is read as blocks (runs of text between block-level tags), each with its path of
-block-level tags. Per path the page's text length and punctuation are averaged over the
-path's blocks, both ratios are smoothed over neighbouring blocks, fused by product, and
-blocks whose value passes a share of the page's best are content. The element that
-holds most of the content is the article; its other blocks (headings, short paragraphs,
-list items beside content) belong to it too, unless they are a part that isn't text of the
-article: menus, headers, footers, sidebars, notices, adverts, forms, comments, hidden
-parts, or mostly links.
-
-Null, empty and textless pages give "". Unclosed and stray tags are closed where HTML's
-rules or the next closing tag of an ancestor close them. Rows pass through one by one.
+A page is read as blocks (runs of text between block-level tags), each with its root-to-leaf
+path of block-level tags. Per path, text length (without links) and punctuation are summed
+and divided by the path's blocks; both ratios are smoothed over neighbouring blocks, fused
+by product and averaged over the path again. A path is content if its value reaches CONTENT
+of the page's best. Tags and names of what isn't an article (menus, headers, footers,
+sidebars, notices, adverts, forms, comments, hidden parts) are a prior: each one on the way to
+a block multiplies its path's value by PART, so they decide against what stands outside of
+them, but not where all text lies in such an element.
+
+The article is the lowest common ancestor of all content blocks. Its blocks from the first
+content to the last are the text, also short ones, lists and links between them, but for parts that open inside
+the article; headings right before belong to it, and where the ancestor is an element of its
+own (not the body) also what stands before and after, unless it is mostly links.
+
+Null, empty and textless pages, and pages of links only, give "". Unclosed and stray tags are
+closed where HTML's rules or the next closing tag of an ancestor close them; reading takes time
+in proportion to the page, however deep it nests. Rows pass through one by one: repeated rows
+give repeated rows, an empty table none, and other columns play no part.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,9 +42,13 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 PARTS = set("head nav aside footer form menu dialog fieldset button".split())
+SINGLE = {"p", "li", "pre", "td", "th", "dd", "dt", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"}
 HEADINGS = {f"h{i}" for i in range(1, 7)}
 CLOSES_P = BLOCK - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
-SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+ENDS_P = {"td", "th", "div", "section", "article", "li", "body"}
+# What an opening tag closes: the innermost open element of these, unless one of those stands between.
+FAMILIES = {"p": ({"p"}, ENDS_P), "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"})}
+CLOSES = {"li": ("li",), "dt": ("dt",), "dd": ("dt",), "tr": ("tr", "td"), "td": ("td",), "th": ("td",)}
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|popup|modal|overlay|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscri\w*|signup|login|"
     r"nav|navbar|navigation|menu\w*|breadcrumbs?|pagination|pager|toc|header|masthead|footer|foot|copyright|legal|sidebars?|side|aside|widgets?|rail|related|recommend\w*|"
@@ -44,27 +57,45 @@ NAMES = re.compile(
 )
 #: Share of the best fused ratio that makes a block content.
 CONTENT = 0.08
-#: Share of content text that the article's element holds at least.
-HOLDS = 0.7
+#: What a part's tag or name multiplies a path's value by.
+PART = 1e-4
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|$)|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)",
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?:>|[\"'][^>]*>).*?(?:</\1\s*>|$)|"
+    r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|$|[\"'][^>]*(?:>|$))",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_CLASS = re.compile(r"""\bclass\s*=\s*["']?([\w-]+)""")
 _MARKS = re.compile(r"[.,;:!?、。，！？]")
 
 
-class Block:
-    __slots__ = ("chain", "links", "marks", "parent", "part", "path", "tag", "text")
+class Page:
+    """A page's block-level elements and, in order, its blocks with text."""
+
+    def __init__(self) -> None:
+        # elements, 0 being the root: parent, tag, parts on the way to it, path
+        self.parent, self.tag, self.parts, self.path = [0], ["#"], [0], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+        # blocks: element, text, characters in links, punctuation
+        self.element: list[int] = []
+        self.text: list[str] = []
+        self.links: list[int] = []
+        self.marks: list[int] = []
+
+    def open(self, tag: str, parent: int, part: bool, label: str) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.parts.append(self.parts[parent] + part)
+        self.path.append(self.paths.setdefault((self.path[parent], label), len(self.paths) + 1))
+        return len(self.tag) - 1
 
 
-def is_part(tag: str, attributes: str, inside: list) -> bool:
+def is_part(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element opens a part that isn't the article's text."""
     if tag in PARTS:
         return True
     if tag == "header":
-        return not any(t in ("article", "main") for t, _, _, _ in inside)
+        return not in_article
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -78,44 +109,45 @@ def is_part(tag: str, attributes: str, inside: list) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks with text, in order."""
-    out: list[Block] = []
-    open_: list[tuple[str, int, bool, str]] = [("#", 0, False, "")]  # tag, number, in a part, label
-    number, links = 0, 0
+def read(html_: str) -> Page:
+    page = Page()
+    stack = [0]
+    # per open element and family: place in the stack of the innermost open member in scope, or -1
+    nearest: list[dict[str, int]] = [dict.fromkeys(FAMILIES, -1)]
+    opened: Counter = Counter()
+    links = 0
     buffer: list[str] = []
-    linked: list[int] = []
+    linked = 0
+    #: An inline part that is open (button, span.ad): its tag and how deep it nests.
+    skipped, depth = "", 0
 
     def close_block() -> None:
+        nonlocal linked
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                b = Block()
-                b.text, b.links, b.marks = text, min(len(text), sum(linked)), len(_MARKS.findall(text))
-                b.chain = [n for _, n, _, _ in open_]
-                b.path = "/".join(label for _, _, _, label in open_)
-                b.tag, b.parent, b.part = open_[-1][0], open_[-2][1] if len(open_) > 1 else 0, any(p for _, _, p, _ in open_)
-                out.append(b)
+                page.element.append(stack[-1])
+                page.text.append(text)
+                page.links.append(min(len(text), linked))
+                page.marks.append(len(_MARKS.findall(text)))
             buffer.clear()
-            linked.clear()
+        linked = 0
 
     def pop_to(i: int) -> None:
         close_block()
-        del open_[i:]
+        for n in stack[i:]:
+            opened[page.tag[n]] -= 1
+        del stack[i:], nearest[i:]
 
-    inline_part: list[str] = []
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            if not inline_part:
-                buffer.append(piece)
-                if links:
-                    linked.append(len(piece))
+    for m in _TOKEN.finditer(html_):
+        if m.start() > at and not skipped:
+            buffer.append(html_[at : m.start()])
+            linked += (m.start() - at) * (links > 0)
         at = m.end()
         tag = m.group(3)
         if not tag:
-            if m.group(1) and not inline_part:
+            if m.group(1) and not skipped:
                 buffer.append(" ")
             continue
         tag, attributes = tag.lower(), m.group(4)
@@ -123,57 +155,49 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "a":
                 links = max(0, links - 1)
             if tag in BLOCK:
-                for i in range(len(open_) - 1, 0, -1):
-                    if open_[i][0] == tag:
-                        pop_to(i)
-                        links = 0
-                        inline_part.clear()
-                        break
-            elif tag in inline_part:
-                del inline_part[inline_part.index(tag) :]
+                if opened[tag]:
+                    i = len(stack) - 1
+                    while page.tag[stack[i]] != tag:
+                        i -= 1
+                    pop_to(i)
+                    links, skipped = 0, ""
+            elif tag == skipped:
+                depth -= 1
+                if not depth:
+                    skipped = ""
             continue
         if tag == "br" or tag == "wbr":
             buffer.append(" " * (tag == "br"))
             continue
+        in_article = opened["article"] + opened["main"] > 0
         if tag not in BLOCK:
-            if tag == "a":
-                links += 1
-            if inline_part and tag not in VOID and tag == inline_part[0]:
-                inline_part.append(tag)
-            elif not inline_part and tag not in VOID and not attributes.rstrip().endswith("/") and (tag == "button" or attributes and tag != "a" and is_part(tag, attributes, open_)):
-                inline_part.append(tag)
+            links += tag == "a"
+            if tag in VOID or attributes.rstrip().endswith("/"):
+                continue
+            if skipped:
+                depth += tag == skipped
+            elif tag == "button" or attributes and tag != "a" and is_part(tag, attributes, in_article):
+                skipped, depth = tag, 1
             continue
         close_block()
         if tag == "hr":
             continue
-        inline_part.clear()
-        if tag in CLOSES_P:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] == "p":
-                    pop_to(i)
-                    break
-                if open_[i][0] in ("td", "th", "div", "section", "article", "li", "body"):
-                    break
-        if tag in SIBLINGS:
-            same, stop = SIBLINGS[tag]
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] in stop:
-                    break
-                if open_[i][0] in same:
-                    pop_to(i)
-                    break
-        if tag == "body":
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] == "head":
-                    pop_to(i)
-        number += 1
-        name = re.search(r"""\bclass\s*=\s*["']?([\w-]+)""", attributes) if attributes else None
-        open_.append((tag, number, is_part(tag, attributes, open_), f"{tag}.{name[1]}" if name else tag))
+        skipped = ""
+        for family in (*(("p",) if tag in CLOSES_P else ()), *CLOSES.get(tag, ())):
+            if (i := nearest[-1][family]) >= 0:
+                pop_to(i)
+        if tag == "body" and opened["head"]:
+            while opened["head"]:
+                pop_to(len(stack) - 1)
+        name = _CLASS.search(attributes) if attributes else None
+        stack.append(page.open(tag, stack[-1], is_part(tag, attributes, in_article), f"{tag}.{name[1]}" if name else tag))
+        opened[tag] += 1
+        nearest.append({f: len(stack) - 1 if tag in own else -1 if tag in ends else nearest[-1][f] for f, (own, ends) in FAMILIES.items()})
         links = 0
-    if at < len(page) and not inline_part:
-        buffer.append(page[at:])
+    if at < len(html_) and not skipped:
+        buffer.append(html_[at:])
     close_block()
-    return out
+    return page
 
 
 def smoothed(values: list[float]) -> list[float]:
@@ -182,38 +206,62 @@ def smoothed(values: list[float]) -> list[float]:
     return [(2 * values[i] + (values[i - 1] if i else values[i]) + (values[i + 1] if i + 1 < n else values[i])) / 4 for i in range(n)]
 
 
-def main_text(page: str | None) -> str:
-    blocks = [b for b in blocks_of(page or "") if not b.part]
-    if not blocks:
-        return ""
-    sums: dict[str, list[float]] = {}
-    for b in blocks:
-        s = sums.setdefault(b.path, [0, 0, 0])
-        s[0] += 1
-        s[1] += len(b.text) - b.links
-        s[2] += b.marks
-    lengths = smoothed([sums[b.path][1] / sums[b.path][0] for b in blocks])
-    marks = smoothed([sums[b.path][2] / sums[b.path][0] for b in blocks])
-    fused = [n * (1 + m) for n, m in zip(lengths, marks, strict=True)]
-    least = CONTENT * max(fused)
-    content = [b for b, f in zip(blocks, fused, strict=True) if f >= least and 2 * b.links <= len(b.text)]
-    if not content:
+def path_values(page: Page) -> dict[int, float]:
+    """Path -> its fused ratio, lowered by the parts on the way."""
+    paths = [page.path[e] for e in page.element]
+    count: Counter = Counter(paths)
+    length, marks = Counter(), Counter()
+    for p, text, linked, m in zip(paths, page.text, page.links, page.marks, strict=True):
+        length[p] += len(text) - linked
+        marks[p] += m
+    lengths, punctuation = (smoothed([s[p] / count[p] for p in paths]) for s in (length, marks))
+    total: Counter = Counter()
+    for p, n, m in zip(paths, lengths, punctuation, strict=True):
+        total[p] += n * (1 + m) * (length[p] > 0)
+    parts = {page.path[e]: page.parts[e] for e in page.element}
+    return {p: v / count[p] * PART ** parts[p] for p, v in total.items()}
+
+
+def common_ancestor(page: Page, elements: set[int]) -> int:
+    """Elements are numbered as they open, so the largest number is never an ancestor of the others."""
+    rest = sorted(elements)
+    held = set(rest)
+    heap = [-e for e in rest]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        e = -heapq.heappop(heap)
+        up = page.parent[e]
+        if up not in held:
+            held.add(up)
+            heapq.heappush(heap, -up)
+    return -heap[0]
+
+
+def main_text(html_: str | None) -> str:
+    page = read(html_ or "")
+    values = path_values(page) if page.text else {}
+    best = max(values.values(), default=0)
+    if best <= 0:
         return ""
-    weight: dict[int, int] = {}
-    for b in content:
-        for n in b.chain:
-            weight[n] = weight.get(n, 0) + len(b.text)
-    total = weight[0]
-    # elements are numbered as they open, so of those that hold enough the last one is innermost
-    article = max(n for n, w in weight.items() if w >= HOLDS * total)
-    tags = {b.chain[-1]: b.tag for b in content}
-    if tags.get(article) in ("p", "li", "pre", "td", "dd", "blockquote", "h1", "h2", "h3"):
-        # one paragraph is most of the article: what holds it is the article
-        chain = next(b.chain for b in content if b.chain[-1] == article)
-        article = chain[-2] if len(chain) > 1 else 0
-    chosen = {id(b) for b in content}
-    parents = {b.parent for b in content}
-    kept = [b.text for b in blocks if article in b.chain and 2 * b.links <= len(b.text) and (id(b) in chosen or b.tag in HEADINGS or b.parent in parents or article != 0)]
+    is_content = [values[page.path[e]] >= CONTENT * best for e in page.element]
+    content = [i for i, c in enumerate(is_content) if c]
+    article = common_ancestor(page, {page.element[i] for i in content})
+    if page.tag[article] in SINGLE:
+        # one paragraph is all the content: what holds it is the article
+        article = page.parent[article]
+    # an element is inside the article if its parent is; parents come first
+    inside = [False] * len(page.tag)
+    inside[article] = True
+    for e in range(article + 1, len(page.tag)):
+        inside[e] = inside[page.parent[e]]
+    first, last = content[0], content[-1]
+    apart = page.parts[article]
+    usable = [c or inside[e] and page.parts[e] <= apart for c, e in zip(is_content, page.element, strict=True)]
+    start = first
+    while start and usable[start - 1] and page.tag[page.element[start - 1]] in HEADINGS:
+        start -= 1
+    own = page.tag[article] not in ("#", "html", "body")
+    kept = [t for i, t in enumerate(page.text) if usable[i] and (start <= i <= last or own and 2 * page.links[i] <= len(t))]
     return "\n".join(kept)
 
 

@@ -7,18 +7,21 @@ text shorter than a gram one hash of the whole, an empty text (null counts as on
 
 `compare_with_next` also needs each document's successor by id. Ids are cut at quantiles
 into ranges, each range is sorted in one task, and only the ends of ranges meet their
-successors by a join, so no global window is needed. Rows of one id stand in the order of
-their texts, null ids first; the last row's successor is the first.
+successors by a join, so no global window is needed. An id that fills more than a range
+(null counts as the least id) is a range of its own, cut further by a hash of the text. Rows
+of one id stand in the order of that hash and of their texts; the last row's successor is
+the first. Repeated rows give repeated rows, an empty table none; other columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreline.llm.common import minimizers, mix, prefix_sums, range_hash, rolling, sliding, texts
@@ -90,7 +93,7 @@ def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows followed by another of their range, in ranges sorted by id and text."""
     held, rows, size = None, [], 0
     for batch in batches:
-        for part, doc_id, text in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for part, doc_id, text in zip(zip(batch.column("part").to_pylist(), batch.column("sub").to_pylist(), strict=True), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             prints = winnow(code_points(text))
             if held and held[0] == part:
                 rows.append(compared(held[1], held[2], text, held[3], prints))
@@ -110,19 +113,32 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(rows)
 
 
+def _numbers(values: list[int]) -> Column:
+    return F.array(*[F.lit(x) for x in values]).cast("array<long>")
+
+
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Each row's fingerprint, that of its edited text, and their likeness to it and to the next row's."""
-    rows = texts(docs)
-    spark = docs.sparkSession
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})  # a few numbers a partition
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    part = F.size(F.filter(bounds, lambda c: c < F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))))
-    ranges = rows.select(part.alias("part"), "doc_id", "text").repartition("part").sortWithinPartitions("part", "doc_id", "text")
-    ends = ranges.groupBy("part").agg(F.min(F.struct("doc_id", "text")).alias("head"), F.max(F.struct("doc_id", "text")).alias("tail"))
+    rows = texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("mark", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = Counter(int(x) for x in rows.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n))  # a few numbers a partition
+    # an id that is a quantile m times over has about m ranges' rows
+    hot = {c: m for c, m in found.items() if m > 1}
+    cuts = sorted({*found, *[c - 1 for c in hot if c > -(1 << 63)]})
+    step = max(1, int(len(cuts) ** 0.5))
+    coarse = F.size(F.filter(_numbers(cuts[::step]), lambda c: c < F.col("key")))
+    fine = F.size(F.filter(F.slice(_numbers(cuts), F.greatest(coarse - 1, F.lit(0)) * step + 1, F.lit(step)), lambda c: c < F.col("key")))
+    part = F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + fine)
+    pieces = max(hot.values(), default=1)
+    sub = F.when(F.array_contains(_numbers(sorted(hot)), F.col("key")), F.floor(F.col("mark") / (2.0**63 / pieces))).otherwise(F.lit(0)).cast("int")
+    order_of = ["part", "sub", "key", "mark", "text"]
+    ranges = rows.select(part.alias("part"), sub.alias("sub"), "key", "mark", "doc_id", "text").repartition("part", "sub").sortWithinPartitions(*order_of)
+    row = F.struct("key", "mark", "text", "doc_id")
+    ends = ranges.groupBy("part", "sub").agg(F.min(row).alias("head"), F.max(row).alias("tail"))
     # one row a range: which range comes next, the first one after the last
-    order = Window.orderBy("part")
-    chain = ranges.select("part").distinct().select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("next"))
-    heads = ends.select(F.col("part").alias("next"), F.col("head.text").alias("after"))
-    last = ends.select("part", "tail.doc_id", "tail.text").join(chain, "part").join(heads, "next").select("doc_id", "text", "after")
-    return ranges.mapInArrow(_inside, SCHEMA).unionByName(last.mapInArrow(_ends, SCHEMA))
+    order, whole = Window.orderBy("part", "sub"), F.struct("part", "sub")
+    chain = ranges.select("part", "sub").distinct().select("part", "sub", F.coalesce(F.lead(whole).over(order), F.first(whole).over(order)).alias("next"))
+    heads = ends.select(F.struct("part", "sub").alias("next"), F.col("head.text").alias("after"))
+    last = ends.select("part", "sub", "tail.doc_id", "tail.text").join(chain, ["part", "sub"]).join(heads, "next").select("doc_id", "text", "after")
+    inside = ranges.select("part", "sub", "doc_id", "text").mapInArrow(_inside, SCHEMA)
+    return inside.unionByName(last.mapInArrow(_ends, SCHEMA))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 
 from acreline.llm import op1_sentencepiece, op2_substring, op3_minhash, op4_html, op5_ann, op6_winnowing, op7_licenses, op8_suffix, op9_toxicity, op10_packing, queries
 from tests.conftest import SF
@@ -241,6 +242,37 @@ def test_op4_pages(page, want):
     assert op4_html.main_text(page) == want
 
 
+LONG, SOME = "Long text, of it. " * 30, "Other text, of it. Yes."
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<article><section><p>{LONG}</p></section><section><p>{SOME}</p></section></article>", [LONG, SOME]),
+    (f"<body><p>{SOME} Lead.</p><div class=body><div>{SOME} In.</div><div>Short.</div><blockquote><p>{LONG}</p></blockquote></div><p>{SOME} Last.</p>", [f"{SOME} Lead.", f"{SOME} In.", "Short.", LONG, f"{SOME} Last."]),
+    (f"<main><p>{LONG}</p><ul><li><a href=x>Only a link</a></ul><p>{LONG}</p></main><footer>{SOME}</footer>", [LONG, "Only a link", LONG]),
+    (f'<div class="page-header"><nav><a href=x>m</a></nav><p>{SOME}</p><div class=comments><p>{LONG}</p></div></div>', [SOME]),
+    (f"<nav><ul><li><a href=x>m</a></ul></nav><div><h1>Title</h1><p>{LONG}</p></div><div class=sidebar><p>{LONG}</p></div>", ["Title", LONG]),
+    (f'<p>{LONG}<span class="ad">Buy <span>now</span> cheap</span>end</p>', [LONG + "end"]),
+])
+def test_op4_whole_articles(page, want):
+    assert op4_html.main_text(page) == "\n".join(" ".join(x.split()) for x in want)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 30_000 + "<p>x", "<div>x" * 30_000, "</p>" * 30_000, "<ul>" * 30_000 + "<li>a.", '<a "' * 30_000, '<span class="ad">' * 30_000])
+def test_op4_takes_time_in_proportion(page):
+    import time
+
+    start = time.process_time()
+    op4_html.main_text(page)
+    assert time.process_time() - start < 10
+
+
+def test_op4_rows(spark):
+    df = spark.createDataFrame([(1, "u", f"<p>{LONG}", 5), (1, "u", f"<p>{LONG}", 5), (None, None, None, None), (2, "v", "", 1), (3, "w", f"<p>{LONG}" * 2000, 1)], "page_id long, url string, html string, text int")
+    got = rows(op4_html.extract_pages(df))
+    assert [(r[0], r[1], r[3]) for r in got] == [(1, "u", len(LONG) - 1)] * 2 + [(2, "v", 0), (3, "w", 2000 * len(LONG) - 1), (None, None, 0)]
+    assert op4_html.extract_pages(df.limit(0)).count() == 0
+
+
 def test_op4_articles(spark):
     import html
 
@@ -305,7 +337,8 @@ def test_op6_keeps_rightmost_minima(text):
 @pytest.mark.parametrize("which", ["edge", "docs", "empty"])
 def test_op6_edits_and_likeness(which, request):
     df = request.getfixturevalue(which)
-    items = sorted([(r.doc_id, r.text or "") for r in df.collect()], key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    # rows of one id stand in the order of a hash of their texts
+    items = sorted([(r.doc_id, r.text or "") for r in df.collect()], key=lambda x: (x[0] is not None, x[0] or 0, xxhash.xxh64_intdigest(x[1].encode(), 42) >> 1, x[1].encode()))
     want = Counter()
     for i, (d, t) in enumerate(items):
         after, n = items[(i + 1) % len(items)][1], len(t)
@@ -315,6 +348,16 @@ def test_op6_edits_and_likeness(which, request):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (r.near_edited == 1 or r.fingerprint != r.edited_fingerprint) for r in got)
 
 
+def test_op6_whole_results_with_hot_ids(spark):
+    """Fingerprints and likeness of all rows equal a plain computation; a third of rows have no id, a third one id."""
+    r = random.Random(4)
+    items = [([None, 7, i][i % 3], " ".join(r.choice(WORDS) for _ in range(r.randrange(60)))) for i in range(240)]
+    got = op6_winnowing.compare_with_next(spark.createDataFrame(items, "doc_id long, text string")).collect()
+    items.sort(key=lambda x: (x[0] is not None, x[0] or 0, xxhash.xxh64_intdigest(x[1].encode(), 42) >> 1, x[1].encode()))
+    want = Counter(op6_winnowing.compared(d, t, items[(i + 1) % len(items)][1]) for i, (d, t) in enumerate(items))
+    assert Counter(map(tuple, got)) == want
+
+
 def test_op6_likeness_tells_edits_from_others():
     r = random.Random(6)
     chars = lambda n: "".join(r.choice("abcdefghijklmnop  ") for _ in range(n))

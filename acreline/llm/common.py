@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a worker; Spark's own bound is sixteen times as much, twice per task while a batch is built.
+BATCH_BYTES = 4 << 20
 #: A column that no table has.
 CARRIED = "__carried_with_its_row"
 SPACE = np.zeros(256, dtype=bool)
@@ -60,8 +62,16 @@ def plain(df: DataFrame, names: list[str]) -> DataFrame:
     return out.select(*[F.col(f"__keep_{k}").alias(n) for k, n in enumerate(names)])
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches be cut by bytes, since texts differ in length by orders of magnitude. A smaller bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame, carry: Column | None = None) -> DataFrame:
     """(doc_id, text) of each row: null texts as empty, other columns left out; with `carry` that column as `carry`."""
+    bound_batches(docs.sparkSession)
     rows = plain(docs, ["doc_id", "text"]) if carry is None else plain(docs.withColumn(CARRIED, carry), ["doc_id", "text", CARRIED])
     some = [F.col(CARRIED).alias("carry")] if carry is not None else []
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *some)

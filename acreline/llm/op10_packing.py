@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from acreline.llm.common import arrow_slices, materialize, texts
 
 CAPACITY = 2048
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 200_000
 LONGEST_KEPT = 64
 #: Pieces of a length that one task ranks, about.
 SALTED = 20_000

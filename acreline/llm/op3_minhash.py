@@ -41,6 +41,8 @@ SIMILAR = 0.8
 PARITIES = 1024
 #: Nearest members that a member is aligned with in the first round, and by how much they grow.
 NEAREST, MORE = 3, 16
+#: A run that a text has more often than this is looked up as a mask.
+OFTEN = 64
 #: Members of a bucket's block.
 BLOCK = 2_000
 NO_ID = -(1 << 63)
@@ -92,6 +94,39 @@ def sketch(runs: np.ndarray, bands: int = BANDS, kept: int = KEPT) -> np.ndarray
     return np.concatenate(out)
 
 
+def in_band(x: np.ndarray, y: np.ndarray, band: int) -> int:
+    """Longest common subsequence of x and y that matches i to j only where |i - j| <= band.
+
+    A row of bits holds the places of x from j - band to j + band, one that is 0 having been
+    matched; it moves on by a place with each j, so memory follows the band.
+    """
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(x.tolist()):
+        places.setdefault(v, []).append(i)
+    masks = {v: sum(1 << i for i in at) for v, at in places.items() if len(at) > OFTEN}
+    width = 2 * band + 1
+    full = (1 << width) - 1
+    row, common = full, 0
+    for j, v in enumerate(y.tolist()):
+        if j:
+            common += 1 - (row & 1)
+            row = row >> 1 | 1 << width - 1
+        at = places.get(v)
+        if not at:
+            continue
+        low = j - band
+        if v in masks:
+            hit = (masks[v] >> low if low >= 0 else masks[v] << -low) & full
+        else:
+            hit = 0
+            for i in at:
+                if 0 <= i - low < width:
+                    hit |= 1 << i - low
+        if hit:
+            row = ((row + (row & hit)) | (row & ~hit)) & full
+    return common + width - row.bit_count()
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> float:
     """common / (a + b - common) of the best alignment of two rows of runs, or 0 if under `similar`.
 
@@ -116,20 +151,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similar: float = SIMILAR) -> float:
     x, y = a[head : n - tail], b[head : m - tail]
     common = head + tail
     if len(x) and common + len(np.intersect1d(labelled(x), labelled(y))) >= similar * (n + m) / (1 + similar):
-        band = int((1 - similar) / similar * n) + 1
-        places: dict[int, int] = {}
-        for i, v in enumerate(x.tolist()):
-            places[v] = places.get(v, 0) | 1 << i
-        full = (1 << len(x)) - 1
-        row = full
-        width = (1 << (2 * band + 1)) - 1
-        for j, v in enumerate(y.tolist()):
-            hit = places.get(v, 0)
-            if hit:
-                hit &= width << (j - band) if j >= band else width >> (band - j)
-                found = row & hit
-                row = ((row + found) | (row & ~hit)) & full
-        common += len(x) - row.bit_count()
+        common += in_band(x, y, int((1 - similar) / similar * n) + 1)
     score = common / (n + m - common)
     return score if score >= similar else 0.0
 

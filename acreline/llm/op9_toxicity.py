@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreline.llm.common import arrow_slices, byte_values, plain, prefix_sums, range_hash, text_bytes, texts, words_of
+from acreline.llm.common import arrow_slices, bound_batches, byte_values, plain, prefix_sums, range_hash, text_bytes, texts, words_of
 
 BUCKETS = 1 << 15
 SIZE = 16
@@ -225,6 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit, in one task, on at most `sample_rows` labelled rows that learning may use: crc32 of the id modulo 4 isn't 2."""
     marks = plain(labels, ["doc_id", "toxic"]).filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 4 <> 2")
     chosen = marks.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    bound_batches(docs.sparkSession)
     names = ["doc_id", "text"] + ["lang"] * ("lang" in docs.columns)
     found = plain(docs, names).join(F.broadcast(chosen), "doc_id")  # at most sample_rows rows of two integers
     lang = F.col("lang") if "lang" in names else F.lit(None).cast("string")
@@ -260,6 +261,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows under their language's threshold, with all their columns; all rows if there was nothing to learn from."""
     if not model.learned:
         return docs
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index("text")
     at_lang = docs.columns.index("lang") if "lang" in docs.columns else None

@@ -99,10 +99,34 @@ def cell(lat: Column, lng: Column, size: float = HEAT_CELL) -> tuple[Column, Col
     return F.floor(lat / size).cast("long"), F.floor(lng / size).cast("long")
 
 
+RING = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1))
+
+
 def ring(row: Column, col: Column) -> Column:
-    """Own cell and its neighbours on an axial hexagonal grid: array<struct<r, c>> of seven."""
+    """Own cell and its eight neighbours on the square grid: array<struct<r, c>> of nine."""
+    return F.array(*[F.struct((row + a).alias("r"), (col + b).alias("c")) for a, b in RING])
+
+
+#: A degree of longitude in degrees of latitude where the hexagons are regular, and their radius in degrees.
+HEX_SHRINK, HEX_SIZE = 0.82, 0.0025
+
+
+def hexagon(lat: Column, lng: Column, size: float = HEX_SIZE) -> tuple[Column, Column]:
+    """(q, r) of the pointy-topped hexagon around a point, in axial coordinates."""
+    x = lng * HEX_SHRINK
+    q, r = (x * 0.5773502691896258 - lat * 0.3333333333333333) / size, lat * 0.6666666666666666 / size
+    s = F.lit(0.0) - q - r
+    near = lambda v: F.floor(v + 0.5)
+    dq, dr, ds = F.abs(near(q) - q), F.abs(near(r) - r), F.abs(near(s) - s)
+    # of the three rounded coordinates the one that is farthest off follows from the others
+    q_off, r_off = (dq > dr) & (dq > ds), (dr > ds)
+    return F.when(q_off, -near(r) - near(s)).otherwise(near(q)).cast("long"), F.when(~q_off & r_off, -near(q) - near(s)).otherwise(near(r)).cast("long")
+
+
+def hexagon_ring(q: Column, r: Column) -> Column:
+    """Own hexagon and its six neighbours: array<struct<q, r>> of seven."""
     steps = ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1))
-    return F.array(*[F.struct((row + a).alias("r"), (col + b).alias("c")) for a, b in steps])
+    return F.array(*[F.struct((q + a).alias("q"), (r + b).alias("r")) for a, b in steps])
 
 
 def sector(dlat: Column, dlng: Column, ratio: float = 1.7) -> Column:

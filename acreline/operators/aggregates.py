@@ -36,6 +36,25 @@ def index_pick(rows: DataFrame, keys: Sequence[str], value: str, q: float) -> Da
     return at.filter((F.col("__to") > wanted) & (F.col("__to") - F.col("__n") <= wanted)).select(*keys, F.col(value).alias("pick"))
 
 
+def overall_pick(rows: DataFrame, value: str, q: float, bins: int = 4096) -> DataFrame:
+    """The value at position floor(n * q) of the ascending order of all rows, as `pick` (no row if there is none).
+
+    Values are counted in equal bins between their least and greatest; only the bin that holds
+    the position is sorted, value by value.
+    """
+    v = rows.select(F.col(value).cast("double").alias("v")).filter("v is not null")
+    span = v.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    at = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * bins))).otherwise(0).cast("int")
+    binned = v.join(F.broadcast(span), F.lit(True)).select("v", "n", at.alias("bin"))  # one row
+    ordered = Window.orderBy("bin")  # at most `bins` rows
+    held = binned.groupBy("bin", "n").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(ordered))
+    wanted = F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1)
+    one = held.withColumn("wanted", wanted).filter("upto > wanted and upto - k <= wanted").select("bin", F.col("wanted") - (F.col("upto") - F.col("k")))
+    inside = binned.join(F.broadcast(one.toDF("bin", "left")), "bin").groupBy("v", "left").agg(F.count("*").alias("k"))  # one row
+    running = inside.withColumn("upto", F.sum("k").over(Window.orderBy("v")))
+    return running.filter("upto > left and upto - k <= left").select(F.col("v").alias("pick"))
+
+
 def daily(rows: DataFrame, ts: str, first: str, last: str, **measures: Column) -> DataFrame:
     """One row a calendar day from first to last, measures 0 where nothing happened."""
     days = rows.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))

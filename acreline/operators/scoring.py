@@ -33,12 +33,13 @@ def kind_of(c: Column) -> Column:
 def quality(props: DataFrame) -> DataFrame:
     """id, pqi: price (log), size and lot, each from its least to its 99 % value, weighted by kind.
 
-    The bounds are one row, from counts of distinct values, so no global sort of rows is needed.
+    The bounds are one row: each is picked from the one bin of a histogram that holds it, so no task sorts all values.
     """
     rows = props.withColumns({"lp": F.when(F.col("price") > 0, F.ln("price")), "one": F.lit(1)})
     low = rows.groupBy("one").agg(*[F.min(F.when(F.col(c) > 0, F.col(c))).alias(f"{c}_low") for c in ("lp", "sqft", "lot_size")])
     for c in ("lp", "sqft", "lot_size"):
-        low = low.join(aggregates.index_pick(rows.filter(F.col(c) > 0), ["one"], c, 0.99).withColumnRenamed("pick", f"{c}_cap"), "one", "left")
+        cap = aggregates.overall_pick(rows.filter(F.col(c) > 0), c, 0.99).select(F.lit(1).alias("one"), F.col("pick").alias(f"{c}_cap"))
+        low = low.join(cap, "one", "left")
 
     def scaled(c: str) -> Column:
         a, b, v = F.col(f"{c}_low"), F.col(f"{c}_cap"), F.col(c)
@@ -48,34 +49,42 @@ def quality(props: DataFrame) -> DataFrame:
     kind = kind_of(F.col("property_type"))
     weight = lambda i: F.when(kind == "condo", QUALITY["condo"][i]).when(kind == "multi", QUALITY["multi"][i]).otherwise(QUALITY["sfr"][i])
     pqi = sum((weight(i) * scaled(c) for i, c in enumerate(("lp", "sqft", "lot_size"))), F.lit(0.0))
-    return rows.join(F.broadcast(low), "one").select("id", pqi.alias("pqi"))  # one row
+    return rows.join(F.broadcast(low), "one").select(*props.columns, pqi.alias("pqi"))  # one row
 
 
 def heat(props: DataFrame, as_of: Column) -> DataFrame:
-    """id, heat: sales of a year in the own and neighbouring cells, fading by the day; one within 0.1 mile adds a boost.
+    """props with heat: sales of a year in the own and neighbouring cells, fading by the day; one within 0.1 mile adds a boost.
 
-    Sales and properties meet by cell; the pairs are reduced before anything else moves.
+    Sales are summed per cell and cells over their neighbours before a property meets them. For
+    the boost distinct places of sales and properties meet on a grid not much wider than the 0.1 mile
+    (up to 68 degrees of latitude).
     """
     row, col = geo.cell(F.col("lat"), F.col("lng"))
     age = fractional_days(as_of, F.col("sold_date"))
-    sales = props.filter(F.col("sold_date").isNotNull()).withColumn("age", age).filter(f"age BETWEEN 0 AND {HEAT_DAYS}")
-    sales = sales.select(F.struct(row.alias("r"), col.alias("c")).alias("cell"), F.col("lat").alias("slat"), F.col("lng").alias("slng"), F.exp(F.col("age") * -HEAT_DECAY).alias("w"))
-    around = props.select("id", "lat", "lng", F.explode(geo.ring(row, col)).alias("cell"))
-    near = geo.haversine_miles(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng")) <= HEAT_MILES
-    raw = around.join(sales, "cell").groupBy("id").agg(F.sum("w").alias("raw"), F.max(near.cast("int")).alias("near"))
+    sales = props.filter(F.col("sold_date").isNotNull()).withColumn("age", age).filter(f"age BETWEEN 0 AND {HEAT_DAYS}").select("lat", "lng", "age")
+    cells = sales.groupBy(row.alias("r"), col.alias("c")).agg(F.sum(F.exp(F.col("age") * -HEAT_DECAY)).alias("w"))
+    around = cells.select("w", F.inline(geo.ring(F.col("r"), F.col("c")))).groupBy("r", "c").agg(F.sum("w").alias("raw"))
+    fine = lambda: (F.floor(F.col("lat") / 0.0015).alias("r"), F.floor(F.col("lng") / 0.004).alias("c"))
+    places = sales.select("lat", "lng").distinct().select(F.col("lat").alias("slat"), F.col("lng").alias("slng"), *fine())
+    places = places.select("slat", "slng", F.inline(geo.ring(F.col("r"), F.col("c"))))
+    far = geo.haversine_miles(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng"))
+    homes = props.select("lat", "lng").distinct().select("lat", "lng", *fine())
+    near = homes.join(places, ["r", "c"]).filter(far <= HEAT_MILES).select("lat", "lng").distinct().withColumn("near", F.lit(True))
     warm = F.lit(1.0) - F.exp(-F.col("raw"))
-    return props.select("id").join(raw, "id", "left").select("id", F.coalesce(F.when(F.col("near") == 1, F.least(F.lit(1.0), warm * HEAT_BOOST)).otherwise(warm), F.lit(0.0)).alias("heat"))
+    joined = props.withColumns({"r": row, "c": col}).join(around, ["r", "c"], "left").join(near, ["lat", "lng"], "left")
+    value = F.coalesce(F.when(F.col("near"), F.least(F.lit(1.0), warm * HEAT_BOOST)).otherwise(warm), F.lit(0.0))
+    return joined.select(*props.columns, value.alias("heat"))
 
 
 def distress(props: DataFrame, as_of: Column) -> DataFrame:
-    """id, distress: owner, age of the house, and distance of the price from its cell's upper median."""
+    """props with distress: owner, age of the house, and distance of the price from its cell's upper median."""
     row, col = geo.cell(F.col("lat"), F.col("lng"))
     cells = props.withColumns({"r": row, "c": col})
     median = aggregates.index_pick(cells.filter("price > 0"), ["r", "c"], "price", 0.5)
     age = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.year(as_of) - F.col("year_built")) / 50.0)), F.lit(0.5))
     off = F.coalesce(F.least(F.lit(1.0), F.abs(F.col("price") - F.col("pick")) / F.nullif(F.col("pick"), F.lit(0.0))), F.lit(0.0))
     joined = cells.join(median, ["r", "c"], "left")
-    return joined.select("id", (F.lit(DISTRESS[0]) * ownership(F.col("sold_date"), as_of) + F.lit(DISTRESS[1]) * age + F.lit(DISTRESS[2]) * off).alias("distress"))
+    return joined.select(*props.columns, (F.lit(DISTRESS[0]) * ownership(F.col("sold_date"), as_of) + F.lit(DISTRESS[1]) * age + F.lit(DISTRESS[2]) * off).alias("distress"))
 
 
 def contact_penalty(logs: DataFrame) -> DataFrame:
@@ -85,8 +94,10 @@ def contact_penalty(logs: DataFrame) -> DataFrame:
 
 
 def propensity(props: DataFrame, logs: DataFrame, as_of: Column, weights: dict[str, float] | None = None) -> DataFrame:
+    """id, propensity. The parts are columns of one flow of properties, which meets cells and logs but never itself."""
     w = weights or WEIGHTS
-    parts = props.select("id", ownership(F.col("sold_date"), as_of).alias("ownership")).join(quality(props), "id").join(heat(props, as_of), "id").join(distress(props, as_of), "id")
+    some = props.select("id", "lat", "lng", "price", "sqft", "lot_size", "property_type", "year_built", "sold_date")
+    parts = distress(heat(quality(some), as_of), as_of).withColumn("ownership", ownership(F.col("sold_date"), as_of))
     raw = sum((F.col(c) * v for c, v in w.items()), F.lit(0.0))
     joined = parts.join(contact_penalty(logs), F.col("id") == F.col("pid"), "left")
     return joined.select("id", sigmoid(raw - F.coalesce("penalty", F.lit(0.0))).alias("propensity"))

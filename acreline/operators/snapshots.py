@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,19 +58,27 @@ def delete_random(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 class VersionedTable:
-    """A folder of immutable snapshot versions with a pointer file that names the current one."""
+    """A folder of immutable snapshot versions, and numbered pointers of which the last names the current one.
+
+    Nothing that is in use is ever overwritten: a run that stops before its pointer is
+    complete leaves the table as it was.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def current(self) -> str | None:
+    def _pointer(self) -> tuple[int, str | None]:
         try:
-            rows = self.spark.read.text(f"{self.path}/_current").collect()  # one line
-        except Exception as e:  # the table has no version yet
-            if "PATH_NOT_FOUND" not in str(e):
+            pointers = self.spark.read.schema("value string, n long").text(f"{self.path}/pointers")
+            last = pointers.orderBy(F.desc("n")).limit(1).collect()
+        except AnalysisException as e:  # the table has no version yet
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return None
-        return rows[0].value if rows else None
+            return 0, None
+        return (last[0].n, last[0].value) if last else (0, None)
+
+    def current(self) -> str | None:
+        return self._pointer()[1]
 
     def read(self) -> DataFrame | None:
         version = self.current()
@@ -78,7 +87,8 @@ class VersionedTable:
     def swap(self, rows: DataFrame, version: str | None = None) -> str:
         """Write a version and point to it; a version that is already current isn't written again."""
         version = version or f"v-{uuid.uuid4().hex}"
-        if self.current() != version:
+        n, held = self._pointer()
+        if held != version:
             rows.write.mode("overwrite").parquet(f"{self.path}/{version}")
-            self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_current")
+            self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/pointers/n={n + 1}")
         return version

@@ -56,7 +56,7 @@ def e06(t: Tables) -> DataFrame:
 @query("e08_latency", "SELECT round(avg(value), 4) AS mean, (SELECT value FROM (SELECT value, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM logs) x WHERE r = least(n - 1, floor(n * 0.95)) + 1) AS p95 FROM logs")
 def e08(t: Tables) -> DataFrame:
     one = t.logs.withColumn("one", F.lit(1))
-    return one.groupBy("one").agg(F.round(F.avg("value"), 4).alias("mean")).join(aggregates.index_pick(one, ["one"], "value", 0.95), "one").select("mean", F.col("pick").alias("p95"))
+    return one.groupBy("one").agg(F.round(F.avg("value"), 4).alias("mean")).join(aggregates.overall_pick(one, "value", 0.95), F.lit(True)).select("mean", F.col("pick").alias("p95"))
 
 
 @query("e09_price_summary", """SELECT state, count(*) AS n, min(price) AS low, max(price) AS high, round(avg(price), 2) AS mean, max(price) FILTER (r = floor(m / 2) + 1) AS median
@@ -85,7 +85,7 @@ def e11(t: Tables) -> DataFrame:
     return aggregates.index_pick(t.props.select(row.alias("r"), col.alias("c"), "price"), ["r", "c"], "price", 0.5).withColumnRenamed("pick", "median")
 
 
-@query("e12_neighbourhood", f"""WITH rings(a, b) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1))
+@query("e12_neighbourhood", f"""WITH rings(a, b) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1), (1, 1), (-1, -1))
 SELECT r + a AS r, c + b AS c, count(*) AS n FROM (SELECT {CELL} FROM props WHERE status = 'SOLD') s, rings GROUP BY 1, 2""")
 def e12(t: Tables) -> DataFrame:
     row, col = geo.cell(F.col("lat"), F.col("lng"))

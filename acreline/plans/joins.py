@@ -24,10 +24,10 @@ def d01(t: Tables) -> DataFrame:
     return t.logs.filter("status = 'SOLD'").join(t.members, F.col("rep") == F.col("member_id")).select("event_id", "name")
 
 
-@query("d02_zip_coordinates", """WITH zips AS (SELECT zip_code, avg(lat) AS zlat FROM props WHERE id % 2 = 0 AND zip_code < '29620' GROUP BY zip_code)
+@query("d02_zip_coordinates", """WITH zips AS (SELECT zip_code, avg(lat) AS zlat FROM props WHERE zip_code < '29620' GROUP BY zip_code)
 SELECT p.id, round(coalesce(z.zlat, p.lat), 6) AS lat FROM props p LEFT JOIN zips z USING (zip_code)""")
 def d02(t: Tables) -> DataFrame:
-    zips = t.props.filter("id % 2 = 0 AND zip_code < '29620'").groupBy("zip_code").agg(F.avg("lat").alias("zlat"))
+    zips = t.props.filter("zip_code < '29620'").groupBy("zip_code").agg(F.avg("lat").alias("zlat"))
     return t.props.join(zips, "zip_code", "left").select("id", F.round(F.coalesce("zlat", "lat"), 6).alias("lat"))
 
 
@@ -96,7 +96,7 @@ def d12(t: Tables) -> DataFrame:
 
 
 @query("d13_heat_join", """WITH cells AS (SELECT id, CAST(floor(lat / 0.004e0) AS BIGINT) AS r, CAST(floor(lng / 0.004e0) AS BIGINT) AS c, status FROM props),
-rings(a, b) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1))
+rings(a, b) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1), (1, 1), (-1, -1))
 SELECT p.id, count(*) AS n_sales FROM cells p, rings JOIN cells s ON s.status = 'SOLD' AND s.r = p.r + a AND s.c = p.c + b GROUP BY p.id""")
 def d13(t: Tables) -> DataFrame:
     row, col = geo.cell(F.col("lat"), F.col("lng"))
@@ -110,10 +110,10 @@ EDGES = ", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for a, b in zip(PO
 
 
 @query("d14_points_in_polygon", f"""WITH edges(la, na, lb, nb) AS (VALUES {EDGES})
-SELECT id FROM props, edges WHERE id % 2 = 0 AND (la > lat) <> (lb > lat) AND lng < (nb - na) * (lat - la) / (lb - la) + na GROUP BY id HAVING count(*) % 2 = 1""")
+SELECT id FROM props, edges WHERE (la > lat) <> (lb > lat) AND lng < (nb - na) * (lat - la) / (lb - la) + na GROUP BY id HAVING count(*) % 2 = 1""")
 def d14(t: Tables) -> DataFrame:
     near = geo.in_bounds(F.col("lat"), F.col("lng"), geo.bounds(POLYGON))
-    return t.props.filter(near).filter("id % 2 = 0").filter(geo.in_polygon(F.col("lat"), F.col("lng"), POLYGON)).select("id")
+    return t.props.filter(near).filter(geo.in_polygon(F.col("lat"), F.col("lng"), POLYGON)).select("id")
 
 
 @query("d15_circle_polygon", f"""WITH edges(la, na, lb, nb) AS (VALUES {EDGES}), inside AS (SELECT id FROM props, edges WHERE (la > lat) <> (lb > lat) AND lng < (nb - na) * (lat - la) / (lb - la) + na GROUP BY id HAVING count(*) % 2 = 1),
@@ -128,11 +128,11 @@ def d15(t: Tables) -> DataFrame:
     return t.props.filter(meets).select("id")
 
 
-@query("d16_nearest_fill", f"""WITH a AS (SELECT * FROM props WHERE id % 50 = 3), b AS (SELECT * FROM props WHERE id % 5 = 0)
+@query("d16_nearest_fill", f"""WITH a AS (SELECT * FROM props WHERE assessed IS NULL), b AS (SELECT * FROM props WHERE assessed IS NOT NULL)
 SELECT id, near AS near_id FROM (SELECT a.id, b.id AS near, row_number() OVER (PARTITION BY a.id ORDER BY {_miles('a.lat', 'b.lat', 'a.lng', 'b.lng')}, b.id) AS r FROM a, b WHERE {_miles('a.lat', 'b.lat', 'a.lng', 'b.lng')} < 0.5) x WHERE r = 1""")
 def d16(t: Tables) -> DataFrame:
-    others = t.props.filter("id % 5 = 0").select(F.col("id").alias("near_id"), "lat", "lng")
-    return joins.nearest(t.props.filter("id % 50 = 3"), others, 0.5, ["near_id"]).select("id", "near_id")
+    others = t.props.filter("assessed IS NOT NULL").select(F.col("id").alias("near_id"), "lat", "lng")
+    return joins.nearest(t.props.filter("assessed IS NULL"), others, 0.5, ["near_id"]).select("id", "near_id")
 
 
 @query("d17_radius_lookup", f"SELECT id, round({_miles('34.6e0', 'lat', '-82.55e0', 'lng')}, 6) AS miles FROM props WHERE {_miles('34.6e0', 'lat', '-82.55e0', 'lng')} <= 1 ORDER BY {_miles('34.6e0', 'lat', '-82.55e0', 'lng')}, id LIMIT 15")

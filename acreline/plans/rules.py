@@ -114,7 +114,7 @@ def k04(t: Tables) -> DataFrame:
 CELLS = "CAST(floor(lat / 0.004e0) AS BIGINT) AS r, CAST(floor(lng / 0.004e0) AS BIGINT) AS c"
 
 
-@query("k05_heat", f"""WITH rings(a, b) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)), cells AS (SELECT id, lat, lng, sold_date, {CELLS} FROM props),
+@query("k05_heat", f"""WITH rings(a, b) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1), (1, 1), (-1, -1)), cells AS (SELECT id, lat, lng, sold_date, {CELLS} FROM props),
 sales AS (SELECT *, date_diff('millisecond', sold_date, {NOW}) / 86400000 AS age FROM cells WHERE sold_date BETWEEN {NOW} - INTERVAL 365 DAY AND {NOW}),
 raw AS (SELECT p.id, sum(exp(-0.005e0 * s.age)) AS raw, max(CASE WHEN {_miles('p.lat', 's.lat', 'p.lng', 's.lng')} <= 0.1 THEN 1 ELSE 0 END) AS near FROM cells p, rings JOIN sales s ON s.r = p.r + a AND s.c = p.c + b GROUP BY p.id)
 SELECT p.id, round(coalesce(CASE WHEN near = 1 THEN least(1e0, (1 - exp(-raw)) * 1.16e0) ELSE 1 - exp(-raw) END, 0), 6) AS heat FROM props p LEFT JOIN raw USING (id)""")

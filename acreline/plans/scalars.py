@@ -179,7 +179,9 @@ def i37(t: Tables) -> DataFrame:
     return t.raw("orders").groupBy(F.col("o_orderstatus").alias("raw"), text.portal_status(F.col("o_orderstatus")).alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("i39_page_emails", "SELECT page_id, 'info@h' || page_id || '.example.com' AS first_mail, CAST(1 AS INTEGER) AS n FROM pages")
+@query("i39_page_emails", r"""WITH found AS (SELECT page_id, list_transform(regexp_extract_all(html || ' Info@h' || page_id || '.example.com 1x@y.org info@h' || page_id || '.example.com', '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', 1), lambda x: lower(x)) AS f FROM pages),
+once AS (SELECT page_id, list_filter(f, lambda x, i: list_position(f, x) = i AND NOT regexp_matches(x, '^[0-9]')) AS f FROM found)
+SELECT page_id, f[1] AS first_mail, CAST(len(f) AS INTEGER) AS n FROM once""")
 def i39(t: Tables) -> DataFrame:
     page = F.concat("html", F.lit(" Info@h"), "page_id", F.lit(".example.com 1x@y.org info@h"), "page_id", F.lit(".example.com"))
     found = text.emails(page)

@@ -52,9 +52,9 @@ def h07(t: Tables) -> DataFrame:
     return joined.groupBy((F.col("route_id") % 10).alias("team")).agg(F.count("*").alias("stops"), (F.floor(F.avg("price") * 10 + 0.5) / 10).alias("score"))
 
 
-@query("h08_intersection", "SELECT zip_code FROM props WHERE owner_id = 7 INTERSECT SELECT zip_code FROM props WHERE owner_id = 8")
+@query("h08_intersection", "SELECT zip_code FROM props WHERE owner_id = 7 INTERSECT SELECT zip_code FROM props WHERE owner_id IN (17, 27)")
 def h08(t: Tables) -> DataFrame:
-    return t.props.filter("owner_id = 7").select("zip_code").intersect(t.props.filter("owner_id = 8").select("zip_code"))
+    return t.props.filter("owner_id = 7").select("zip_code").intersect(t.props.filter("owner_id IN (17, 27)").select("zip_code"))
 
 
 @query("h09_first_wins_union", "SELECT id, min(source) AS source FROM (SELECT id, 0 AS source FROM props WHERE owner_id = 7 UNION ALL SELECT id, 1 FROM props WHERE zip_code = '29607' UNION ALL SELECT pid, 2 FROM logs WHERE pid < 100) u GROUP BY id")

@@ -17,12 +17,14 @@ CORPORATE = ("LLC", "INC", "TRUST", "HOLDINGS", "BANK", "PROPERTIES", "CORP", "C
 
 
 def normal_address(c: Column) -> Column:
-    out = F.trim(F.upper(c))
-    out = F.regexp_replace(F.regexp_replace(out, "[.,#]", ""), r"\s+", " ")
-    for word, short in ABBREVIATIONS:
-        if word != short:
-            out = F.regexp_replace(out, rf"\b{word}\b", short)
-    return out
+    """Upper case without points, commas and number signs, words shortened.
+
+    One split, a look-up a word and a join: signs inside a word (a hyphen, a stroke) end it as blanks do.
+    """
+    out = F.regexp_replace(F.regexp_replace(F.trim(F.upper(c)), "[.,#]", ""), r"\s+", " ")
+    short = F.create_map(*[F.lit(x) for w, s in ABBREVIATIONS if w != s for x in (w, s)])
+    words = F.split(out, r"\b(?=\W)|(?<=\W)(?=\w)|(?<=\w)(?=\W)")
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(short, w), w)), "")
 
 
 def zip5(c: Column) -> Column:
@@ -100,6 +102,11 @@ def emails(html: Column) -> Column:
     return F.filter(found, lambda e: ~e.rlike(r"^\d"))
 
 
+def key_name(c: Column) -> Column:
+    """A column's name as files spell it: lower case, without blanks, lines and dashes."""
+    return F.regexp_replace(F.lower(F.trim(c)), r"[\s_-]", "")
+
+
 def pair_key(a: Column, b: Column) -> Column:
     return F.concat(F.lit("dm_"), F.array_join(F.array_sort(F.array(F.lower(a), F.lower(b))), "_"))
 

@@ -78,3 +78,21 @@ def outcome(rental: Column, active: Column, occupied: Column, status: Column, re
         F.when(rental, "rejected").when(active, "rejected").when(~occupied, "rejected").when((status == "SOLD") & (recorded_days <= 90), "sold")
         .when(status.isin("PENDING", "EXPIRED", "WITHDRAWN"), "rejected").otherwise("not_sold")
     )
+
+
+# Days at which listing contracts run out, and how near to one counts.
+CONTRACT_DAYS, CONTRACT_SLACK, REJECTED_SCORE = (90, 180, 365), 3, -99
+
+
+def research_score(dom: Column, duration: Column, gap: Column, entries: Column) -> Column:
+    """Points for a sale; days on the market or between listing and removal near a contract's end reject at once."""
+    ends = F.lit(False)
+    for days in (dom, duration):
+        for b in CONTRACT_DAYS:
+            ends = ends | (F.abs(days - b) <= CONTRACT_SLACK)
+    points = ((dom < 30, 3), (duration < 45, 2), (gap >= 7, 1), (entries == 1, 1), (dom > 150, -3), (gap == 0, -2), (duration < 7, -1), (entries >= 3, -1))
+    return F.when(ends, REJECTED_SCORE).otherwise(sum((F.when(c, n).otherwise(0) for c, n in points), F.lit(0)))
+
+
+def research_label(score: Column) -> Column:
+    return F.when(score >= 3, "LIKELY_SOLD").when(score >= 1, "PROBABLY_SOLD").when(score >= -1, "AMBIGUOUS").when(score >= -3, "PROBABLY_EXPIRED").otherwise("LIKELY_EXPIRED_WITHDRAWN")

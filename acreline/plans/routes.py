@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from acreline.operators import routes
-from acreline.plans.base import Tables
+from acreline.plans.base import AS_OF_PROPS, Tables
 from acreline.plans.catalog import query
 from acreline.plans.ordered import routed
 
@@ -65,13 +65,21 @@ def l19(t: Tables) -> DataFrame:
 
 @query("k17_greedy_assignment")
 def k17(t: Tables) -> DataFrame:
-    per = t.logs.groupBy("route_id", "rep").agg(F.avg("value").alias("score")).withColumn("team", F.lit(0))
+    """Each team shares its own routes among its reps: a team is an industry, and a route belongs to one of five by its number."""
+    home = F.element_at(F.array(*[F.lit(x) for x in TEAMS]), (F.col("route_id") % len(TEAMS) + 1).cast("int"))
+    reps = t.members.select(F.col("member_id").alias("rep"), F.col("industry").alias("team"))
+    per = t.logs.groupBy("route_id", "rep").agg(F.avg("value").alias("score")).join(reps, "rep").filter(F.col("team") == home)
     return routes.greedy_assign(per)
 
 
+TEAMS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
 @query("k20_threshold_clusters")
 def k20(t: Tables) -> DataFrame:
-    return routes.threshold_clusters(t.props.filter("status = 'SOLD'"), "cust_id")
+    """Sales of a year, since the tables' sales spread over seven."""
+    sales = t.props.filter("status = 'SOLD'").withColumn("level", F.col("confidence"))
+    return routes.sold_clusters(sales, "owner_id", F.lit(AS_OF_PROPS).cast("timestamp"), days=365)
 
 
 @query("e45_zip_hulls")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,14 +40,18 @@ RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("addressLine1"
 WRAPPERS = ("properties", "data", "items", "results")
 
 
-def read_json(spark: SparkSession, path: str, record: T.StructType = RECORD) -> DataFrame:
-    """Records of JSON files, whether bare, in an array, or under one of the usual wrapper names."""
-    whole = spark.read.text(path, wholetext=True)
+def records(bodies: DataFrame, record: T.StructType = RECORD) -> DataFrame:
+    """Records of JSON bodies (value), whether bare, in an array, or under one of the usual wrapper names."""
     wrapped = F.from_json("value", T.StructType([T.StructField(w, T.ArrayType(record)) for w in WRAPPERS]))
     listed = F.from_json("value", T.ArrayType(record))
     single = F.array(F.from_json("value", record))
     bare = F.when(F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("["), listed).otherwise(single)
-    return whole.select(F.explode(F.coalesce(*[wrapped[w] for w in WRAPPERS], bare)).alias("r")).select("r.*")
+    return bodies.select(F.explode(F.coalesce(*[wrapped[w] for w in WRAPPERS], bare)).alias("r")).select("r.*")
+
+
+def read_json(spark: SparkSession, path: str, record: T.StructType = RECORD) -> DataFrame:
+    """Records of JSON files, each read as one body."""
+    return records(spark.read.text(path, wholetext=True), record)
 
 
 def read_addresses(spark: SparkSession, path: str) -> DataFrame:
@@ -67,3 +71,76 @@ def unwrap_webhook(payload: Column, record: T.StructType) -> Column:
     """The property list of a webhook body in any of its three shapes."""
     paths = ("$.results.properties", "$.properties", "$.data")
     return F.coalesce(*[F.from_json(F.get_json_object(payload, p), T.ArrayType(record)) for p in paths])
+
+
+def value_of(record: Column, name: str) -> Column:
+    """A number of a JSON record that stands there plainly or as {"value": ...}."""
+    return F.coalesce(F.get_json_object(record, f"$.{name}.value"), F.get_json_object(record, f"$.{name}")).try_cast("double")
+
+
+def flat_listing(record: Column) -> list[Column]:
+    """The portal's columns of a nested listing record."""
+    price, sqft = value_of(record, "price"), value_of(record, "sqft")
+    plain = lambda n: F.get_json_object(record, f"$.{n}")
+    per_sqft = F.when((price != 0) & (sqft > 0), F.floor(price / sqft * 10 + 0.5) / 10)
+    return [price.alias("price"), sqft.alias("sqft"), value_of(record, "lot_size").alias("lot_size"), per_sqft.alias("price_per_sqft"), plain("address").alias("address"), plain("city").alias("city"), F.coalesce(plain("property_type"), F.lit("Unknown")).alias("property_type")]
+
+
+# Where a verification response may hold its property, status, date and price; the first that is there counts.
+RESULT_PATHS = ("results[0]", "results.properties[0]", "data.results[0]", "data[0]", "properties[0]", "property")
+STATUS_PATHS = ("listing.status", "listingInfo.status", "mlsInfo.listing_status", "mls.status", "propertyInfo.listingStatus", "propertyInfo.status", "status")
+DATE_PATHS = ("listing.soldDate", "lastSale.saleDate", "saleInfo.lastSaleDate", "saleDate")
+PRICE_PATHS = ("listing.soldPrice", "lastSale.salePrice", "saleInfo.lastSaleAmount", "salePrice")
+SOLD_WORDS = ("SOLD", "CLOSED", "SETTLED")
+
+
+def verification(response: Column) -> Column:
+    """struct<status, is_sold, sold_date, price> of a verification response in any of its shapes; nulls if it has no property."""
+    first = lambda body, paths: F.coalesce(*[F.nullif(F.get_json_object(body, f"$.{p}"), F.lit("")) for p in paths])
+    found = F.coalesce(*[F.get_json_object(response, f"$.{p}") for p in RESULT_PATHS], F.get_json_object(response, "$[0]"))
+    status = F.upper(first(found, STATUS_PATHS))
+    return F.struct(
+        status.alias("status"), F.coalesce(status.isin(*SOLD_WORDS), F.lit(False)).alias("is_sold"),
+        first(found, DATE_PATHS).alias("sold_date"), first(found, PRICE_PATHS).try_cast("double").alias("price"),
+    )
+
+
+def route_addresses(lines: DataFrame) -> DataFrame:
+    """doc, address, city, state, zip of lines (doc, n, line): a line `City, ST 12345` takes the nearest of the three lines before that is no number, age or blank."""
+    place = Window.partitionBy("doc").orderBy("n")
+    trimmed = lines.withColumn("line", F.trim("line"))
+    usable = lambda c: F.when(~c.rlike(r"^\d*[mdy]?$"), c)
+    before = F.coalesce(*[usable(F.lag("line", i).over(place)) for i in (1, 2, 3)])
+    city = r"^([\w\s]+),\s*(\w{2})\s+(\d{5})$"
+    part = lambda i: F.regexp_extract("line", city, i)
+    rows = trimmed.withColumn("address", before).filter(F.col("line").rlike(city) & F.col("address").isNotNull())
+    return rows.select("doc", "address", F.trim(part(1)).alias("city"), part(2).alias("state"), part(3).alias("zip"))
+
+
+# Names of columns that agents' files use.
+AGENT_NAMES = {
+    "address": ("Address", "PROPERTY_ADDRESS"), "city": ("City",), "state": ("State",), "zip_code": ("Zip", "ZipCode"), "lat": ("Lat", "LATITUDE"), "lng": ("Lng", "LONGITUDE"),
+    "price": ("Price", "SALE_PRICE"), "smart_score": ("Score", "SMART_SCORE"), "beds": ("Beds",), "baths": ("Baths",), "sqft": ("Sqft",), "year_built": ("YearBuilt", "YEAR_BUILT"),
+}
+
+
+def agent_rows(raw: DataFrame, zips: list[str] | None = None, state: str | None = None, least: float = 0) -> DataFrame:
+    """Rows of an agent's file under their usual names; those without address or place, of other zips or states, or scored lower are left out."""
+    held = {c.lower(): c for c in raw.columns}
+    pick = lambda names: F.coalesce(*[F.nullif(F.col(f"`{held[n.lower()]}`").cast("string"), F.lit("")) for n in names if n.lower() in held], F.lit(None))
+    rows = raw.select(*[pick(names).alias(n) for n, names in AGENT_NAMES.items()]).withColumn("smart_score", F.coalesce(F.col("smart_score").try_cast("double"), F.lit(0.0)))
+    rows = rows.filter((F.col("smart_score") >= least) & F.col("address").isNotNull() & F.col("lat").isNotNull())
+    rows = rows.filter(F.col("zip_code").isin(*zips)) if zips else rows
+    return rows.filter(F.col("state") == state) if state else rows
+
+
+def county_list(text_: Column) -> Column:
+    """The names in a comma text, without County, Parish and the like."""
+    return F.transform(F.split(text_, ","), lambda c: F.trim(F.regexp_replace(F.trim(c), r"(?i)\s+(county|parish|borough|census area|municipality)$", "")))
+
+
+def feature_zips(spark: SparkSession, path: str) -> DataFrame:
+    """zip_code and geometry type of the features of GeoJSON files."""
+    kind = T.StructType.fromDDL("features array<struct<properties:map<string,string>,geometry:struct<type:string>>>")
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)["features"]).alias("f"))
+    return whole.select(F.coalesce(F.col("f.properties.ZCTA5CE10"), F.col("f.properties.zip")).alias("zip_code"), F.col("f.geometry.type").alias("kind"))

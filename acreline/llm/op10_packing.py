@@ -40,10 +40,12 @@ from pyspark.sql import functions as F
 from acreline.llm.common import arrow_slices, materialize, texts
 
 CAPACITY = 2048
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 400_000
 LONGEST_KEPT = 64
 #: Pieces of a length that one task ranks, about.
 SALTED = 20_000
+#: Words of letters that are tokenized as one text.
+TOGETHER = 256
 _ENDS = (b".", b",")
 
 
@@ -76,6 +78,21 @@ class WordTable:
         self.packed: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
         self.ends = dict(zip(_ENDS, self._ids(list(_ENDS)), strict=True))
+        vocab = tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def _letters(self, words: list[bytes]) -> Iterator[bytes]:
+        """Ids of words of letters alone: many to a text, whose ids are cut after each token that closes a word."""
+        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cut = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(cut) != len(group):
+                yield from self._ids(group)
+                continue
+            raw = ids.tobytes()
+            yield from map(raw.__getitem__, map(slice, [0, *cut[:-1].tolist()], cut.tolist()))
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
@@ -90,8 +107,11 @@ class WordTable:
                 parts[w] = w[:-1].lower(), w[-1:]
             else:
                 parts[w] = w, b""
-        unknown = list({s for s, _ in parts.values() if s not in self.stems})
-        self.stems.update(zip(unknown, self._ids(unknown), strict=True))
+        unknown = {s for s, _ in parts.values()} - self.stems.keys()
+        letters = [s for s in unknown if s.isalpha()]
+        others = [s for s in unknown if not s.isalpha()]
+        self.stems.update(zip(letters, self._letters(letters), strict=True))
+        self.stems.update(zip(others, self._ids(others), strict=True))
         for w, (stem, end) in parts.items():
             self.packed[w] = self.stems[stem] + self.ends[end] if end else self.stems[stem]
 

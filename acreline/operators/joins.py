@@ -39,19 +39,30 @@ def promote(rows: DataFrame, confirming: DataFrame, key: str, changes: dict[str,
     return joined.withColumns({c: F.when(F.col("__seen"), v).otherwise(F.col(c)) for c, v in changes.items()}).drop("__seen")
 
 
-def nearest(points: DataFrame, others: DataFrame, miles: float, payload: Sequence[str], key: str = "id", size: float = 0.02) -> DataFrame:
-    """Each point with the nearest other within `miles`: candidates meet by grid cell, own and neighbouring ones.
+#: Shares of the radius that nearest neighbours are looked for in, one after the other.
+RINGS = (1 / 16, 1 / 4, 1)
 
-    The cell is at least as wide as the radius, so no neighbour is missed.
+
+def nearest(points: DataFrame, others: DataFrame, miles: float, payload: Sequence[str], key: str = "id") -> DataFrame:
+    """Each point with the nearest other within `miles` (up to 64 degrees of latitude): candidates meet by grid cell, own and neighbouring ones.
+
+    Cells are as wide as the radius looked in, so no neighbour within it is missed. A sixteenth
+    of the radius comes first, and only points that found none there look farther: where others
+    lie dense, cells are small, and where cells are large, others are few.
     """
-    width = max(size, miles / 55.0)
-    row, col = geo.cell(F.col("lat"), F.col("lng"), width)
-    spread = points.select(key, F.col("lat").alias("__lat"), F.col("lng").alias("__lng"), F.explode(F.array(*[F.struct((row + a).alias("r"), (col + b).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("__cell"))
-    held = others.select(*payload, "lat", "lng", F.struct(row.alias("r"), col.alias("c")).alias("__cell"))
+    found, left = None, points.select(key, F.col("lat").alias("__lat"), F.col("lng").alias("__lng"))
     far = geo.haversine_miles(F.col("__lat"), F.col("__lng"), F.col("lat"), F.col("lng"))
-    near = spread.join(held, "__cell").withColumn("miles", far).filter(F.col("miles") < miles)
-    best = near.groupBy(key).agg(F.min_by(F.struct("miles", *payload), F.struct("miles", *payload)).alias("best"))
-    return best.select(key, "best.*")
+    for share in RINGS:
+        tall, wide = miles * share / 68.0, miles * share / 30.0
+        cell = lambda lat, lng: (F.floor(F.col(lat) / tall).alias("__r"), F.floor(F.col(lng) / wide).alias("__c"))  # noqa: B023, E731
+        spread = left.select(key, "__lat", "__lng", *cell("__lat", "__lng")).select(key, "__lat", "__lng", F.inline(geo.ring(F.col("__r"), F.col("__c")))).withColumnsRenamed({"r": "__r", "c": "__c"})
+        held = others.select(*payload, "lat", "lng", *cell("lat", "lng"))
+        near = spread.join(held, ["__r", "__c"]).withColumn("miles", far)
+        near = near.filter(F.col("miles") < miles if share == 1 else F.col("miles") <= miles * share)
+        best = near.groupBy(key).agg(F.min_by(F.struct("miles", *payload), F.struct("miles", *payload)).alias("best")).select(key, "best.*")
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best, key, "left_anti")
+    return found
 
 
 def latest(rows: DataFrame, key: str, order: Sequence[str], payload: Sequence[str]) -> DataFrame:

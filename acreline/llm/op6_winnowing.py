@@ -132,6 +132,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     pieces = max(hot.values(), default=1)
     sub = F.when(F.array_contains(_numbers(sorted(hot)), F.col("key")), F.floor(F.col("mark") / (2.0**63 / pieces))).otherwise(F.lit(0)).cast("int")
     order_of = ["part", "sub", "key", "mark", "text"]
+    # never null, so that joins on them put no filter under the exchange, which Spark would then run anew
+    part, sub = F.coalesce(part, F.lit(0)), F.coalesce(sub, F.lit(0))
     ranges = rows.select(part.alias("part"), sub.alias("sub"), "key", "mark", "doc_id", "text").repartition("part", "sub").sortWithinPartitions(*order_of)
     row = F.struct("key", "mark", "text", "doc_id")
     ends = ranges.groupBy("part", "sub").agg(F.min(row).alias("head"), F.max(row).alias("tail"))
@@ -140,5 +142,5 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     chain = ranges.select("part", "sub").distinct().select("part", "sub", F.coalesce(F.lead(whole).over(order), F.first(whole).over(order)).alias("next"))
     heads = ends.select(F.struct("part", "sub").alias("next"), F.col("head.text").alias("after"))
     last = ends.select("part", "sub", "tail.doc_id", "tail.text").join(chain, ["part", "sub"]).join(heads, "next").select("doc_id", "text", "after")
-    inside = ranges.select("part", "sub", "doc_id", "text").mapInArrow(_inside, SCHEMA)
-    return inside.unionByName(last.mapInArrow(_ends, SCHEMA))
+    # all columns on both ways, so that Spark runs their exchange once
+    return ranges.mapInArrow(_inside, SCHEMA).unionByName(last.mapInArrow(_ends, SCHEMA))

@@ -8,7 +8,8 @@ up its own keys first, so however often a key occurs, each task sends it once.
 
 One bucket or shelf is in a worker's memory at a time. Their numbers grow with the bytes
 of text (see `Layout`), not only with the partitions, so what a worker holds is bounded
-whatever the number of partitions. A document's shelf depends on its id and its text, so
+whatever the number of partitions. A shelf sends a row to each bucket it has keys for, so
+small tables don't get more of either than their bytes are worth. A document's shelf depends on its id and its text, so
 the rows that share an id, or have none, are spread like all others.
 """
 
@@ -40,6 +41,8 @@ NO_ID = -(1 << 63)
 
 #: Bytes of text that a shelf has at most, on average; keys of a bucket take about half of that.
 SHELF_BYTES = 32 << 20
+#: Bytes of text that a bucket is worth having for.
+LEAST_BYTES = 1 << 20
 #: Shelves a bucket: several a partition even out their sizes.
 SHELVES_A_BUCKET = 4
 
@@ -53,9 +56,10 @@ class Layout:
 
     @classmethod
     def of(cls, docs: DataFrame) -> Layout:
-        """From the bytes of all texts (one aggregate that no row leaves the scan for) and the number of partitions."""
+        """From the bytes of all texts (one aggregate that no row leaves the scan for): one a partition, within the bounds in bytes."""
         size = texts(docs).agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-        buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHELF_BYTES))
+        worth = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BYTES))
+        buckets = max(1, worth, -(-size // SHELF_BYTES))
         return cls(buckets, SHELVES_A_BUCKET * buckets)
 
 

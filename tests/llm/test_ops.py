@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from acreline.llm import op1_sentencepiece, op2_substring, op3_minhash, op4_html, op5_ann, op6_winnowing, op7_licenses, op8_suffix, op9_toxicity, op10_packing, queries
+from acreline.llm import anchors, op1_sentencepiece, op2_substring, op3_minhash, op4_html, op5_ann, op6_winnowing, op7_licenses, op8_suffix, op9_toxicity, op10_packing, queries
 from tests.conftest import SF
 
 rng = random.Random(3)
@@ -30,6 +30,12 @@ EDGE = [
 ]
 
 
+@pytest.fixture(autouse=True)
+def many_buckets(monkeypatch):
+    """Small tables get as many buckets and shelves as large ones."""
+    monkeypatch.setattr(anchors, "LEAST_BYTES", 1)
+
+
 @pytest.fixture(scope="module")
 def edge(spark):
     return spark.createDataFrame([(d, t, "en", "s") for d, t in EDGE], "doc_id long, text string, lang string, TEXT_len string").withColumnRenamed("TEXT_len", "Doc_Id2")
@@ -421,6 +427,17 @@ def test_op8_equals_brute_force(which, hot, request):
     assert rows(op8_suffix.remove_repeated_bytes(df, hot=hot)) == brute_bytes(items, 200)
 
 
+def test_layout_follows_bytes(docs, monkeypatch):
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = sum(len(r.text.encode()) for r in docs.select("text").collect() if r.text)
+    assert anchors.Layout.of(docs).buckets == parts
+    monkeypatch.setattr(anchors, "LEAST_BYTES", size)
+    assert anchors.Layout.of(docs) == anchors.Layout(1, anchors.SHELVES_A_BUCKET)
+    monkeypatch.setattr(anchors, "SHELF_BYTES", size // (3 * parts))
+    assert anchors.Layout.of(docs).buckets >= 3 * parts
+    assert anchors.Layout.of(docs.limit(0)).buckets == 1
+
+
 def test_op8_hot_anchors_go_one_way(spark):
     """A window with one copy in a task that holds its hot anchor once and one where it stands often is found."""
     r = random.Random(5)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
+#: A key with over one of so many rows is hot.
+HOT_SHARE = 1_000
 #: Bytes of an Arrow batch on its way to a worker; Spark's own bound is sixteen times as much, twice per task while a batch is built.
 BATCH_BYTES = 4 << 20
 #: A column that no table has.
@@ -62,6 +64,22 @@ def plain(df: DataFrame, names: list[str]) -> DataFrame:
     return out.select(*[F.col(f"__keep_{k}").alias(n) for k, n in enumerate(names)])
 
 
+def told(rows: DataFrame, totals: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """rows with the columns `names` of their key's row in `totals` (key, names, n rows), nulls being equal; totals is read more than once.
+
+    Keys with over a thousandth of all rows are under a thousand, so theirs are broadcast;
+    the others meet by a shuffle in which no key has more than that share.
+    """
+    n = totals.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > n // HOT_SHARE
+    few = totals.filter(is_hot).select(F.col(key).alias("__hot"), F.lit(True).alias("__met"), *[F.col(c).alias(f"__hot_{c}") for c in names])
+    rest = totals.filter(~is_hot).select(F.col(key).alias("__key"), *names)
+    met = rows.join(F.broadcast(few), F.col(key).eqNullSafe(F.col("__hot")), "left")
+    first = met.filter("__met").select(*rows.columns, *[F.col(f"__hot_{c}").alias(c) for c in names])
+    second = met.filter("__met is null").select(*rows.columns).join(rest, F.col(key).eqNullSafe(F.col("__key"))).select(*rows.columns, *names)
+    return first.unionByName(second)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Let Arrow batches be cut by bytes, since texts differ in length by orders of magnitude. A smaller bound of the session stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

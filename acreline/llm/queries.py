@@ -15,6 +15,9 @@ from acreline.llm.op7_licenses import scan_documents
 from acreline.llm.op8_suffix import remove_repeated_bytes
 from acreline.llm.op9_toxicity import toxicity
 from acreline.llm.op10_packing import pack_documents
+from acreline.llm import op11_neardup as neardup
+from acreline.llm import op12_fim as fim
+from acreline.llm import op13_vectors as vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,5 +64,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring, op3_minhash, op4_html, op5_ann, op6_winnowing, op7_licenses, op8_suffix, op9_toxicity, op10_packing)}
-ORACLES: dict[str, str] = {}
+def op11_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring, op3_minhash, op4_html, op5_ann, op6_winnowing, op7_licenses, op8_suffix, op9_toxicity, op10_packing, op11_neardup, op12_fim, op13_vectors)}
+#: Near duplicates compare all pairs in SQL: for small tables.
+ORACLES: dict[str, str] = {"op11_neardup": neardup.SQL, "op12_fim": fim.SQL, "op13_vectors": vector_codes.SQL}

@@ -167,7 +167,7 @@ def test_trees_give_whole_nodes_away():
 def test_codes_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     good = [0.5] * 16
-    rows = [(None, good, None), (3, None, 1), (4, [nan] * 16, 1), (5, [inf] + [0.0] * 15, 1), (6, [None] + [0.0] * 15, 1), (7, [1.0] * 8, 1), (8, good, 1), (8, [1e300] * 16, 2), (9, [-0.001] * 16, 1)]
+    rows = [(None, good, None), (3, None, 1), (4, [nan] * 16, 1), (5, [inf] + [0.0] * 15, 1), (6, [None] + [0.0] * 15, 1), (12, [1.0] * 8, 1), (8, good, 1), (8, [1e300] * 16, 2), (9, [-0.001] * 16, 1)]
     table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, Label string")
     got = codes.compress(table).collect()
     assert sorted(str(r.vec_id) for r in got) == ["8", "8", "9", "None"]

@@ -194,38 +194,6 @@ def sweep(selected: DataFrame, props: DataFrame) -> DataFrame:
     return props.join(streets, ["zip_code", "street_name"], "left_semi")
 
 
-def threshold_clusters(rows: DataFrame, owner: str, miles_apart: float = 5.0) -> DataFrame:
-    """owner, id, cluster: each row joins the first cluster whose running mean is near enough, in id order."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        points = group[["lat", "lng"]].to_numpy()
-        # room for more clusters is made by doubling
-        centers, counts, n = np.zeros((16, 2)), np.zeros(16), 0
-        own = np.zeros(len(points), np.int32)
-        for i, p in enumerate(points):
-            near = miles(p, centers[:n]) <= miles_apart if n else np.zeros(0, bool)
-            c = int(near.argmax()) if near.any() else n
-            if c == n:
-                if n == len(counts):
-                    centers, counts = np.vstack([centers, np.zeros_like(centers)]), np.concatenate([counts, np.zeros_like(counts)])
-                n += 1
-            counts[c] += 1
-            centers[c] += (p - centers[c]) / counts[c]
-            own[i] = c
-        return group[[owner, "id"]].assign(cluster=own)
-
-    return rows.select(owner, "id", "lat", "lng").groupBy(owner).applyInPandas(one, f"{owner} long, id long, cluster int")
-
-
-def sold_clusters(sales: DataFrame, owner: str, as_of: Column, days: int = 30, least_sales: int = 10, least_stops: int = 20) -> DataFrame:
-    """owner, id, cluster of recent sales that aren't of low confidence (`level`), of owners with enough of them, in clusters of enough stops."""
-    recent = sales.filter((F.col("level") != "low") & (F.col("sold_date") <= as_of) & (F.col("sold_date") >= F.timestamp_add("DAY", F.lit(-days), as_of)))
-    enough = recent.groupBy(owner).count().filter(F.col("count") >= least_sales).select(owner)
-    found = threshold_clusters(recent.join(enough, owner, "left_semi"), owner)
-    return found.join(found.groupBy(owner, "cluster").count().filter(F.col("count") >= least_stops).drop("count"), [owner, "cluster"]).select(owner, "id", "cluster")
-
-
 def greedy_assign(scores: DataFrame, penalty: float = 30.0) -> DataFrame:
     """route_id, rep: routes in id order take the rep of best score, less `penalty` for each route the rep has."""
 

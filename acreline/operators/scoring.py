@@ -33,13 +33,12 @@ def kind_of(c: Column) -> Column:
 def quality(props: DataFrame) -> DataFrame:
     """id, pqi: price (log), size and lot, each from its least to its 99 % value, weighted by kind.
 
-    The bounds are one row: each is picked from the one bin of a histogram that holds it, so no task sorts all values.
+    The bounds are one row, picked for all three at once from narrow bands around their positions, so no task sorts all values.
     """
     rows = props.withColumns({"lp": F.when(F.col("price") > 0, F.ln("price")), "one": F.lit(1)})
     low = rows.groupBy("one").agg(*[F.min(F.when(F.col(c) > 0, F.col(c))).alias(f"{c}_low") for c in ("lp", "sqft", "lot_size")])
-    for c in ("lp", "sqft", "lot_size"):
-        cap = aggregates.overall_pick(rows.filter(F.col(c) > 0), c, 0.99).select(F.lit(1).alias("one"), F.col("pick").alias(f"{c}_cap"))
-        low = low.join(cap, "one", "left")
+    caps = aggregates.overall_picks(rows, {f"{c}_cap": (F.when(F.col(c) > 0, F.col(c)), 0.99) for c in ("lp", "sqft", "lot_size")})
+    low = low.join(caps.withColumn("one", F.lit(1)), "one", "left")
 
     def scaled(c: str) -> Column:
         a, b, v = F.col(f"{c}_low"), F.col(f"{c}_cap"), F.col(c)

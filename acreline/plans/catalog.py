@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from acreline.plans import base
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = ("filters", "joins", "aggregates", "ordered", "sets", "scalars", "rules", "snapshots", "routes", "state", "scans", "more", "priority", "streets", "intake", "shapes", "streams", "pulls")
+FAMILIES = ("filters", "joins", "aggregates", "ordered", "sets", "scalars", "rules", "snapshots", "routes", "state", "scans", "more", "priority", "streets", "intake", "shapes", "streams", "pulls", "places")
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 

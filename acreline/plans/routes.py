@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreline.operators import routes
+from acreline.operators import clusters, routes
 from acreline.plans.base import AS_OF_PROPS, Tables
 from acreline.plans.catalog import query
 from acreline.plans.ordered import routed
@@ -77,9 +77,9 @@ TEAMS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 @query("k20_threshold_clusters")
 def k20(t: Tables) -> DataFrame:
-    """Sales of a year, since the tables' sales spread over seven."""
-    sales = t.props.filter("status = 'SOLD'").withColumn("level", F.col("confidence"))
-    return routes.sold_clusters(sales, "owner_id", F.lit(AS_OF_PROPS).cast("timestamp"), days=365)
+    """The last month's sales of two regions of three states each."""
+    region = F.when(F.col("state").isin("TX", "UT", "SC"), "west").otherwise("east")
+    return clusters.sold_clusters(t.props.withColumn("region", region), "region", F.lit(AS_OF_PROPS).cast("timestamp"))
 
 
 @query("e45_zip_hulls")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreline.operators import routes, streets
+from acreline.operators import generate, routes, streets
 from acreline.plans.base import Tables
 from acreline.plans.catalog import query
 
@@ -36,14 +36,19 @@ def l03(t: Tables) -> DataFrame:
     return areas(t).select("area", "lat", "lng").groupBy("area").applyInPandas(one, "area string, k long")
 
 
+def compact(t: Tables) -> DataFrame:
+    """An owner's properties on compact routes of a hundred stops at most."""
+    return t.props.join(generate.compact(t.props, "owner_id", 100).select("id", "route"), "id")
+
+
 @query("l06_two_opt")
 def l06(t: Tables) -> DataFrame:
-    return streets.improved_miles(areas(t), "area", lambda points, order, _: routes.two_opt(points, order))
+    return streets.improved_miles(compact(t), "route", lambda points, order, _: routes.two_opt(points, order))
 
 
 @query("l07_relocation")
 def l07(t: Tables) -> DataFrame:
-    return streets.improved_miles(areas(t), "area", lambda points, order, _: routes.or_opt(points, order))
+    return streets.improved_miles(compact(t), "route", lambda points, order, _: routes.or_opt(points, order))
 
 
 @query("l08_front_load")

@@ -29,14 +29,15 @@ from acreline.llm.common import arrow_slices, sliding, text_bytes, texts
 
 #: Keys that a task gathers before it sends them.
 FLUSH = 400_000
-#: A place is tag << TAG | start; the tag, a checksum of the text, tells rows with one id apart.
-TAG = 40
+#: A place is tag << TAG | start; the tag, a checksum of 32 bits of the text, tells rows with one id apart.
+TAG = 31
 START = (1 << TAG) - 1
-TAGS = (1 << 22) - 1
+TAGS = (1 << 32) - 1
 SENT = "bucket int, known boolean, keys binary, docs binary, places binary, counts binary"
 FOUND = "shelf int, docs binary, places binary"
 SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("counts", pa.binary())])
-NO_ID = -(1 << 63)
+#: Rows without an id come before all others, under keys of 62 bits of their text's hash; ids are over -2**62.
+NO_ID, NO_ID_BITS = -(1 << 63), (1 << 62) - 1
 
 
 #: Bytes of text that a shelf has at most, on average; keys of a bucket take about half of that.
@@ -69,11 +70,11 @@ def shelf_of(doc: int, tag: int, shelves: int) -> int:
 
 
 def shelved(docs: DataFrame, layout: Layout, carry: Column | None = None) -> DataFrame:
-    """(shelf, key, doc_id, text) dealt by shelf; the key is the id, null ids the least one. `carry`: a column that stays with its row.
+    """(shelf, key, doc_id, text) dealt by shelf; the key is the id, and for null ids one of the least, by the text's hash. `carry`: a column that stays with its row.
 
     The exchange is the same wherever this is used, so Spark runs it once for all passes.
     """
-    rows = texts(docs, carry).withColumn("key", F.coalesce("doc_id", F.lit(NO_ID).cast("long")))
+    rows = texts(docs, carry).withColumn("key", F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(NO_ID_BITS).cast("long")) + F.lit(NO_ID).cast("long")))
     tag = F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(TAGS).cast("long"))
     shelf = ((F.crc32(F.col("key").cast("string").cast("binary")) + 31 * tag) % layout.shelves).cast("int")
     return rows.select(shelf.alias("shelf"), "key", "doc_id", "text", *(["carry"] if carry is not None else [])).repartition("shelf")

@@ -101,9 +101,10 @@ def test_op1_table_restarts(monkeypatch):
 
 
 def brute_words(items, window=20):
-    tag = lambda t: zlib.crc32((t or "").encode()) & ((1 << 22) - 1)
+    tag = lambda t: zlib.crc32((t or "").encode())
+    first = lambda t: -(1 << 63) + (xxhash.xxh64_intdigest((t or "").encode(), 42) & ((1 << 62) - 1))
     seen, out = set(), []
-    for d, t in sorted(items, key=lambda x: (x[0] if x[0] is not None else -(1 << 63), tag(x[1]))):
+    for d, t in sorted(items, key=lambda x: (x[0] if x[0] is not None else first(x[1]), tag(x[1]))):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         gone = [False] * len(w)
         for i in range(len(w) - window + 1):

@@ -77,6 +77,23 @@ def segment_miles(lat: Column, lng: Column, a: tuple[float, float], b: tuple[flo
     return F.sqrt(F.pow(px - (F.lit(ax) + t * (bx - ax)), 2) + F.pow(py - (F.lit(ay) + t * (by - ay)), 2))
 
 
+def circle_meets(lat: Column, lng: Column, miles: Column | float, polygon: Sequence[tuple[float, float]]) -> Column:
+    """Whether a circle's centre lies in the polygon or an edge is within its radius, on the plane at the centre's latitude; any circle meets one of less than three vertices."""
+    if len(polygon) < 3:
+        return F.lit(True)
+    k = F.cos(F.radians(lat)) * MILES_A_DEGREE
+    pairs = zip(polygon, [*polygon[1:], polygon[0]], strict=True)
+    edges = F.array(*[F.struct(F.lit(a[0]).alias("y"), F.lit(a[1]).alias("x"), F.lit((b[0] - a[0]) * MILES_A_DEGREE).alias("dy"), F.lit(b[1] - a[1]).alias("dx")) for a, b in pairs])
+
+    def near(e: Column) -> Column:
+        ax, ay, dx, dy = (e["x"] - lng) * k, (e["y"] - lat) * MILES_A_DEGREE, e["dx"] * k, e["dy"]
+        t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)))), F.lit(0.0))
+        return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2)) <= miles
+
+    # a lambda over the edges keeps the generated code small
+    return in_polygon(lat, lng, polygon) | F.exists(edges, near)
+
+
 def shoelace_sq_miles(points: Column) -> Column:
     """Area of array<struct<lat, lng>> on the plane at the mean latitude."""
     n = F.size(points)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreline.functions import geo
+from acreline.functions import geo, text
 
 
 def alias_join(logs: DataFrame, props: DataFrame, key: str = "address_hash", aliases: Sequence[str] = ("address_hash", "legacy_hash")) -> DataFrame:
@@ -32,6 +32,35 @@ def cascade(keys: DataFrame, key: str, tiers: Sequence[DataFrame]) -> DataFrame:
     return found
 
 
+def address_cascade(asked: DataFrame, props: DataFrame, zips: Sequence[str]) -> DataFrame:
+    """asked (n, address) with step and id of the property found: by the same text, else by the hash with the first zip that has it, else by house number and a part of the street.
+
+    The last step takes the first property's text (by id) that holds the street or is held by
+    it; of the rows with one text the latest sale is taken, undated ones last. Texts are
+    met by equality on text, hash or house number, a row a text.
+    """
+    lower = F.trim(F.lower("address"))
+    want = asked.select("n", "address", lower.alias("__text"))
+    order = lambda: F.struct(F.coalesce("sold_date", F.timestamp_seconds(F.lit(0))), -F.col("id"))
+    key = F.trim(F.lower(F.concat_ws(" ", "house_number", "street_name")))
+    per = props.withColumn("__text", key).groupBy("__text").agg(F.max_by("id", order()).alias("id"), F.min("id").alias("__first"))
+    exact = want.join(per.select("__text", "id"), "__text").select("n", F.lit(1).alias("step"), "id")
+    left = want.join(exact.select("n"), "n", "left_anti")
+
+    ranked = F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), text.hash_normal(F.col("address"), F.lit(z)).alias("__hash")) for i, z in enumerate(zips)])).alias("z")
+    hashed = props.select(text.hash_normal(key, F.col("zip_code")).alias("__hash"), "id").groupBy("__hash").agg(F.max("id").alias("id"))  # a later row takes the hash over
+    by_hash = left.select("n", ranked).select("n", "z.*").join(hashed, "__hash").groupBy("n").agg(F.min_by("id", "rank").alias("id")).select("n", F.lit(2).alias("step"), "id")
+    left = left.join(by_hash.select("n"), "n", "left_anti")
+
+    parts = lambda c: (F.regexp_extract(c, r"^(\S*) ", 1), F.regexp_extract(c, r"^\S* (.*)$", 1))
+    a, b = parts("__text")
+    some = per.select(a.alias("__house"), b.alias("__street"), "id", "__first").filter("__house <> ''")
+    near = left.select("n", a.alias("__house"), b.alias("__part")).filter("__house <> '' AND __part <> ''").join(some, "__house")
+    near = near.filter(F.expr("contains(__street, __part) OR contains(__part, __street)"))
+    fuzzy = near.groupBy("n").agg(F.min_by("id", "__first").alias("id")).select("n", F.lit(3).alias("step"), "id")
+    return exact.unionByName(by_hash).unionByName(fuzzy)
+
+
 def promote(rows: DataFrame, confirming: DataFrame, key: str, changes: dict[str, Column]) -> DataFrame:
     """Columns changed where the key occurs among the confirming rows."""
     seen = confirming.select(key).distinct().withColumn("__seen", F.lit(True))

@@ -39,6 +39,53 @@ def nearest_first(points: np.ndarray, start: int = 0) -> np.ndarray:
     return np.array(order)
 
 
+def next_nearest(points: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Order of visiting all points from a place, always the nearest next one on the plane."""
+    left, order, here = np.ones(len(points), bool), [], start
+    while left.any():
+        order.append(int(np.where(left, planar_miles(here, points), np.inf).argmin()))
+        left[order[-1]] = False
+        here = points[order[-1]]
+    return np.array(order, dtype=np.int64)
+
+
+#: A turn of over so many degrees costs up to so many miles more.
+SHARP_TURN, TURN_MILES = 45.0, 0.5
+
+
+def bearings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Degrees from north, 0 to 360, from one place to others."""
+    a, b = np.radians(a), np.radians(b)
+    d = b[..., 1] - a[..., 1]
+    x = np.cos(a[..., 0]) * np.sin(b[..., 0]) - np.sin(a[..., 0]) * np.cos(b[..., 0]) * np.cos(d)
+    return (np.degrees(np.arctan2(np.sin(d) * np.cos(b[..., 0]), x)) + 360) % 360
+
+
+def planar_miles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Miles on the plane, longitude shrunk by the mean latitude."""
+    x = (b[..., 1] - a[..., 1]) * np.cos(np.radians((a[..., 0] + b[..., 0]) / 2))
+    return np.sqrt(x * x + (b[..., 0] - a[..., 0]) ** 2) * 69
+
+
+def fewer_turns(points: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """Order by the nearest unvisited point where a sharp turn counts as more miles, in proportion to its angle; from the point nearest to `start`, else the first row."""
+    first = int(planar_miles(start, points).argmin()) if start is not None else 0
+    left = np.ones(len(points), bool)
+    order, heading = [first], None
+    left[first] = False
+    while left.any():
+        here = points[order[-1]]
+        cost = planar_miles(here, points)
+        if heading is not None:
+            turn = np.abs(bearings(here, points) - heading)
+            turn = np.where(turn > 180, 360 - turn, turn)
+            cost = cost + np.where(turn > SHARP_TURN, turn / 180 * TURN_MILES, 0)
+        order.append(int(np.where(left, cost, np.inf).argmin()))
+        left[order[-1]] = False
+        heading = float(bearings(here, points[order[-1]]))
+    return np.array(order)
+
+
 def two_opt(points: np.ndarray, order: np.ndarray, passes: int = TWO_OPT_PASSES) -> np.ndarray:
     """Reverse stretches of an open path while that shortens it; the first stop stays."""
     n = len(order)

@@ -9,6 +9,7 @@ from acreline.functions import geo
 from acreline.functions.dates import fractional_days, years_ago
 from acreline.functions.js import sigmoid
 from acreline.operators import aggregates
+from acreline.operators.joins import alias_join
 
 # Fixed values of the scoring rules.
 DECAY, SHIELD_YEARS, SHIELD_SCORE, UNDATED = 0.1155, 1.5, 0.02, 0.3
@@ -17,6 +18,10 @@ HEAT_DECAY, HEAT_BOOST, HEAT_MILES, HEAT_DAYS = 0.005, 1.16, 0.10, 365
 DISTRESS = (0.40, 0.35, 0.25)
 WEIGHTS = {"ownership": 0.35, "pqi": 0.20, "heat": 0.25, "distress": 0.20}
 PRIOR = (2.0, 18.0)
+#: A feature's posterior mean against the global one moves the score by half the difference, by BOOST_MOST at most.
+BOOST_SHARE, BOOST_MOST, GLOBAL_MEAN = 0.5, 0.05, 0.10
+FEATURES = ("age_gt_10", "price_gt_300k", "single_family", "recent_sale", "high_value", "large_lot")
+CLOSED = ("HARD_NO", "DO_NOT_KNOCK")
 OUTCOME_WEIGHTS = {"SOLD": 1.0, "QUALIFIED": 0.6, "CALLBACK": 0.3, "NO_ANSWER": -0.1, "HARD_NO": -1.0}
 
 
@@ -92,14 +97,56 @@ def contact_penalty(logs: DataFrame) -> DataFrame:
     return logs.groupBy("pid").agg(F.least(F.lit(0.5), F.lit(1.0) - F.exp(n * -0.3)).alias("penalty"))
 
 
-def propensity(props: DataFrame, logs: DataFrame, as_of: Column, weights: dict[str, float] | None = None) -> DataFrame:
-    """id, propensity. The parts are columns of one flow of properties, which meets cells and logs but never itself."""
+def features(as_of: Column) -> dict[str, Column]:
+    """The six features of a property; null where what they are told from is missing, empty or zero."""
+    known = lambda c: F.nullif(F.col(c), F.lit(0))
+    years = fractional_days(as_of, F.col("sold_date")) / 365
+    return {
+        "age_gt_10": F.year(as_of) - known("year_built") > 10, "price_gt_300k": known("price") > 300_000, "single_family": F.lower(F.nullif(F.col("property_type"), F.lit(""))).contains("single"),
+        "recent_sale": years <= 3, "high_value": known("price") > 750_000, "large_lot": known("lot_size") > 10_890,
+    }
+
+
+def feature_posteriors(props: DataFrame, observations: DataFrame, as_of: Column) -> DataFrame:
+    """One row: the posterior mean of each feature's properties (mean_<feature>) and of all (mean_all).
+
+    observations (address_hash, w) meet properties by either hash; all seven means come from
+    one aggregation.
+    """
+    some = props.select("address_hash", "legacy_hash", "price", "year_built", "property_type", "sold_date", "lot_size")
+    seen = alias_join(observations, some)
+    # a null feature counts for nothing
+    chosen = {**features(as_of), "all": F.lit(True)}
+
+    def mean(c: Column) -> Column:
+        up, down = F.sum(F.when(c & (F.col("w") > 0), F.col("w")).otherwise(0.0)), F.sum(F.when(c & (F.col("w") < 0), -F.col("w")).otherwise(0.0))
+        alpha, beta = F.coalesce(up, F.lit(0.0)) + PRIOR[0], F.coalesce(down, F.lit(0.0)) + PRIOR[1]
+        return alpha / (alpha + beta)
+
+    return seen.agg(*[mean(c).alias(f"mean_{name}") for name, c in chosen.items()])
+
+
+def propensity(props: DataFrame, logs: DataFrame, as_of: Column, weights: dict[str, float] | None = None, learned: DataFrame | None = None) -> DataFrame:
+    """id, propensity. The parts are columns of one flow of properties, which meets cells and logs but never itself.
+
+    `learned` is the one row of feature_posteriors: each feature a property has adds its boost.
+    Properties with an effective_status (if there is such a column) that closes them get 0.
+    """
     w = weights or WEIGHTS
-    some = props.select("id", "lat", "lng", "price", "sqft", "lot_size", "property_type", "year_built", "sold_date")
-    parts = distress(heat(quality(some), as_of), as_of).withColumn("ownership", ownership(F.col("sold_date"), as_of))
+    status = ["effective_status"] if "effective_status" in props.columns else []
+    some = props.select("id", "lat", "lng", "price", "sqft", "lot_size", "property_type", "year_built", "sold_date", *status)
+    parts = distress(heat(quality(some), as_of), as_of).withColumns({"ownership": ownership(F.col("sold_date"), as_of), "pqi": F.when(F.col("pqi") == 0, 0.5).otherwise(F.col("pqi"))})
     raw = sum((F.col(c) * v for c, v in w.items()), F.lit(0.0))
     joined = parts.join(contact_penalty(logs), F.col("id") == F.col("pid"), "left")
-    return joined.select("id", sigmoid(raw - F.coalesce("penalty", F.lit(0.0))).alias("propensity"))
+    boost = F.lit(0.0)
+    if learned is not None:
+        joined = joined.join(F.broadcast(learned))  # one row
+        for name, has in features(as_of).items():
+            up = (F.col(f"mean_{name}") - F.coalesce("mean_all", F.lit(GLOBAL_MEAN))) * BOOST_SHARE
+            boost = boost + F.when(has & F.col(f"mean_{name}").isNotNull(), F.greatest(F.lit(-BOOST_MOST), F.least(F.lit(BOOST_MOST), up))).otherwise(0.0)
+    value = sigmoid(raw + boost - F.coalesce("penalty", F.lit(0.0)))
+    closed = F.col("effective_status").isin(*CLOSED) if status else F.lit(False)
+    return joined.select("id", F.when(closed, 0.0).otherwise(value).alias("propensity"))
 
 
 def posteriors(observations: DataFrame, key: str) -> DataFrame:

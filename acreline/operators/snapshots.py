@@ -42,9 +42,10 @@ def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def last_wins(old: DataFrame, new: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """Union of both, the last by `order` of each key, new rows after old ones."""
+    """Union of both, the last by `order` of each key, new rows after old ones; of equal ones the greatest by the other columns."""
     both = old.withColumn("__src", F.lit(0)).unionByName(new.withColumn("__src", F.lit(1)))
-    return keep_first(both, key, [F.desc("__src"), F.desc(order)]).drop("__src")
+    rest = [F.desc(c) for c in old.columns if c != order and c not in key]
+    return keep_first(both, key, [F.desc("__src"), F.desc(order), *rest]).drop("__src")
 
 
 def delete(rows: DataFrame, predicate: Column) -> DataFrame:

@@ -58,7 +58,7 @@ def a15(t: Tables) -> DataFrame:
     wrapped = F.struct(F.struct(F.col("price").alias("value")).alias("price"), F.struct(F.col("sqft").alias("value")).alias("sqft"), "lot_size", _address().alias("address"), "city", "property_type")
     plain = F.struct("price", "sqft", F.struct(F.col("lot_size").alias("value")).alias("lot_size"), _address().alias("address"), "city", "property_type")
     body = F.when(F.col("id") % 2 == 0, F.to_json(wrapped)).otherwise(F.to_json(plain))
-    return t.props.select("id", body.alias("body")).select("id", *portal.flat_listing(F.col("body")))
+    return portal.parsed(t.props.select("id", body.alias("body")), "body").select("id", *portal.flat_listing(F.col("body")))
 
 
 @query("a16_webhook", "SELECT id, city, price FROM props")
@@ -70,7 +70,7 @@ def a16(t: Tables) -> DataFrame:
     shapes = [("{\"results\":{\"properties\":", "}}"), ("{\"properties\":", "}"), ("{\"data\":", "}")]
     body = F.element_at(F.array(*[F.concat(F.lit(a), listed, F.lit(b)) for a, b in shapes]), (F.col("id") % 3 + 1).cast("int"))
     kind = T.StructType.fromDDL("id long, city string, price double")
-    return t.props.select(F.explode(portal.unwrap_webhook(body, kind)).alias("r")).select("r.*")
+    return portal.parsed(t.props.select(body.alias("body")), "body").select(F.explode(portal.unwrap_webhook(F.col("body"), kind)).alias("r")).select("r.*")
 
 
 @query("a17_verification", f"SELECT id, CASE WHEN id % 8 = 7 THEN NULL ELSE CASE id % 4 WHEN 0 THEN 'SOLD' WHEN 1 THEN 'CLOSED' WHEN 2 THEN 'ACTIVE' ELSE 'PENDING' END END AS status, id % 8 <> 7 AND id % 4 < 2 AS is_sold, CASE WHEN id % 8 <> 7 THEN 'd' || id END AS sold_date, CASE WHEN id % 8 <> 7 THEN price END AS price FROM props")
@@ -92,7 +92,7 @@ def a17(t: Tables) -> DataFrame:
     ends = ["]}", "]}}", "]}}", "]}", "]}", "}", "]", "}"]
     at = (k % 8 + 1).cast("int")
     body = F.concat(F.element_at(F.array(*map(F.lit, shapes)), at), record, F.element_at(F.array(*map(F.lit, ends)), at))
-    return t.props.select("id", portal.verification(body).alias("v")).select("id", "v.*")
+    return portal.verification(portal.parsed(t.props.select("id", body.alias("body")), "body"), "body")
 
 
 @query("a18_address_list", f"SELECT CASE WHEN id % 2 = 0 THEN CAST(id AS INTEGER) END AS number, lower({ADDRESS}) AS address FROM props")

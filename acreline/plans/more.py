@@ -64,11 +64,11 @@ def i10(t: Tables) -> DataFrame:
     return per.select("route_id", F.round("clat", 6).alias("lat"), F.round("clng", 6).alias("lng"), (F.ceil(F.round(F.col("far") * 10.5, 6)) / 10).alias("radius"))
 
 
-@query("i14_circle_points", "SELECT id, i, round(lat + 1e0 / 69 * cos(2 * pi() * i / 32), 6) AS plat, round(lng + 1e0 / (69 * cos(radians(lat))) * sin(2 * pi() * i / 32), 6) AS plng FROM props, (SELECT CAST(unnest(range(32)) AS INTEGER) AS i) s WHERE status = 'MLS_PENDING'")
+@query("i14_circle_points", "SELECT id, i, round(lat + 1e0 / 69 * cos(2 * pi() * i / 32), 6) AS plat, round(lng + 1e0 / (69 * cos(radians(lat))) * sin(2 * pi() * i / 32), 6) AS plng FROM props, (SELECT CAST(unnest(range(32)) AS INTEGER) AS i) s")
 def i14(t: Tables) -> DataFrame:
-    """32 points around each pending property, a mile away."""
+    """32 points around each property, a mile away."""
     angle = F.lit(6.283185307179586) * F.col("i") / 32
-    some = t.props.filter("status = 'MLS_PENDING'").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    some = t.props.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(31))))
     return some.select("id", "i", F.round(F.col("lat") + F.lit(1 / 69) * F.cos(angle), 6).alias("plat"), F.round(F.col("lng") + F.lit(1.0) / (F.cos(F.radians("lat")) * 69) * F.sin(angle), 6).alias("plng"))
 
 

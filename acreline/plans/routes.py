@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acreline.operators import clusters, routes
+from acreline.operators import clusters, generate, routes
 from acreline.plans.base import AS_OF_PROPS, Tables
 from acreline.plans.catalog import query
 from acreline.plans.ordered import routed
@@ -15,15 +15,16 @@ from acreline.plans.ordered import routed
 
 @query("l04_cluster_counts")
 def l04(t: Tables) -> DataFrame:
-    """How many clusters each route's stops form, and their sizes."""
+    """How many clusters the stops of each short route form, and their sizes."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        points = group.sort_values("pos")[["lat", "lng"]].to_numpy()
+        points = group.sort_values("id")[["lat", "lng"]].to_numpy()
         own = routes.kmeans(points, routes.clusters_of(points))
         sizes = np.bincount(own)
-        return pd.DataFrame({"route_id": group["route_id"].iloc[0], "cluster": np.arange(len(sizes), dtype=np.int32), "n": sizes.astype(np.int64)})
+        return pd.DataFrame({"route": group["route"].iloc[0], "cluster": np.arange(len(sizes), dtype=np.int32), "n": sizes.astype(np.int64)})
 
-    return routed(t).select("route_id", "pos", "lat", "lng").groupBy("route_id").applyInPandas(one, "route_id long, cluster int, n long")
+    split = t.props.join(generate.compact(t.props, "owner_id", 20).select("id", "route"), "id")
+    return split.select("route", "id", "lat", "lng").groupBy("route").applyInPandas(one, "route string, cluster int, n long")
 
 
 @query("l09_nearest_order")

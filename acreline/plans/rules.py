@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acreline.operators import rules, scoring
+from acreline.operators import eligibility, rules, scoring
 from acreline.plans.base import AS_OF, AS_OF_PROPS, Tables
 from acreline.plans.catalog import query
 from acreline.plans.joins import _miles
@@ -135,17 +135,6 @@ def k07(t: Tables) -> DataFrame:
     return scoring.contact_penalty(t.logs).select("pid", F.round("penalty", 8).alias("penalty"))
 
 
-@query("k08_propensity")
-def k08(t: Tables) -> DataFrame:
-    """Its parts are held against SQL in k03 to k07; the sum is tested on a small frame."""
-    return scoring.propensity(t.props, t.logs, now(t)).select("id", F.round("propensity", 6).alias("propensity"))
-
-
-@query("k09_features", "SELECT id, 2001 - year_built > 10 AS age_gt_10, price > 300000 AS price_gt_300k, property_type = 'Single Family' AS single_family, sold_date >= TIMESTAMP '1998-08-02' AS recent_sale, price > 450000 AS high_value, lot_size > 10890 AS large_lot FROM props")
-def k09(t: Tables) -> DataFrame:
-    return t.props.selectExpr("id", "2001 - year_built > 10 AS age_gt_10", "price > 300000 AS price_gt_300k", "property_type = 'Single Family' AS single_family", "sold_date >= timestamp'1998-08-02' AS recent_sale", "price > 450000 AS high_value", "lot_size > 10890 AS large_lot")
-
-
 WEIGHT_CASE = "CASE status WHEN 'SOLD' THEN 1e0 WHEN 'QUALIFIED' THEN 0.6e0 WHEN 'CALLBACK' THEN 0.3e0 WHEN 'NO_ANSWER' THEN -0.1e0 ELSE -1e0 END"
 
 
@@ -154,6 +143,36 @@ def observations(t: Tables) -> DataFrame:
     return t.logs.withColumn("w", weight)
 
 
+FEATURE_SQL = {
+    "age_gt_10": "2001 - year_built > 10", "price_gt_300k": "price > 300000", "single_family": "contains(lower(property_type), 'single')", "recent_sale": f"date_diff('millisecond', sold_date, {NOW}) / 86400000e0 / 365 <= 3",
+    "high_value": "price > 750000", "large_lot": "lot_size > 10890",
+}
+POSTERIOR_SQL = f"""seen AS (SELECT p.*, {WEIGHT_CASE.replace('status', 'l.status')} AS w FROM logs l JOIN props p ON l.address_hash IN (p.address_hash, p.legacy_hash)),
+learned AS (SELECT {', '.join(f"(2e0 + coalesce(sum(w) FILTER (w > 0 AND {c}), 0)) / (20e0 + coalesce(sum(abs(w)) FILTER ({c}), 0)) AS mean_{n}" for n, c in {**FEATURE_SQL, 'all': 'true'}.items())} FROM seen)"""
+BOOST_SQL = " + ".join(f"CASE WHEN {c} THEN greatest(-0.05e0, least(0.05e0, (mean_{n} - mean_all) * 0.5e0)) ELSE 0 END" for n, c in FEATURE_SQL.items())
+
+
+@query("k08_propensity", f"""WITH rings(a, b) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1), (1, 1), (-1, -1)), cells AS (SELECT *, {CELLS} FROM props),
+sales AS (SELECT *, date_diff('millisecond', sold_date, {NOW}) / 86400000 AS age FROM cells WHERE sold_date BETWEEN {NOW} - INTERVAL 365 DAY AND {NOW}),
+near AS (SELECT p.id, sum(exp(-0.005e0 * s.age)) AS raw, max(CASE WHEN {_miles('p.lat', 's.lat', 'p.lng', 's.lng')} <= 0.1 THEN 1 ELSE 0 END) AS near FROM cells p, rings JOIN sales s ON s.r = p.r + a AND s.c = p.c + b GROUP BY p.id),
+heat AS (SELECT id, CASE WHEN near = 1 THEN least(1e0, (1 - exp(-raw)) * 1.16e0) ELSE 1 - exp(-raw) END AS heat FROM near),
+medians AS ({MEDIAN}), pen AS (SELECT pid, least(0.5e0, 1 - exp(-0.3e0 * count(*) FILTER (status = 'NO_ANSWER'))) AS penalty FROM logs GROUP BY pid), {POSTERIOR_SQL},
+parts AS (SELECT p.id, id % 9 AS closed, {OWNER} AS owner, {_weights(0)} * {_scale('ln(price)')} + {_weights(1)} * {_scale('sqft')} + {_weights(2)} * {_scale('lot_size')} AS pqi, coalesce(heat, 0) AS heat, coalesce(penalty, 0) AS penalty,
+  0.4e0 * {OWNER} + 0.35e0 * least(1e0, greatest(0e0, (2001 - year_built) / 50e0)) + 0.25e0 * coalesce(least(1e0, abs(price - median) / median), 0) AS distress, {BOOST_SQL} AS boost
+  FROM cells p JOIN medians USING (r, c) LEFT JOIN heat USING (id) LEFT JOIN pen ON pid = p.id, learned)
+SELECT id, CASE WHEN closed = 7 THEN 0 ELSE round(1 / (1 + exp(-6e0 * (0.35e0 * owner + 0.2e0 * CASE WHEN pqi = 0 THEN 0.5e0 ELSE pqi END + 0.25e0 * heat + 0.2e0 * distress + boost - penalty - 0.5e0))), 6) END AS propensity FROM parts""")
+def k08(t: Tables) -> DataFrame:
+    """The whole score with the boosts that the log teaches; one in nine properties is closed."""
+    props = t.props.withColumn("effective_status", F.when(F.col("id") % 9 == 7, "HARD_NO").otherwise("ELIGIBLE"))
+    learned = scoring.feature_posteriors(t.props, observations(t).select("address_hash", "w"), now(t))
+    return scoring.propensity(props, t.logs, now(t), learned=learned).select("id", F.round("propensity", 6).alias("propensity"))
+
+
+@query("k09_features", f"SELECT id, {', '.join(f'{c} AS {n}' for n, c in FEATURE_SQL.items())} FROM props")
+def k09(t: Tables) -> DataFrame:
+    return t.props.select("id", *[c.alias(n) for n, c in scoring.features(now(t)).items()])
+
+
 @query("k10_outcome_weights", f"SELECT status, {WEIGHT_CASE} AS w, count(*) AS n FROM logs GROUP BY status")
 def k10(t: Tables) -> DataFrame:
     return observations(t).groupBy("status", "w").agg(F.count("*").alias("n"))
@@ -173,12 +192,18 @@ def k14(t: Tables) -> DataFrame:
     return scoring.posteriors(seen, "route_id").join(F.broadcast(whole)).select("route_id", F.round(F.col("mean") / F.greatest("whole", F.lit(0.01)), 6).alias("multiplier"))  # one row
 
 
-@query("k15_industry_score", "SELECT id, industry, round(wa * least(1e0, price / 500000) + wb * least(1e0, sqft / 4000) + wc * CASE WHEN property_type = 'Single Family' THEN 1 ELSE 0 END, 4) AS score FROM props, (VALUES ('solar', 0.3e0, 0.5e0, 0.2e0), ('roofing', 0.2e0, 0.3e0, 0.5e0)) w(industry, wa, wb, wc)")
+VECTOR_SQL = "(VALUES " + ", ".join(f"('{n}', " + ", ".join(f"{x}e0" for x in v) + ")" for n, v in eligibility.INDUSTRIES.items()) + ") v(industry, wa, wv, wq, wl, wi, wr)"
+SCORE_SQL = f"""talks AS (SELECT pid, bool_or(status = 'HARD_NO') AS hard, bool_or(status IN ('SOLD', 'QUALIFIED')) AS good, bool_or(status = 'CALLBACK') AS back, bool_or(status = 'NO_ANSWER') AS missed FROM logs GROUP BY pid),
+factors AS (SELECT id, status, coalesce(hard, false) AS hard, least(100e0, coalesce(2001 - nullif(year_built, 0), 20) / 50e0 * 100) AS a, least(100e0, coalesce(price, 0) / 500000e0 * 100) AS v, least(100e0, coalesce(sqft, 0) / 3000e0 * 100) AS q, least(100e0, coalesce(lot_size, 0) / 20000e0 * 100) AS l,
+  CASE WHEN pid IS NULL THEN 20 WHEN hard THEN 0 WHEN good THEN 95 WHEN back THEN 85 WHEN missed THEN 40 ELSE 30 END AS i,
+  CASE WHEN sold_date IS NULL THEN 30 WHEN m <= 6 THEN 95 WHEN m <= 12 THEN 80 WHEN m <= 24 THEN 60 WHEN m <= 60 THEN 40 ELSE 20 END AS r
+  FROM (SELECT *, date_diff('millisecond', sold_date, {NOW}) / 86400000e0 / 30 AS m FROM props) p LEFT JOIN talks ON pid = id),
+scored AS (SELECT id, industry, status, hard, least(100, greatest(0, CAST(floor(a * wa + v * wv + q * wq + l * wl + i * wi + r * wr + 0.5e0) AS INTEGER))) AS score FROM factors, {VECTOR_SQL})"""
+
+
+@query("k15_industry_score", f"WITH {SCORE_SQL}\nSELECT id, industry, score FROM scored")
 def k15(t: Tables) -> DataFrame:
-    vectors = t.spark.createDataFrame([("solar", 0.3, 0.5, 0.2), ("roofing", 0.2, 0.3, 0.5)], "industry string, wa double, wb double, wc double")
-    single = F.when(F.col("property_type") == "Single Family", 1).otherwise(0)
-    score = F.col("wa") * F.least(F.lit(1.0), F.col("price") / 500000) + F.col("wb") * F.least(F.lit(1.0), F.col("sqft") / 4000) + F.col("wc") * single
-    return t.props.join(F.broadcast(vectors)).select("id", "industry", F.round(score, 4).alias("score"))  # two rows
+    return eligibility.scores(t.props, t.logs, now(t), eligibility.INDUSTRIES).select("id", "industry", "score")
 
 
 @query("k16_rep_match", f"""SELECT rep, round(0.3e0 * CASE WHEN seen > TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY THEN 1 ELSE 0 END + 0.3e0 * greatest(0e0, 1 - {_miles('lat', '34.6e0', 'lng', '-82.55e0')} / 20) + 0.4e0 * sales / n, 6) AS score
@@ -208,10 +233,12 @@ def k19(t: Tables) -> DataFrame:
     return per.select("route_id", F.floor(score + 0.5).cast("long").alias("score"))
 
 
-@query("k21_auto_schedule", "SELECT id, CAST((r - 1) % 8 AS INTEGER) AS slot, CAST((r - 1) // 8 AS INTEGER) AS day FROM (SELECT id, row_number() OVER (ORDER BY price DESC, id) AS r FROM props WHERE status = 'SOLD' ORDER BY r LIMIT 64) x")
+@query("k21_auto_schedule", f"""WITH {SCORE_SQL},
+best AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS i FROM scored WHERE industry = 'solar' AND NOT hard AND status <> 'DO_NOT_KNOCK' AND score >= 55 ORDER BY score DESC, id LIMIT 200),
+slots AS (SELECT row_number() OVER (ORDER BY d, h) - 1 AS k, TIMESTAMP '2001-08-02' + to_days(CAST(d AS INTEGER)) + to_hours(CAST(h AS INTEGER)) AS at FROM (SELECT d, 9 + k AS h FROM range(1, 8) x(d), range(6) y(k)) z WHERE dayofweek(DATE '2001-08-02' + CAST(d AS INTEGER)) <> 0),
+reps AS (SELECT member_id, row_number() OVER (ORDER BY member_id) - 1 AS k FROM members WHERE member_status = 'active')
+SELECT b.id, b.score, s.at AS scheduled, r.member_id AS rep FROM best b JOIN slots s ON s.k = b.i % (SELECT count(*) FROM slots) JOIN reps r ON r.k = b.i % (SELECT count(*) FROM reps)""")
 def k21(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    best = t.props.filter("status = 'SOLD'").orderBy(F.desc("price"), "id").limit(64)  # so the numbering below sees 64 rows
-    r = F.row_number().over(Window.orderBy(F.desc("price"), "id"))
-    return best.select("id", r.alias("r")).selectExpr("id", "CAST((r - 1) % 8 AS INT) AS slot", "CAST((r - 1) div 8 AS INT) AS day")
+    """Two hundred appointments at most, six a day over a week without its Sunday."""
+    reps = t.members.filter("member_status = 'active'").select("member_id")
+    return eligibility.schedule(t.props, t.logs, reps, now(t), "solar", 55, 200, 7, 6)

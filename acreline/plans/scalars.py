@@ -9,6 +9,7 @@ from acreline.functions import dates, geo, text
 from acreline.functions.js import clamp, round_half_up, sigmoid
 from acreline.plans.base import AS_OF, AS_OF_PROPS, Tables
 from acreline.plans.catalog import query
+from acreline.sources import portal
 from acreline.plans.filters import POLYGON
 from acreline.plans.joins import _miles
 from acreline.plans.ordered import hours_sql
@@ -241,8 +242,8 @@ def i57(t: Tables) -> DataFrame:
 
 @query("i58_json_paths", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def i58(t: Tables) -> DataFrame:
-    paths = ("$.listing.k", "$.result.k", "$.k")
-    return t.raw("events").select("event_id", F.coalesce(*[F.get_json_object("props", p) for p in paths]).cast("long").alias("k"))
+    body = portal.parsed(t.raw("events").select("event_id", "props"), "props")
+    return body.select("event_id", portal.found(F.col("props"), ("listing.k", "result.k", "k")).cast("long").alias("k"))
 
 
 @query("i59_to_json", """SELECT member_id, '{"member_id":' || member_id || ',"name":"' || name || '"}' AS payload FROM members""")

@@ -12,7 +12,8 @@ from acreline.functions.text import key_name
 from acreline.operators import joins, rules
 from acreline.plans.base import Tables
 from acreline.plans.catalog import query
-from acreline.plans.joins import _miles
+from acreline.plans.filters import POLYGON
+from acreline.plans.joins import EDGES, _miles, edge_sql
 
 CIRCLE_MILES = 5.0
 ACROSS, DOWN = 2 * CIRCLE_MILES * math.cos(math.pi / 6), 1.5 * CIRCLE_MILES
@@ -36,25 +37,55 @@ def sub_circles(centers: DataFrame, miles: Column) -> DataFrame:
     return out.filter(near).select(*centers.columns, "i", "clat", "clng")
 
 
-@query("i12_sub_circles", f"""WITH c AS (SELECT id, lat, lng, CAST(id % 25 AS DOUBLE) AS miles FROM props WHERE status = 'MLS_PENDING'),
+@query("i12_sub_circles", f"""WITH c AS (SELECT id, lat, lng, CAST(id % 25 AS DOUBLE) AS miles FROM props),
 d AS (SELECT *, greatest(2, CAST(ceil(miles * 2 / {DOWN!r}e0) AS INTEGER) + 1) AS rows, greatest(2, CAST(ceil(miles * 2 / {ACROSS!r}e0) AS INTEGER) + 1) AS cols FROM c),
 g AS (SELECT *, unnest(range(CASE WHEN miles > 5 THEN cols ELSE 1 END)) AS col FROM (SELECT *, unnest(range(CASE WHEN miles > 5 THEN rows ELSE 1 END)) AS row FROM d) r),
 p AS (SELECT *, CAST(row * cols + col AS INTEGER) AS i, CASE WHEN miles > 5 THEN floor((lat + (row - (rows - 1) / 2e0) * {DOWN!r}e0 / 69e0) * 1e6 + 0.5e0) / 1e6 ELSE lat END AS clat,
   CASE WHEN miles > 5 THEN floor((lng + ((col - (cols - 1) / 2e0) * {ACROSS!r}e0 + CASE WHEN row % 2 = 1 THEN {ACROSS / 2!r}e0 ELSE 0e0 END) * (1e0 / (cos(radians(lat)) * 69e0))) * 1e6 + 0.5e0) / 1e6 ELSE lng END AS clng FROM g)
 SELECT id, i FROM p WHERE sqrt(pow((clng - lng) * cos(radians(lat)) * 69e0, 2) + pow((clat - lat) * 69e0, 2)) <= miles + 5""")
 def i12(t: Tables) -> DataFrame:
-    some = t.props.filter("status = 'MLS_PENDING'").select("id", "lat", "lng", (F.col("id") % 25).cast("double").alias("miles"))
+    some = t.props.select("id", "lat", "lng", (F.col("id") % 25).cast("double").alias("miles"))
     return sub_circles(some, F.col("miles")).select("id", "i")
 
 
-@query("i15_preset_shapes", """WITH s AS (SELECT id, lat, lng, CAST(greatest(id % 40, 1) AS DOUBLE) AS area, greatest(1e0, 69e0 * cos(radians(lat))) AS w FROM props WHERE status = 'MLS_PENDING')
+CIRCLE_AREA = math.pi * CIRCLE_MILES * CIRCLE_MILES
+
+
+def coverage(centers: DataFrame, miles: Column, polygon: list[tuple[float, float]]) -> DataFrame:
+    """id, original, filtered, pruned, removed, fetch_area, pruned_area, savings: how many circles of the grid reach into the radius, and which of these meet the polygon."""
+    large = miles > CIRCLE_MILES
+    whole = lambda spacing: F.greatest(F.lit(2), F.ceil(miles * 2 / spacing) + 1)
+    placed = sub_circles(centers.withColumn("original", F.when(large, whole(DOWN) * whole(ACROSS)).otherwise(1).cast("long")).withColumn("miles", miles), F.col("miles"))
+    meets = ~(F.col("miles") > CIRCLE_MILES) | geo.circle_meets(F.col("clat"), F.col("clng"), CIRCLE_MILES, polygon)
+    per = placed.groupBy("id", "miles", "original").agg(F.count("*").alias("filtered"), F.count_if(meets).alias("pruned"))
+    area = lambda n: F.round(F.when(F.col("miles") > CIRCLE_MILES, F.col(n) * CIRCLE_AREA).otherwise(F.col("miles") * F.col("miles") * math.pi), 1)
+    removed = F.col("original") - F.col("pruned")
+    return per.select("id", "original", "filtered", "pruned", removed.alias("removed"), area("original").alias("fetch_area"), area("pruned").alias("pruned_area"), F.round(removed / F.col("original") * 100, 1).alias("savings"))
+
+
+@query("i12_coverage", f"""WITH c AS (SELECT id, lat, lng, CAST(id % 25 AS DOUBLE) AS miles FROM props),
+d AS (SELECT *, greatest(2, CAST(ceil(miles * 2 / {DOWN!r}e0) AS INTEGER) + 1) AS rows, greatest(2, CAST(ceil(miles * 2 / {ACROSS!r}e0) AS INTEGER) + 1) AS cols FROM c),
+g AS (SELECT *, unnest(range(CASE WHEN miles > 5 THEN cols ELSE 1 END)) AS col FROM (SELECT *, unnest(range(CASE WHEN miles > 5 THEN rows ELSE 1 END)) AS row FROM d) r),
+p AS (SELECT *, CAST(row * cols + col AS INTEGER) AS i, CASE WHEN miles > 5 THEN floor((lat + (row - (rows - 1) / 2e0) * {DOWN!r}e0 / 69e0) * 1e6 + 0.5e0) / 1e6 ELSE lat END AS clat,
+  CASE WHEN miles > 5 THEN floor((lng + ((col - (cols - 1) / 2e0) * {ACROSS!r}e0 + CASE WHEN row % 2 = 1 THEN {ACROSS / 2!r}e0 ELSE 0e0 END) * (1e0 / (cos(radians(lat)) * 69e0))) * 1e6 + 0.5e0) / 1e6 ELSE lng END AS clng FROM g)
+, near AS (SELECT id, i, miles, rows, cols, clat, clng FROM p WHERE sqrt(pow((clng - lng) * cos(radians(lat)) * 69e0, 2) + pow((clat - lat) * 69e0, 2)) <= miles + 5),
+edges(la, na, lb, nb) AS (VALUES {EDGES}),
+crossed AS (SELECT id, i FROM near, edges WHERE (la > clat) <> (lb > clat) AND clng < (nb - na) * (clat - la) / (lb - la) + na GROUP BY id, i HAVING count(*) % 2 = 1),
+touched AS (SELECT DISTINCT id, i FROM near, edges WHERE {edge_sql('clat', 'clng')} <= 5),
+n AS (SELECT id, miles, CASE WHEN miles > 5 THEN rows * cols ELSE 1 END AS original, count(*) AS filtered, count(*) FILTER (miles <= 5 OR (id, i) IN (SELECT (id, i) FROM crossed) OR (id, i) IN (SELECT (id, i) FROM touched)) AS pruned FROM near GROUP BY 1, 2, 3)
+SELECT id, CAST(original AS BIGINT) AS original, filtered, pruned, original - pruned AS removed, round(CASE WHEN miles > 5 THEN original * {CIRCLE_AREA!r}e0 ELSE pi() * miles * miles END, 1) AS fetch_area, round(CASE WHEN miles > 5 THEN pruned * {CIRCLE_AREA!r}e0 ELSE pi() * miles * miles END, 1) AS pruned_area, round((original - pruned) / original * 100e0, 1) AS savings FROM n""")
+def i12_coverage(t: Tables) -> DataFrame:
+    return coverage(t.props.select("id", "lat", "lng"), (F.col("id") % 25).cast("double"), POLYGON)
+
+
+@query("i15_preset_shapes", """WITH s AS (SELECT id, lat, lng, CAST(greatest(id % 40, 1) AS DOUBLE) AS area, greatest(1e0, 69e0 * cos(radians(lat))) AS w FROM props)
 SELECT id, round(lat + sqrt(area) / 2e0 / 69e0, 6) AS square_north, round(lng - sqrt(area) / 2e0 / w, 6) AS square_west, round(lat + sqrt(area / pi()) / 69e0, 6) AS circle_north, round(lng + sqrt(area / pi()) / w, 6) AS circle_east, round(lng + sqrt(area / 2e0) / w, 6) AS triangle_east FROM s""")
 def i15(t: Tables) -> DataFrame:
-    """Extents of the circle, square and triangle of an area around each pending property."""
+    """Extents of the circle, square and triangle of an area around each property."""
     area, wide = F.greatest(F.col("id") % 40, F.lit(1)).cast("double"), F.greatest(F.lit(1.0), F.cos(F.radians("lat")) * 69.0)
     half, radius, arm = F.sqrt(area) / 2, F.sqrt(area / math.pi), F.sqrt(area / 2)
     cut = lambda c, n: F.round(c, 6).alias(n)
-    return t.props.filter("status = 'MLS_PENDING'").select(
+    return t.props.select(
         "id", cut(F.col("lat") + half / 69, "square_north"), cut(F.col("lng") - half / wide, "square_west"), cut(F.col("lat") + radius / 69, "circle_north"),
         cut(F.col("lng") + radius / wide, "circle_east"), cut(F.col("lng") + arm / wide, "triangle_east"),
     )

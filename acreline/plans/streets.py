@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,24 @@ def areas(t: Tables) -> DataFrame:
     return t.props.withColumn("area", F.concat_ws("/", "zip_code", (F.col("owner_id") % 5).cast("string"))).withColumn("weight", (F.col("id") % 10) / 10.0)
 
 
+def compact(t: Tables, most: int = 100) -> DataFrame:
+    """An owner's properties on compact routes of so many stops at most."""
+    return t.props.join(generate.compact(t.props, "owner_id", most).select("id", "route"), "id")
+
+
 @query("l01_spread_seeds")
 def l01(t: Tables) -> DataFrame:
-    """How far the stops of an area are from the nearest of four drawn seeds, by the clusters that these start."""
-    return l02(t).groupBy("area").agg(F.count("*").alias("clusters"), F.sum("n").alias("n"))
+    """The four seeds drawn on each compact route, and how far its stops are from the nearest of them: route, nth, lat, lng, mean, farthest."""
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        points = group.sort_values("id")[["lat", "lng"]].to_numpy()
+        seeds = streets.spread_seeds(points, 4, np.random.default_rng(int(group["id"].min())).random(4))
+        far = routes.miles(points[:, None], seeds[None])
+        own, near = far.argmin(axis=1), far.min(axis=1)
+        of = [near[own == k] for k in range(len(seeds))]
+        return pd.DataFrame({"route": group["route"].iloc[0], "nth": np.arange(1, len(seeds) + 1, dtype=np.int32), "lat": seeds[:, 0], "lng": seeds[:, 1], "mean": [x.mean() if len(x) else 0.0 for x in of], "farthest": [x.max() if len(x) else 0.0 for x in of]})
+
+    return compact(t).select("route", "id", "lat", "lng").groupBy("route").applyInPandas(one, "route string, nth int, lat double, lng double, mean double, farthest double")
 
 
 @query("l02_weighted_clusters")
@@ -28,17 +44,12 @@ def l02(t: Tables) -> DataFrame:
 
 @query("l03_cluster_detection")
 def l03(t: Tables) -> DataFrame:
-    """How many clusters an area's stops call for."""
-
-    def one(group):
-        return group[["area"]].head(1).assign(k=routes.clusters_of(group[["lat", "lng"]].to_numpy()))
-
-    return areas(t).select("area", "lat", "lng").groupBy("area").applyInPandas(one, "area string, k long")
+    """How many clusters the stops of a short route call for."""
 
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        return group[["route"]].head(1).assign(k=routes.clusters_of(group[["lat", "lng"]].to_numpy()))
 
-def compact(t: Tables) -> DataFrame:
-    """An owner's properties on compact routes of a hundred stops at most."""
-    return t.props.join(generate.compact(t.props, "owner_id", 100).select("id", "route"), "id")
+    return compact(t, 20).select("route", "lat", "lng").groupBy("route").applyInPandas(one, "route string, k long")
 
 
 @query("l06_two_opt")

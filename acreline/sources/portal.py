@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,21 +69,35 @@ def zip_ranges(spark: SparkSession, ranges: list[tuple[str, int, int]]) -> DataF
     return rows.select("state", F.explode(F.sequence("low", "high")).alias("n")).select("state", F.lpad(F.col("n").cast("string"), 5, "0").alias("zip_code"))
 
 
+def found(body: Column, paths: Sequence[str], kind: str = "string") -> Column:
+    """The first value that stands at one of the paths of a parsed body; missing, null and empty ones are passed over."""
+
+    def at(path: str) -> Column:
+        value = F.try_variant_get(body, f"$.{path}" if path[0] != "[" else f"${path}", kind)
+        return F.nullif(value, F.lit("")) if kind == "string" else F.when(~F.is_variant_null(value), value) if kind == "variant" else value
+
+    return F.coalesce(*[at(p) for p in paths])
+
+
+def parsed(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the JSON text of a column parsed, once a row, to a VARIANT; null where it is no JSON."""
+    return rows.withColumn(column, F.try_parse_json(column))
+
+
 def unwrap_webhook(payload: Column, record: T.StructType) -> Column:
-    """The property list of a webhook body in any of its three shapes."""
-    paths = ("$.results.properties", "$.properties", "$.data")
-    return F.coalesce(*[F.from_json(F.get_json_object(payload, p), T.ArrayType(record)) for p in paths])
+    """The property list of a parsed webhook body in any of its three shapes."""
+    return found(payload, ("results.properties", "properties", "data"), f"array<{record.simpleString()}>")
 
 
 def value_of(record: Column, name: str) -> Column:
-    """A number of a JSON record that stands there plainly or as {"value": ...}."""
-    return F.coalesce(F.get_json_object(record, f"$.{name}.value"), F.get_json_object(record, f"$.{name}")).try_cast("double")
+    """A number of a parsed record that stands there plainly or as {"value": ...}."""
+    return found(record, (f"{name}.value", name)).try_cast("double")
 
 
 def flat_listing(record: Column) -> list[Column]:
-    """The portal's columns of a nested listing record."""
+    """The portal's columns of a nested listing record that is parsed."""
     price, sqft = value_of(record, "price"), value_of(record, "sqft")
-    plain = lambda n: F.get_json_object(record, f"$.{n}")
+    plain = lambda n: F.try_variant_get(record, f"$.{n}", "string")
     per_sqft = F.when((price != 0) & (sqft > 0), F.floor(price / sqft * 10 + 0.5) / 10)
     return [price.alias("price"), sqft.alias("sqft"), value_of(record, "lot_size").alias("lot_size"), per_sqft.alias("price_per_sqft"), plain("address").alias("address"), plain("city").alias("city"), F.coalesce(plain("property_type"), F.lit("Unknown")).alias("property_type")]
 
@@ -94,14 +110,14 @@ PRICE_PATHS = ("listing.soldPrice", "lastSale.salePrice", "saleInfo.lastSaleAmou
 SOLD_WORDS = ("SOLD", "CLOSED", "SETTLED")
 
 
-def verification(response: Column) -> Column:
-    """struct<status, is_sold, sold_date, price> of a verification response in any of its shapes; nulls if it has no property."""
-    first = lambda body, paths: F.coalesce(*[F.nullif(F.get_json_object(body, f"$.{p}"), F.lit("")) for p in paths])
-    found = F.coalesce(*[F.get_json_object(response, f"$.{p}") for p in RESULT_PATHS], F.get_json_object(response, "$[0]"))
-    status = F.upper(first(found, STATUS_PATHS))
-    return F.struct(
-        status.alias("status"), F.coalesce(status.isin(*SOLD_WORDS), F.lit(False)).alias("is_sold"),
-        first(found, DATE_PATHS).alias("sold_date"), first(found, PRICE_PATHS).try_cast("double").alias("price"),
+def verification(rows: DataFrame, response: str) -> DataFrame:
+    """rows with the parsed column `response` replaced by status, is_sold, sold_date, price of a verification response in any of its shapes; nulls if it has no property."""
+    inner = rows.withColumn(response, found(F.col(response), (*RESULT_PATHS, "[0]"), "variant"))
+    at = F.col(response)
+    status = F.upper(found(at, STATUS_PATHS))
+    return inner.select(
+        *[c for c in rows.columns if c != response], status.alias("status"), F.coalesce(status.isin(*SOLD_WORDS), F.lit(False)).alias("is_sold"),
+        found(at, DATE_PATHS).alias("sold_date"), found(at, PRICE_PATHS).try_cast("double").alias("price"),
     )
 
 

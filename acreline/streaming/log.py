@@ -57,7 +57,10 @@ def completions(rows: DataFrame) -> DataFrame:
 
 
 def upsert(rows: DataFrame, table: VersionedTable, checkpoint: str, key: str = "user_id", order: str = "ts") -> StreamingQuery:
-    """Keep the last row of each key in a versioned table; a batch that is replayed changes nothing."""
+    """Keep the last row of each key in a versioned table, of equal times the greatest by its other columns; a batch that is replayed changes nothing.
+
+    Each batch writes a whole version; BucketTable rewrites only what a batch touches.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         version = f"batch-{number}"
@@ -66,6 +69,7 @@ def upsert(rows: DataFrame, table: VersionedTable, checkpoint: str, key: str = "
         old = table.read()
         # files may come in any order, so the later row by event time stays, not the later delivered
         rows = batch if old is None else old.unionByName(batch)
-        table.swap(keep_first(rows, [key], [F.desc(order)]), version)
+        rest = [F.desc(c) for c in rows.columns if c not in (key, order)]
+        table.swap(keep_first(rows, [key], [F.desc(order), *rest]), version)
 
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()

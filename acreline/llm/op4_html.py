@@ -22,6 +22,7 @@ give repeated rows, an empty table none, and other columns play no part.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import html
 import re
@@ -36,6 +37,9 @@ from acreline.llm.common import arrow_slices, plain
 
 # HTML's element kinds and the usual names of page parts.
 RAW = "script style noscript template iframe object svg math canvas audio video textarea select title".split()
+#: Of these, the ones whose content is text to the end of the page if nothing ends it; of others only the tag goes then.
+ENDLESS = {"script", "style", "textarea", "title"}
+RAW_SET = set(RAW)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -60,10 +64,11 @@ CONTENT = 0.08
 #: What a part's tag or name multiplies a path's value by.
 PART = 1e-4
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?:>|[\"'][^>]*>).*?(?:</\1\s*>|$)|"
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|$|[\"'][^>]*(?:>|$))",
     re.S | re.I,
 )
+_RAW_END = re.compile(r"</(" + "|".join(RAW) + r")\s*>", re.I)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _CLASS = re.compile(r"""\bclass\s*=\s*["']?([\w-]+)""")
 _MARKS = re.compile(r"[.,;:!?、。，！？]")
@@ -139,19 +144,34 @@ def read(html_: str) -> Page:
             opened[page.tag[n]] -= 1
         del stack[i:], nearest[i:]
 
+    def raw_end(tag: str, attributes: str, at: int) -> int:
+        """Where a raw element that was opened just before `at` ends."""
+        if attributes.rstrip().endswith("/") and tag not in ENDLESS:
+            return at
+        ends = raw_ends.get(tag, [])
+        i = bisect.bisect_left(ends, (at, 0))
+        return ends[i][1] if i < len(ends) else len(html_) if tag in ENDLESS else at
+
+    #: Where the end tags of raw elements stand, in order.
+    raw_ends: dict[str, list[tuple[int, int]]] = {}
+    for m in _RAW_END.finditer(html_):
+        raw_ends.setdefault(m[1].lower(), []).append(m.span())
     at = 0
-    for m in _TOKEN.finditer(html_):
+    while m := _TOKEN.search(html_, at):
         if m.start() > at and not skipped:
             buffer.append(html_[at : m.start()])
             linked += (m.start() - at) * (links > 0)
         at = m.end()
-        tag = m.group(3)
+        tag = m.group(2)
         if not tag:
-            if m.group(1) and not skipped:
+            continue
+        tag, attributes = tag.lower(), m.group(3)
+        if tag in RAW_SET and not m.group(1):
+            at = raw_end(tag, attributes, at)
+            if not skipped:
                 buffer.append(" ")
             continue
-        tag, attributes = tag.lower(), m.group(4)
-        if m.group(2):
+        if m.group(1):
             if tag == "a":
                 links = max(0, links - 1)
             if tag in BLOCK:

@@ -34,7 +34,7 @@ def _written(rows: DataFrame, name: str) -> DataFrame:
 def parts(rows: DataFrame, owner: str, most: int = PART) -> DataFrame:
     """id, owner, lat, lng, part: parts of `most` rows or so, halved at the bin of a histogram nearest the median of their wider side.
 
-    A part whose rows all stand in one place is cut by a hash of the id.
+    A part whose rows all stand in one place is cut by a hash of the id and of what it was cut by before.
     """
     at = _written(rows.select("id", owner, "lat", "lng", F.col(owner).cast("string").alias("part")), "parts")
     while True:
@@ -46,11 +46,11 @@ def parts(rows: DataFrame, owner: str, most: int = PART) -> DataFrame:
             return at
         met = at.join(large, "part", "left")
         spot = F.when(F.col("wide"), F.col("lng")).otherwise(F.col("lat"))
-        bin_ = F.least(F.lit(BINS - 1), F.floor((spot - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * BINS)).cast("int")
+        bin_ = F.when(F.col("high") > F.col("low"), F.least(F.lit(BINS - 1), F.floor((spot - F.col("low")) / (F.col("high") - F.col("low")) * BINS))).cast("int")
         counted = met.filter("n IS NOT NULL").groupBy("part", "n", bin_.alias("bin")).agg(F.count("*").alias("k")).filter("bin IS NOT NULL")
         up_to = F.sum("k").over(Window.partitionBy("part").orderBy("bin"))  # at most BINS rows a part
         cut = counted.withColumn("upto", up_to).filter("upto * 2 >= n").groupBy("part").agg(F.least(F.min("bin"), F.lit(BINS - 2)).alias("cut"))
-        side = F.when(F.col("cut").isNotNull(), F.when(bin_ > F.col("cut"), "1").otherwise("0")).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / most)).cast("string"))
+        side = F.when(F.col("cut").isNotNull(), F.when(bin_ > F.col("cut"), "1").otherwise("0")).otherwise(F.pmod(F.xxhash64("id", "part"), F.ceil(F.col("n") / most)).cast("string"))
         half = F.when(F.col("n").isNull(), F.col("part")).otherwise(F.concat("part", F.lit("."), side))
         at = _written(met.join(cut, "part", "left").select("id", owner, "lat", "lng", half.alias("part")), "parts")
 

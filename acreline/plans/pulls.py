@@ -52,11 +52,12 @@ def a03(t: Tables) -> DataFrame:
     return of("29601").unionByName(of("29607")).groupBy("zip_code").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
-def pull(t: Tables, table: BucketTable, log: str, batches: int | None = None, **options: object) -> int:
+def pull(t: Tables, table: BucketTable, checkpoint: str, batches: int | None = None, **options: object) -> int:
     """Run the pull until its end, or until `batches` batches are taken; the number of batches taken."""
     spark = run.session(t.spark)
     spark.dataSource.register(RecordSource)
-    rows = spark.readStream.format("records").options(fetch="acreline.sources.orders_service.fetch", table=f"{t.sf_dir}/orders.parquet", circles=json.dumps(CIRCLES), **options).load()
+    usual = {"fetch": "acreline.sources.orders_service.fetch", "table": f"{t.sf_dir}/orders.parquet", "circles": json.dumps(CIRCLES)}
+    rows = spark.readStream.format("records").options(**usual | options).load()
     taken = []
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -65,7 +66,7 @@ def pull(t: Tables, table: BucketTable, log: str, batches: int | None = None, **
         table.apply(batch, number)
         taken.append(number)
 
-    query = rows.writeStream.option("checkpointLocation", log).foreachBatch(apply).start()
+    query = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply).start()
     try:
         query.processAllAvailable()
     except Exception:

@@ -154,15 +154,16 @@ class PullReader(DataSourceStreamReader):
         return {"phase": self.phases[after] if after < len(self.phases) else "complete", "circle": 0, "offset": 0}
 
     def initialOffset(self) -> dict:  # noqa: N802
-        self.at = {"phase": self.phases[0], "circle": 0, "offset": 0}
-        return self.at
+        return {"phase": self.phases[0], "circle": 0, "offset": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        # after a restart only Spark knows where the pull is: the rest of it is one batch, a task a page
-        self.at = {"phase": "complete", "circle": 0, "offset": 0} if self.at is None else self._next(self.at, self.pages)
+        # a query that is started again plans its last batch first, so no place is known only in a new one
+        self.at = self._next(self.at or self.initialOffset(), self.pages)
         return self.at
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if self.at is None:
+            self.at = end
         out: list[InputPartition] = []
         at = start
         while at != end and at["phase"] != "complete":
@@ -181,7 +182,11 @@ class PullReader(DataSourceStreamReader):
 
 
 class RecordSource(DataSource):
-    """spark.dataSource.register(RecordSource); spark.read.format("records") or spark.readStream.format("records")."""
+    """spark.dataSource.register(RecordSource); spark.read.format("records") or spark.readStream.format("records").
+
+    Where filters are pushed down (spark.sql.python.filterPushdown.enabled), load anew for each
+    query: Spark keeps with a loaded frame what its first filter has narrowed.
+    """
 
     @classmethod
     def name(cls) -> str:

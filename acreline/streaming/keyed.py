@@ -35,6 +35,10 @@ class Watchdog(StatefulProcessor):
             return
         if held is not None and not idle:
             self.handle.deleteTimer(held + self.limit)
+            if held + self.limit < timerValues.getCurrentWatermarkInMs():
+                # the alarm is due in the batch that brings these rows, which are seen first
+                idle = True
+                yield Row(key=key[0], at=held, idle=True)
         self.last.update((newest, False))
         self.handle.registerTimer(newest + self.limit)
         if idle:

@@ -46,16 +46,13 @@ def contacts(logs: DataFrame) -> DataFrame:
 
 
 def property_scores(rows: DataFrame, logs: DataFrame, as_of: Column, weights: dict[str, float] | None = None) -> DataFrame:
-    """rows with score. They have effective_status and either of two hashes, by which logs, counted per hash, are joined."""
+    """rows with score. They have an id, effective_status and two hashes; logs, counted per hash, meet ids by either of them and then rows by id."""
     q, r = geo.hexagon(F.col("lat"), F.col("lng"))
-    seen = contacts(logs)
-    count = lambda c: F.coalesce(F.col(f"a.{c}"), F.lit(0)) + F.coalesce(F.col(f"b.{c}"), F.lit(0))
-    joined = (
-        rows.withColumns({"q": q, "r": r}).join(activity(rows), ["q", "r"], "left").alias("p")
-        .join(seen.alias("a"), F.col("p.address_hash") == F.col("a.address_hash"), "left")
-        .join(seen.alias("b"), (F.col("p.legacy_hash") == F.col("b.address_hash")) & (F.col("p.legacy_hash") != F.col("p.address_hash")), "left")
-        .select("p.*", count("visits").alias("visits"), count("unanswered").alias("unanswered"))
-    )
+    hashes = rows.select(F.col("id").alias("__id"), F.explode(F.array_distinct(F.array("address_hash", "legacy_hash"))).alias("address_hash"))
+    seen = hashes.join(contacts(logs), "address_hash").groupBy("__id").agg(F.sum("visits").alias("visits"), F.sum("unanswered").alias("unanswered"))
+    # few hexagons against many rows: the cell's count is joined first, rows move to their id once
+    joined = rows.withColumns({"q": q, "r": r}).join(activity(rows), ["q", "r"], "left").join(seen, F.col("id") == F.col("__id"), "left")
+    joined = joined.withColumns({"visits": F.coalesce("visits", F.lit(0)), "unanswered": F.coalesce("unanswered", F.lit(0))})
     status, price, kind = F.col("effective_status"), F.col("price"), F.lower("property_type")
     days = days_since(as_of, F.col("sold_date"))
     years = days / 365.0
@@ -73,7 +70,7 @@ def property_scores(rows: DataFrame, logs: DataFrame, as_of: Column, weights: di
         "recent_sale": years <= 3, "high_value": price > 750_000, "large_lot": F.col("lot_size") > 10_890,
     }
     for name, w in (weights or {}).items():
-        score = F.when(applies[name], score * w).otherwise(score)
+        score = score * F.when(applies[name], w).otherwise(1.0)
     score = F.when(status == "HARD_NO", 0.0).otherwise(F.greatest(F.lit(0.0), F.floor(score + 0.5).cast("double")))
     return joined.select(*rows.columns, score.alias("score"))
 

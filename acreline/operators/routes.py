@@ -6,6 +6,9 @@ table.
 
 from __future__ import annotations
 
+import math
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -86,10 +89,10 @@ def fewer_turns(points: np.ndarray, start: np.ndarray | None = None) -> np.ndarr
     return np.array(order)
 
 
-def two_opt(points: np.ndarray, order: np.ndarray, passes: int = TWO_OPT_PASSES) -> np.ndarray:
-    """Reverse stretches of an open path while that shortens it; the first stop stays."""
+def two_opt(points: np.ndarray, order: np.ndarray, passes: int = TWO_OPT_PASSES, most: int = TWO_OPT_MAX) -> np.ndarray:
+    """Reverse stretches of an open path of at most `most` stops while that shortens it; the first stop stays."""
     n = len(order)
-    if not 4 <= n <= TWO_OPT_MAX:
+    if not 4 <= n <= most:
         return order
     d = miles(points[:, None], points[None])
     order = order.copy()
@@ -110,9 +113,9 @@ def two_opt(points: np.ndarray, order: np.ndarray, passes: int = TWO_OPT_PASSES)
     return order
 
 
-def or_opt(points: np.ndarray, order: np.ndarray, passes: int = 30, least: float = 1e-3) -> np.ndarray:
-    """Move one or two neighbouring stops elsewhere while that saves at least `least`; the first stop stays."""
-    if not 3 <= len(order) <= TWO_OPT_MAX:
+def or_opt(points: np.ndarray, order: np.ndarray, passes: int = 30, least: float = 1e-3, most: int = TWO_OPT_MAX) -> np.ndarray:
+    """Move one or two neighbouring stops of a path of at most `most` elsewhere while that saves at least `least`; the first stop stays."""
+    if not 3 <= len(order) <= most:
         return order
     d = miles(points[:, None], points[None])
     order = np.array(order)
@@ -134,6 +137,146 @@ def or_opt(points: np.ndarray, order: np.ndarray, passes: int = 30, least: float
     return order
 
 
+def nearest_lists(points: np.ndarray, k: int = 8, leaf: int = 64) -> np.ndarray:
+    """The k nearest other points of each on the plane, nearest first: n x min(k, n - 1) row numbers.
+
+    Points are cut at medians into leaves; a leaf looks only into leaves whose boxes are
+    nearer than the farthest neighbour it has in itself, so no distance matrix is held.
+    """
+    n = len(points)
+    k = min(k, n - 1)
+    flat = np.column_stack([points[:, 0], points[:, 1] * np.cos(np.radians(points[:, 0].mean()))])
+    leaves, open_parts = [], [np.arange(n)]
+    while open_parts:
+        part = open_parts.pop()
+        if len(part) <= max(leaf, 2 * k + 1):
+            leaves.append(part)
+            continue
+        wide = int(np.ptp(flat[part], axis=0).argmax())
+        cut = np.argpartition(flat[part, wide], len(part) // 2)
+        open_parts += [part[cut[: len(part) // 2]], part[cut[len(part) // 2 :]]]
+    low, high = (np.array([f(flat[part], axis=0) for part in leaves]) for f in (np.min, np.max))
+
+    def among(rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = ((flat[rows, None] - flat[None, others]) ** 2).sum(axis=2)
+        d[rows[:, None] == others] = np.inf
+        nth = np.argpartition(d, k - 1, axis=1)[:, :k]
+        far = np.take_along_axis(d, nth, axis=1)
+        by = np.lexsort((others[nth], far), axis=1)
+        return others[np.take_along_axis(nth, by, axis=1)], far.max(axis=1)
+
+    out = np.empty((n, k), np.int64)
+    for i, part in enumerate(leaves):
+        reach = among(part, part)[1].max()
+        gap = np.maximum(0, np.maximum(low - high[i], low[i] - high))
+        out[part] = among(part, np.concatenate([leaves[j] for j in np.flatnonzero((gap**2).sum(axis=1) <= reach)]))[0]
+    return out
+
+
+def near_opt(points: np.ndarray, order: np.ndarray, k: int = 8, longest: int = 3, least: float = 1e-9) -> np.ndarray:
+    """Reversals and relocations of an open path that bring a stop beside one of its k nearest, while they shorten it; the first stop stays.
+
+    Only stops whose neighbourhood has changed are looked at again, memory grows with the
+    stops, and a path of any length is taken. It never gets longer.
+    """
+    n = len(order)
+    if n < 3:
+        return order
+    lists = nearest_lists(points, k)
+    near, apart = lists.tolist(), miles(points[:, None], points[lists]).tolist()
+    lat, lng = np.radians(points).T.tolist()
+    cosine = np.cos(np.radians(points[:, 0])).tolist()
+    path = order.tolist()
+    pos = [0] * n
+    for i, a in enumerate(path):
+        pos[a] = i
+
+    def dist(a: int, b: int) -> float:
+        """Miles between stops; none to the place behind the last stop, -1."""
+        if a < 0 or b < 0:
+            return 0.0
+        h = math.sin((lat[b] - lat[a]) / 2) ** 2 + cosine[a] * cosine[b] * math.sin((lng[b] - lng[a]) / 2) ** 2
+        return 7918.0 * math.asin(min(1.0, math.sqrt(h)))
+
+    def at(i: int) -> int:
+        return path[i] if i < n else -1
+
+    def best_move(a: int) -> tuple | None:
+        """(first place, end, where it goes, whether turned, stops at the edges that change) of stop a's best move."""
+        best, move = least, None
+        i = pos[a]
+        s, p = at(i + 1), path[i - 1] if i else -1
+        to_s, to_p = dist(a, s), dist(p, a)
+        for c, d in zip(near[a], apart[a], strict=True):
+            if s >= 0 and d >= to_s and d >= to_p:
+                break  # nearest first: a reversal that gains has a shorter new edge at one of its stops
+            j = pos[c]
+            # a's next edge and c's next edge
+            t = at(j + 1)
+            gain = to_s + dist(c, t) - d - dist(s, t)
+            if gain > best:
+                best, move = gain, (min(i, j) + 1, max(i, j) + 1, None, True, (a, s, c, t))
+            if i and j:
+                # the edges before a and before c
+                u = path[j - 1]
+                gain = to_p + dist(u, c) - d - dist(p, u)
+                if gain > best:
+                    best, move = gain, (min(i, j), max(i, j), None, True, (a, p, c, u))
+        for size in range(1, longest + 1):
+            # a stretch that starts or ends at a goes beside c
+            for first in (i, i - size + 1)[: 2 if size > 1 else 1]:
+                last = first + size - 1
+                if first < 1 or last >= n:
+                    continue
+                b = path[last] if first == i else path[first]
+                left, right = path[first - 1], at(last + 1)
+                saved = dist(left, path[first]) + dist(path[last], right) - dist(left, right)
+                if saved + dist(a, b) <= best:
+                    continue  # no place costs less than the stretch's own ends are apart
+                for c, d in zip(near[a], apart[a], strict=True):
+                    j = pos[c]
+                    if first <= j <= last:
+                        continue
+                    if j != first - 1:
+                        t = at(j + 1)
+                        gain = saved - d - dist(b, t) + dist(c, t)
+                        if gain > best:
+                            best, move = gain, (first, last + 1, j + 1, first != i, (a, b, left, right, c, t))
+                    if j and j != last + 1:
+                        u = path[j - 1]
+                        gain = saved - d - dist(b, u) + dist(u, c)
+                        if gain > best:
+                            best, move = gain, (first, last + 1, j, first == i, (a, b, left, right, c, u))
+        return move
+
+    waiting, queued = deque(path), [True] * n
+    while waiting:
+        a = waiting.popleft()
+        queued[a] = False
+        move = best_move(a)
+        if move is None:
+            continue
+        x, y, to, turned, ends = move
+        part = path[x:y][::-1] if turned else path[x:y]
+        if to is not None and to < x:
+            part, x = part + path[to:x], to
+        elif to is not None:
+            part, y = path[y:to] + part, to
+        path[x:y] = part
+        for j in range(x, y):
+            pos[path[j]] = j
+        for e in ends:
+            if e >= 0 and not queued[e]:
+                queued[e] = True
+                waiting.append(e)
+    return np.array(path)
+
+
+def improved(points: np.ndarray, order: np.ndarray, most: int = TWO_OPT_MAX) -> np.ndarray:
+    """2-opt and relocation over all pairs of a path of at most `most` stops, then over neighbour lists, which longer ones have alone."""
+    return near_opt(points, or_opt(points, two_opt(points, order, most=most), most=most))
+
+
 def kmeans(points: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     """Lloyd's assignment; the first centre is the first row, each next one the farthest from those taken."""
     k = min(k, len(points))
@@ -219,7 +362,7 @@ def ordered_routes(stops: DataFrame, route: str = "route_id", improve: bool = Tr
             order += rows[nearest_first(points[rows], start)].tolist()
         path = np.array(order)
         if improve:
-            path = or_opt(points, two_opt(points, path))
+            path = improved(points, path)
         out = group.iloc[path][[route, "id"]].copy()
         out["seq"] = np.arange(1, len(out) + 1, dtype=np.int32)
         out["miles"] = path_miles(points[path])

@@ -154,4 +154,7 @@ def improved_miles(stops: DataFrame, route: str, kernel, score: str | None = Non
         assert sorted(after.tolist()) == list(range(len(points)))
         return pd.DataFrame({route: [group[route].iloc[0]], "n": [len(group)], "before": [routes.path_miles(points[order])], "after": [routes.path_miles(points[after])]})
 
-    return stops.select(route, "id", "lat", "lng", *([score] if score else [])).groupBy(route).applyInPandas(one, f"{route} {stops.schema[route].dataType.simpleString()}, n long, before double, after double")
+    rows = stops.select(route, "id", "lat", "lng", *([score] if score else []))
+    # few bytes but much work a route: a stated number of partitions isn't merged by size
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), route)
+    return dealt.groupBy(route).applyInPandas(one, f"{route} {stops.schema[route].dataType.simpleString()}, n long, before double, after double")

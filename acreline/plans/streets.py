@@ -62,6 +62,12 @@ def l07(t: Tables) -> DataFrame:
     return streets.improved_miles(compact(t), "route", lambda points, order, _: routes.or_opt(points, order))
 
 
+@query("l16_long_routes")
+def l16_long(t: Tables) -> DataFrame:
+    """Routes of up to 1,000 stops, too long for a look at all pairs, shortened over neighbour lists."""
+    return streets.improved_miles(compact(t, 1_000), "route", lambda points, order, _: routes.improved(points, order))
+
+
 @query("l08_front_load")
 def l08(t: Tables) -> DataFrame:
     return streets.improved_miles(areas(t), "area", routes.front_load, "weight")

@@ -6,6 +6,8 @@ places. A document looks up all its own runs, so any stretch of WINDOW + GRAM -
 shares with a template hits. Hits of one template on near diagonals make a candidate, whose
 stretch is aligned to the template within a band of diagonals, each diagonal once; it is reported if enough of
 the template's words are matched, with its coverage and its span in words and characters.
+Candidates that can't reach that are passed over before: their stretch has too few of the
+template's words (counted for all candidates at once), or too few in order (bit-parallel).
 
 Texts are scanned one by one and whole: nothing is shuffled, and the index is as small as
 the list of templates. A whole licence and its first sentences are templates of their own, so a
@@ -101,6 +103,11 @@ class Index:
     def __init__(self, templates: dict[str, str]) -> None:
         self.names = list(templates)
         self.words = [words_in(t)[0] for t in templates.values()]
+        self.counts = [np.unique(w, return_counts=True) for w in self.words]
+        self.bits: list[dict[int, int]] = [defaultdict(int) for _ in self.words]
+        for bits, words in zip(self.bits, self.words, strict=True):
+            for i, w in enumerate(words.tolist()):
+                bits[w] |= 1 << i
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
             grams = rolling(prefix_sums(words), min(GRAM, len(words)))
@@ -109,6 +116,26 @@ class Index:
         self.hashes = np.array(sorted(self.places), np.uint64)
 
 
+def shared(counts: tuple[np.ndarray, np.ndarray], ordered: np.ndarray, places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many of a template's words each stretch from low to high has, whatever their order; `ordered` are the text's words sorted, `places` where they stand."""
+    out = np.zeros(len(low), np.int64)
+    for n, a, b in zip(counts[1], np.searchsorted(ordered, counts[0]), np.searchsorted(ordered, counts[0], "right"), strict=True):
+        if a < b:
+            out += np.minimum(np.searchsorted(places[a:b], high) - np.searchsorted(places[a:b], low), n)
+    return out
+
+
+def in_order(bits: dict[int, int], n: int, words: list[int]) -> int:
+    """Length of the longest common subsequence of a template of n words, given as bits of each word's places, and `words`."""
+    whole = (1 << n) - 1
+    open_ = whole
+    for w in words:
+        at = open_ & bits.get(w, 0)
+        if at:
+            open_ = ((open_ + at) | (open_ - at)) & whole
+    return n - open_.bit_count()
+
+
 def align(template: np.ndarray, words: np.ndarray, band: int, diagonal: int = 0) -> tuple[int, int, int]:
     """(words in common, first and end of the matched stretch of `words`) of the best banded alignment.
 
@@ -141,6 +168,8 @@ def scan(text: str, index: Index, least: float = COVERAGE) -> list[tuple[str, fl
     at = np.searchsorted(index.hashes, grams)
     hits = np.flatnonzero(index.hashes[np.minimum(at, len(index.hashes) - 1)] == grams)
     by: dict[int, list[int]] = defaultdict(list)
+    places = np.argsort(words, kind="stable")
+    ordered, plain_words = words[places], words.tolist()
     for h in hits.tolist():
         for t, p in index.places[int(grams[h])]:
             by[t].append(h - p)
@@ -149,10 +178,12 @@ def scan(text: str, index: Index, least: float = COVERAGE) -> list[tuple[str, fl
         template = index.words[t]
         band = max(2, len(template) // 5)
         done = 0
-        for d in sorted(set(diagonals)):
+        ds = np.unique(diagonals)
+        can = shared(index.counts[t], ordered, places, np.maximum(0, ds - band), np.minimum(len(words), ds + len(template) + band))
+        for d in ds[can >= least * len(template)].tolist():
             # words of the match before aren't matched again
             low, high = max(done, d - band), min(len(words), d + len(template) + band)
-            if high - low < least * len(template):
+            if high - low < least * len(template) or in_order(index.bits[t], len(template), plain_words[low:high]) < least * len(template):
                 continue
             common, first, last = align(template, words[low:high], band, d - low)
             if common >= least * len(template):

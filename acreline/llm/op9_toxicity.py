@@ -19,6 +19,7 @@ the share of label 1 (0.5 without any labels).
 
 from __future__ import annotations
 
+import copy
 import dataclasses
 import pickle
 from collections.abc import Iterator
@@ -45,6 +46,8 @@ BATCH = 64
 CUT = 0.3
 #: Words that are scored at a time, unless one text has more.
 WORDS = 150_000
+#: Epochs without a gain after which training ends.
+PATIENCE = 3
 #: A language with fewer rows of either kind has CUT as its threshold.
 LEAST_KIND = 10
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -81,16 +84,16 @@ def responses(model: Model, whole: np.ndarray, stem: np.ndarray, first: np.ndarr
     n, k = len(first) - 1, FILTERS * len(model.filters)
     best = np.zeros((n, k), np.float32)
     where = np.full((n, k), -1, np.int64)
+    vectors = model.table[whole]
+    vectors += model.table[stem]
     for f, (width, weights) in enumerate(model.filters.items()):
         cols = slice(f * FILTERS, (f + 1) * FILTERS)
         m = len(whole) - width + 1
         if m <= 0:
             continue
-        value = np.zeros((m, FILTERS), np.float32)
-        for j in range(width):
-            share = model.table @ weights[j]
-            value += share[whole[j : j + m]]
-            value += share[stem[j : j + m]]
+        value = vectors[:m] @ weights[0]
+        for j in range(1, width):
+            value += vectors[j : j + m] @ weights[j]
         value += model.bias[cols]
         # texts with fewer words than the width have no response
         full = np.flatnonzero(np.diff(first) >= width)
@@ -155,6 +158,8 @@ def train(encoded: list[tuple[np.ndarray, np.ndarray]], marks: list[int], langs:
         value -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
     offset = np.array([model.offset])
+    aside = np.flatnonzero(held).tolist()
+    least, kept, behind = np.inf, None, 0
     for epoch in range(epochs):
         order = rng.permutation(learned)
         rate = 0.01 * (1 - epoch / epochs) + 0.0005
@@ -188,15 +193,24 @@ def train(encoded: list[tuple[np.ndarray, np.ndarray]], marks: list[int], langs:
             for width, weights in model.filters.items():
                 step(width, weights, grads[width], rate)
             step("table", model.table, grad_table, rate)
-    model.offset = float(offset[0])
-    if held.any():
-        at = np.flatnonzero(held).tolist()
-        calibrate(model, [encoded[i] for i in at], labels[at], [langs[i] for i in at])
+        model.offset = float(offset[0])
+        if aside:
+            p = np.clip(encoded_scores(model, [encoded[i] for i in aside]), 1e-7, 1 - 1e-7)
+            loss = -float(np.mean(np.log(np.where(labels[aside] > 0, p, 1 - p))))
+            if loss < least:
+                least, kept, behind = loss, copy.deepcopy(model), 0
+            else:
+                behind += 1
+            if behind == PATIENCE:
+                break
+    model = kept or model
+    if aside:
+        calibrate(model, [encoded[i] for i in aside], labels[aside], [langs[i] for i in aside])
     return model
 
 
-def calibrate(model: Model, encoded: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: list[str | None]) -> None:
-    """Per language the threshold of best F1 on these rows, the widest gap's middle among equals; CUT where rows are few."""
+def encoded_scores(model: Model, encoded: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Scores of texts given as word numbers, so many words at a time."""
     sizes = np.array([len(w) for w, _ in encoded])
     part = np.cumsum(sizes) // WORDS
     got = np.empty(len(encoded))
@@ -205,6 +219,12 @@ def calibrate(model: Model, encoded: list[tuple[np.ndarray, np.ndarray]], labels
         whole, stem = (np.concatenate([encoded[i][j] for i in at]) for j in (0, 1))
         best = responses(model, whole, stem, np.concatenate([[0], np.cumsum(sizes[at])]))
         got[at] = 1 / (1 + np.exp(-(best.astype(np.float64) @ model.out + model.offset)))
+    return got
+
+
+def calibrate(model: Model, encoded: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, langs: list[str | None]) -> None:
+    """Per language the threshold of best F1 on these rows, the widest gap's middle among equals; CUT where rows are few."""
+    got = encoded_scores(model, encoded)
     for lang in {x for x in langs if x is not None}:
         at = [i for i, x in enumerate(langs) if x == lang]
         s, y = got[at], labels[at]

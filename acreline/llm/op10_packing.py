@@ -26,7 +26,10 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import os
+import string
+import unicodedata
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -40,17 +43,21 @@ from pyspark.sql import functions as F
 from acreline.llm.common import arrow_slices, materialize, texts
 
 CAPACITY = 2048
+#: Words of a generation of a worker's table.
 TABLE_ENTRIES = 400_000
 LONGEST_KEPT = 64
 #: Pieces of a length that one task ranks, about.
 SALTED = 20_000
 #: Words of letters that are tokenized as one text.
 TOGETHER = 256
-_ENDS = (b".", b",")
+#: Signs at a word's end that are tokens apart from its letters; apostrophes and what marks special tokens aren't among them.
+SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: Signs that an end has at most; there are under 25,000 such ends.
+LONGEST_END = 3
 
 
 def check_tokenizer(tokenizer) -> None:
-    """Raise unless a text's ids are those of its words, in lower case, a full stop or comma being a word of its own."""
+    """Raise unless a text's ids are those of its words, in lower case, the signs at a word's end being a word of their own."""
     ids = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
     for a, b in (("Stone", "Wall."), ("x1", "'s"), ("é", "日本,")):
         for blank in (" ", "\t", "\n\r", " \f\v "):
@@ -58,34 +65,67 @@ def check_tokenizer(tokenizer) -> None:
                 raise ValueError("the tokenizer's ids depend on white space")
     letters = "".join(map(chr, range(65, 91)))
     for word in (*letters, letters, "Tree"):
-        for end in ("", ".", ","):
+        for end in ("", "***", "?!.", *map(chr, SIGNS)):
             if ids(word + end) != ids(word.lower()) + (ids(end) if end else []):
-                raise ValueError("the tokenizer tells letter case or joins a word and its full stop")
+                raise ValueError("the tokenizer tells letter case or joins a word and the signs behind it")
+
+
+def check_plain(tokenizer, plain) -> None:
+    """Raise unless words of small ASCII letters have the same ids in `plain`."""
+    letters = string.ascii_lowercase
+    text = " ".join([letters, letters[::-1], *letters, *map("".join, itertools.product(letters, letters)), "tree tokenization internationally"])
+    if plain.encode(text, add_special_tokens=False).ids != tokenizer.encode(text, add_special_tokens=False).ids or any(t.content.isalpha() for t in tokenizer.get_added_tokens_decoder().values()):
+        raise ValueError("the tokenizer changes or marks words of small letters")
+
+
+def parts_of(word: bytes) -> tuple[int, bytes, bool]:
+    """(where the end begins, the stem that is tokenized for what is before, whether that is one word of letters)."""
+    if word.isalpha():  # ASCII letters only
+        return len(word), word.lower(), True
+    core = word.rstrip(SIGNS)
+    if core and len(word) - len(core) <= LONGEST_END:
+        if core.isalpha():
+            return len(core), core.lower(), True
+        # letters still, once the tokenizer has composed them and made them small
+        if not core.isascii() and unicodedata.normalize("NFC", core.decode()).lower().isalpha():
+            return len(core), core, True
+    return len(word), word, False
 
 
 class WordTable:
     """Word (UTF-8) -> its ids as little-endian 32-bit integers.
 
     The tokenizer drops white space and none of its tokens crosses it, so a text's ids are
-    those of its words in turn. It lower-cases, and ends a token between a letter and a full
-    stop or comma, so words of ASCII letters share an entry whatever their case and end. What
-    holds other characters is looked up as it stands: letter case and composition may join those.
+    those of its words in turn. It lower-cases, and ends a token between a letter and a
+    sign, so words of ASCII letters share an entry whatever their case and end, and words of other
+    letters whatever their end. What holds other characters is looked up as it stands, and so is
+    the case of other letters: letter case and composition may join those.
+
+    Of words and of their stems there are two generations: a full one becomes the older, whose entries move
+    on when they are met again, so what is frequent is never tokenized twice.
     """
 
     def __init__(self, tokenizer) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
         check_tokenizer(tokenizer)
         self.tokenizer = tokenizer
+        # small ASCII letters are left as they are before the model sees them, so these words need no such steps
+        self.plain = Tokenizer(tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        check_plain(tokenizer, self.plain)
         self.packed: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
-        self.ends = dict(zip(_ENDS, self._ids(list(_ENDS)), strict=True))
+        self.older: tuple[dict[bytes, bytes], dict[bytes, bytes]] = {}, {}
+        self.ends: dict[bytes, bytes] = {b"": b""}
         vocab = tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
-    def _letters(self, words: list[bytes]) -> Iterator[bytes]:
-        """Ids of words of letters alone: many to a text, whose ids are cut after each token that closes a word."""
+    def _letters(self, words: list[bytes], tokenizer) -> Iterator[bytes]:
+        """Ids of words of letters: many to a text, whose ids are cut after each token that closes a word."""
         groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+        for group, found in zip(groups, tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             cut = 4 * (np.flatnonzero(self.closes[ids]) + 1)
             if len(cut) != len(group):
@@ -97,34 +137,39 @@ class WordTable:
     def _ids(self, words: list[bytes]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
-    def _learn(self, new: set[bytes]) -> None:
-        parts = {}
-        for w in new:
-            # bytes.isalpha knows ASCII letters only
-            if w.isalpha():
-                parts[w] = w.lower(), b""
-            elif w[-1:] in _ENDS and w[:-1].isalpha():
-                parts[w] = w[:-1].lower(), w[-1:]
-            else:
-                parts[w] = w, b""
-        unknown = {s for s, _ in parts.values()} - self.stems.keys()
-        letters = [s for s in unknown if s.isalpha()]
-        others = [s for s in unknown if not s.isalpha()]
-        self.stems.update(zip(letters, self._letters(letters), strict=True))
-        self.stems.update(zip(others, self._ids(others), strict=True))
-        for w, (stem, end) in parts.items():
-            self.packed[w] = self.stems[stem] + self.ends[end] if end else self.stems[stem]
+    def _learn(self, new: list[bytes]) -> None:
+        parts = list(map(parts_of, new))
+        stems, older = self.stems, self.older[1]
+        small, letters, others = set(), set(), set()
+        for _, stem, plain in parts:
+            if stem not in stems:
+                if stem in older:
+                    stems[stem] = older[stem]
+                else:
+                    (others if not plain else small if stem.isascii() else letters).add(stem)
+        for some, ids in ((list(small), self._letters(list(small), self.plain)), (list(letters), self._letters(list(letters), self.tokenizer)), (list(others), self._ids(list(others)))):
+            stems.update(zip(some, ids, strict=True))
+        ends = list({w[n:] for w, (n, _, _) in zip(new, parts, strict=True)} - self.ends.keys())
+        self.ends.update(zip(ends, self._ids(ends), strict=True))
+        for w, (n, stem, _) in zip(new, parts, strict=True):
+            self.packed[w] = stems[stem] + self.ends[w[n:]] if n < len(w) else stems[stem]
+        for stem in small | letters | others:
+            if len(stem) > LONGEST_KEPT:
+                del stems[stem]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.packed) > TABLE_ENTRIES:
-            self.packed.clear()
-            self.stems.clear()
+            self.older = self.packed, self.stems
+            self.packed, self.stems = {}, {}
         # bytes.split cuts at ASCII white space; any other stays inside words and is the tokenizer's matter
         rows = [t.split() for t in texts]
-        new: set[bytes] = set()
-        for row in rows:
-            new.update(row)
-        new -= self.packed.keys()
+        # not a difference of sets: that would go through the whole table
+        new = list(itertools.filterfalse(self.packed.__contains__, set().union(*rows)))
+        older = self.older[0]
+        if older:
+            met = {w: older[w] for w in new if w in older}
+            self.packed.update(met)
+            new = [w for w in new if w not in met]
         if new:
             self._learn(new)
         known = self.packed.__getitem__
@@ -132,7 +177,6 @@ class WordTable:
         for w in new:
             if len(w) > LONGEST_KEPT:
                 del self.packed[w]
-                self.stems.pop(w, None)
         return out
 
 

@@ -541,6 +541,41 @@ def test_op10_words_alone_are_the_text():
     assert table.encode([odd.encode()])[0] == np.array(tok.encode(odd, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def counting(table, monkeypatch):
+    """The table's tokenizers note the words that they are given."""
+    given = []
+
+    class Noting:
+        def __init__(self, tok):
+            self.tok = tok
+
+        def encode_batch_fast(self, texts, **named):
+            given.extend(w for t in texts for w in t.split())
+            return self.tok.encode_batch_fast(texts, **named)
+
+    for name in {"tokenizer", "plain"} & vars(table).keys():
+        monkeypatch.setattr(table, name, Noting(getattr(table, name)))
+    return given
+
+
+def test_op10_tokenizes_a_stem_once(monkeypatch):
+    """Letters of any kind share an entry whatever signs end the word; words in use outlive a full table."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    same = lambda text: table.encode([text.encode()])[0] == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    table = op10_packing.WordTable(tok)
+    given = counting(table, monkeypatch)
+    assert same("ñandú ñandú. ñandú, ñandú*** Tree tree?! TREE$$$ (tree) x1*** İ*** क़?! it's* <|endoftext|>. ñ...... ñandú's")
+    assert sorted(w for w in given if w.startswith(("ñandú", "tree"))) == ["tree", "ñandú", "ñandú's"]
+    monkeypatch.setattr(op10_packing, "TABLE_ENTRIES", 20)
+    del given[:]
+    for at in range(60):
+        assert same("stone Überweg. " + " ".join(f"word{chr(97 + at % 26)}{chr(97 + at // 26)}{chr(97 + i)}" for i in range(10)))
+        assert len(table.packed) < 40 and len(table.stems) < 40
+    assert given.count("stone") == 1 and given.count("Überweg") == 1
+
+
 def test_op10_ranks_with_salts(spark):
     """Lengths with many salts, one of them full: each piece has a place of its own."""
     rows = [(i, 0, 0, n, i) for i, n in enumerate([2048] * 40 + [1] * 500 + [700] * 90 + [1300] * 33)]

@@ -20,10 +20,12 @@ empty; texts under 200 bytes lose nothing; a row without an id counts as the lea
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
@@ -51,9 +53,11 @@ def two_stage_sort(text: np.ndarray, starts: np.ndarray, width: int = WIDTH) ->
     padded = np.concatenate([text, np.zeros(1, np.uint8), np.full(width + 8, 255, np.uint8)])
     step = np.sign(padded[1 : n + 2].astype(np.int16) - padded[: n + 1])
     # a run of equal bytes goes the way of the byte that ends it
-    at = np.where(step != 0, np.arange(n + 1), n)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    at = np.where(step != 0, np.arange(n + 1, dtype=kind), kind(n))
     at = np.minimum.accumulate(at[::-1])[::-1]
     smaller = step[at] > 0
+    del step, at
     wanted = np.zeros(n + 1, bool)
     wanted[starts] = True
     # whatever is induced needs its successor, up to one that is sorted directly
@@ -65,12 +69,15 @@ def two_stage_sort(text: np.ndarray, starts: np.ndarray, width: int = WIDTH) ->
         edge = edge[~needed[edge]]
     direct = np.flatnonzero(needed & smaller)
     raw = padded.tobytes()
-    keys = [raw[p : p + width] for p in direct.tolist()]
-    direct = direct[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)] if len(keys) else direct
-    del keys
+    direct = direct[np.argsort(padded[direct], kind="stable")]
+    bounds = np.searchsorted(padded[direct], np.arange(257))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        # a first byte at a time, so only its keys are held
+        keys = [raw[p : p + width] for p in direct[a:b].tolist()]
+        direct[a:b] = direct[a:b][np.array(sorted(range(b - a), key=keys.__getitem__), np.int64)]
+    del raw
     induced = needed & ~smaller
     heads: list[list[np.ndarray]] = [[] for _ in range(256)]
-    bounds = np.searchsorted(padded[direct], np.arange(257))
     order: list[np.ndarray] = []
 
     def deal(scanned: np.ndarray, byte: int) -> np.ndarray:
@@ -196,61 +203,65 @@ def windows_on(width: int, gram: int, buckets: int):
     return work
 
 
+def segment_runs(keys: np.ndarray, counts: np.ndarray, lengths: np.ndarray, docs: np.ndarray, places: np.ndarray, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place, bytes) of what is repeated in segments, whose texts stand in `data` and whose places (`counts` each) in `docs` and `places`.
+
+    Equal segments have one key, so a block of whole keys needs nothing of other blocks.
+    """
+    begin, own = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    order = np.argsort(keys, kind="stable")
+    ends = np.flatnonzero(np.append(keys[order][1:] != keys[order][:-1], True)) + 1 if len(keys) else np.zeros(0, np.int64)
+    size = np.concatenate([[0], np.cumsum(lengths[order] - width + 1)])
+    out_d, out_p, out_w = array("q"), array("q"), array("q")
+    i = 0
+    while i < len(order):
+        # the least number of whole keys that has BLOCK window starts
+        j = int(ends[min(int(np.searchsorted(size[ends], size[i] + BLOCK)), len(ends) - 1)])
+        where: dict[bytes, list[int]] = {}
+        for k in order[i:j].tolist():
+            where.setdefault(data[begin[k] : begin[k + 1]], []).append(k)
+        for (text, same), hit in zip(where.items(), repeated_starts(list(where), width), strict=True):
+            at = [x for k in same for x in zip(docs[own[k] : own[k + 1]].tolist(), places[own[k] : own[k + 1]].tolist(), strict=True)]
+            if len(at) > 1:
+                runs = [(0, len(text))]
+            elif len(hit):
+                cut = np.flatnonzero(np.diff(hit) > width) + 1
+                runs = [(a, b + width - a) for a, b in zip(hit[np.append(0, cut)].tolist(), hit[np.append(cut - 1, len(hit) - 1)].tolist(), strict=True)]
+            else:
+                continue
+            for d, p in at:
+                for a, w in runs:
+                    out_d.append(d)
+                    out_p.append(p + a)
+                    out_w.append(w)
+        i = j
+    return np.array(out_d, np.int64), np.array(out_p, np.int64), np.array(out_w, np.int64)
+
+
 def settle_windows(moved: DataFrame, shelves: int, width: int) -> DataFrame:
     """(place, bytes) pairs of int64 by shelf: the runs of bytes that repeated windows cover."""
 
     def group(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in table.column_names}
-        rows = range(table.num_rows)
-        texts = [r for r in rows if cols["texts"][r] is not None]
+        # texts, most of a bucket, are copied once, into one buffer; Python objects are made of a block at a time
+        texts = pc.is_valid(table.column("texts")).to_pylist()
+        known = table.column("known").to_pylist()
+        raw = lambda c, some: b"".join([x.as_py() for x, s in zip(table.column(c), some, strict=True) if s])
+        cat = lambda c, some, kind: np.frombuffer(raw(c, some), kind)
         docs, places, widths = [], [], []
         # hot anchors: windows by their hash
-        plain = [r for r in rows if cols["texts"][r] is None]
-        cat = lambda c, some, kind: np.frombuffer(b"".join([cols[c][r] for r in some]), kind)
-        known, asked = [r for r in plain if cols["known"][r]], [r for r in plain if not cols["known"][r]]
+        settled, asked = [k and not t for k, t in zip(known, texts, strict=True)], [not k and not t for k, t in zip(known, texts, strict=True)]
         keys, at, counts = cat("keys", asked, np.uint64), cat("places", asked, np.int64), cat("counts", asked, np.int32)
         _, back = np.unique(keys, return_inverse=True)
         total = np.bincount(back, weights=counts) if len(keys) else np.zeros(0)
         keep = (total[back] > 1) & (at >= 0) if len(keys) else np.zeros(0, bool)
-        for d, p in ((cat("docs", asked, np.int64)[keep], at[keep]), (cat("docs", known, np.int64), cat("places", known, np.int64))):
+        for d, p in ((cat("docs", asked, np.int64)[keep], at[keep]), (cat("docs", settled, np.int64), cat("places", settled, np.int64))):
             docs.append(d)
             places.append(p)
             widths.append(np.full(len(d), width, np.int64))
         # segments: by suffix arrays over whole anchors
-        where: dict[tuple[int, bytes], list] = {}
-        for r in texts:
-            key, n, length = np.frombuffer(cols["keys"][r], np.uint64).tolist(), np.frombuffer(cols["counts"][r], np.int32).tolist(), np.frombuffer(cols["lengths"][r], np.int64).tolist()
-            own = list(zip(np.frombuffer(cols["docs"][r], np.int64).tolist(), np.frombuffer(cols["places"][r], np.int64).tolist(), strict=True))
-            t, o = 0, 0
-            for k, c, size in zip(key, n, length, strict=True):
-                where.setdefault((k, cols["texts"][r][t : t + size]), []).extend(own[o : o + c])
-                t, o = t + size, o + c
-        items = sorted(where.items(), key=lambda x: x[0][0])
-        del where
-        i = 0
-        out_d, out_p, out_w = [], [], []
-        while i < len(items):
-            j, size = i, 0
-            while j < len(items) and (size < BLOCK or items[j][0][0] == items[j - 1][0][0]):
-                size += len(items[j][0][1]) - width + 1
-                j += 1
-            for ((_, text), own), hit in zip(items[i:j], repeated_starts([t for (_, t), _ in items[i:j]], width), strict=True):
-                if len(own) > 1:
-                    runs = [(0, len(text))]
-                elif len(hit):
-                    cut = np.flatnonzero(np.diff(hit) > width) + 1
-                    runs = [(a, b + width - a) for a, b in zip(hit[np.append(0, cut)].tolist(), hit[np.append(cut - 1, len(hit) - 1)].tolist(), strict=True)]
-                else:
-                    continue
-                for d, p in own:
-                    for a, w in runs:
-                        out_d.append(d)
-                        out_p.append(p + a)
-                        out_w.append(w)
-            i = j
-        docs.append(np.array(out_d, np.int64))
-        places.append(np.array(out_p, np.int64))
-        widths.append(np.array(out_w, np.int64))
+        found = segment_runs(cat("keys", texts, np.uint64), cat("counts", texts, np.int32), cat("lengths", texts, np.int64), cat("docs", texts, np.int64), cat("places", texts, np.int64), raw("texts", texts), width)
+        for some, x in zip((docs, places, widths), found, strict=True):
+            some.append(x)
         docs, places, widths = np.concatenate(docs), np.concatenate(places), np.concatenate(widths)
         return on_shelves(docs, np.stack([places, widths], axis=1), shelves)
 

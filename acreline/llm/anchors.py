@@ -116,14 +116,27 @@ class Places:
         return got
 
 
+def joined_runs(docs: np.ndarray, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place, length) of the runs that stretches of `width` at these places cover; those that touch are one run."""
+    order = np.lexsort((places, docs))
+    docs, places = docs[order], places[order]
+    new = np.append(True, (docs[1:] != docs[:-1]) | (places[1:] - places[:-1] > width))[: len(docs)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(docs))[: len(first)] - 1
+    return docs[first], places[first], places[last] - places[first] + width
+
+
 class Sender:
-    """Gathers (key, doc, place) and packs them into rows by bucket."""
+    """Gathers (key, doc, place) and packs them into rows by bucket.
+
+    With `width` keys are those of stretches so long, and places that are settled here go as
+    runs, with their lengths as counts.
+    """
 
-    def __init__(self, buckets: int, later: bool) -> None:
-        self.buckets, self.later = buckets, later
+    def __init__(self, buckets: int, later: bool, width: int | None = None) -> None:
+        self.buckets, self.later, self.width = buckets, later, width
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n = 0
-        self.turn = 0
 
     def add(self, keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(keys):
@@ -148,11 +161,14 @@ class Sender:
             known = np.repeat(counts > 1, counts)
         rows: list[tuple] = []
         if known.any():
-            # what is settled here passes through any bucket
-            d, p = docs[known], places[known]
-            for at in range(0, len(d), 50_000):
-                self.turn += 1
-                rows.append(((int(keys[0]) + self.turn) % self.buckets, True, b"", d[at : at + 50_000].tobytes(), p[at : at + 50_000].tobytes(), b""))
+            d, p, w = docs[known], places[known], np.zeros(0, np.int32)
+            if self.width is not None:
+                d, p, w = joined_runs(d, p, self.width)
+                w = w.astype(np.int32)
+            # what is settled here passes through any bucket; places differ from task to task, where the least keys may be the same in all
+            turn = zlib.crc32(p.tobytes(), zlib.crc32(d.tobytes()))
+            for i, at in enumerate(range(0, len(d), 50_000)):
+                rows.append(((turn + i) % self.buckets, True, b"", d[at : at + 50_000].tobytes(), p[at : at + 50_000].tobytes(), w[at : at + 50_000].tobytes()))
         keys, docs, places = keys[first], docs[first], places[first].copy()
         if not self.later:
             places[counts > 1] = -1

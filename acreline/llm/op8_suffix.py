@@ -9,9 +9,9 @@
    in order. Neighbours whose common prefix reaches 200 bytes are repeats, and so are all
    windows of a segment that stands at two places.
 3. An anchor that occurs more than HOT_ANCHOR times would fill a block with its contexts;
-   its windows are counted by their hash instead (each task sending a hash once), which
-   needs no group to be together. Such anchors are told to every shelf, so all windows of
-   one go the same way. Nothing is capped on either way.
+   its windows are counted by their hash instead (each task sending a hash once, and what
+   repeats within the task as runs), which needs no group to be together. Such anchors are
+   told to every shelf, so all windows of one go the same way. Nothing is capped on either way.
 
 Removed is each byte that a repeated window covers, judged on the input. Null texts are
 empty; texts under 200 bytes lose nothing; a row without an id counts as the least id.
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from acreline.llm.anchors import FOUND, SENT, SENT_SCHEMA, Layout, Places, Sender, Slice, on_shelves, sender, settle, shelf_slices, shelved, with_found
+from acreline.llm.anchors import FOUND, SENT, SENT_SCHEMA, Layout, Places, Sender, Slice, joined_runs, on_shelves, sender, settle, shelf_slices, shelved, with_found
 from acreline.llm.common import byte_values, minimizers, prefix_sums, rolling, sliding
 from acreline.llm.op2_substring import gather
 
@@ -168,7 +168,7 @@ def windows_on(width: int, gram: int, buckets: int):
         return pa.RecordBatch.from_arrays([*batch.columns, none, none], schema=_PAIR)
 
     def work(docs: pa.Table, found: pa.Table) -> pa.Table:
-        places, hashes, held, batches = Places(found), Sender(buckets, False), {}, []
+        places, hashes, held, batches = Places(found), Sender(buckets, False, width), {}, []
         top = np.iinfo(np.uint64).max
         for rows in shelf_slices(docs):
             sums = prefix_sums(byte_values(rows.data))
@@ -247,22 +247,17 @@ def settle_windows(moved: DataFrame, shelves: int, width: int) -> DataFrame:
         known = table.column("known").to_pylist()
         raw = lambda c, some: b"".join([x.as_py() for x, s in zip(table.column(c), some, strict=True) if s])
         cat = lambda c, some, kind: np.frombuffer(raw(c, some), kind)
-        docs, places, widths = [], [], []
         # hot anchors: windows by their hash
         settled, asked = [k and not t for k, t in zip(known, texts, strict=True)], [not k and not t for k, t in zip(known, texts, strict=True)]
         keys, at, counts = cat("keys", asked, np.uint64), cat("places", asked, np.int64), cat("counts", asked, np.int32)
         _, back = np.unique(keys, return_inverse=True)
         total = np.bincount(back, weights=counts) if len(keys) else np.zeros(0)
         keep = (total[back] > 1) & (at >= 0) if len(keys) else np.zeros(0, bool)
-        for d, p in ((cat("docs", asked, np.int64)[keep], at[keep]), (cat("docs", settled, np.int64), cat("places", settled, np.int64))):
-            docs.append(d)
-            places.append(p)
-            widths.append(np.full(len(d), width, np.int64))
+        asked_runs = joined_runs(cat("docs", asked, np.int64)[keep], at[keep], width)
+        settled_runs = cat("docs", settled, np.int64), cat("places", settled, np.int64), cat("counts", settled, np.int32)
         # segments: by suffix arrays over whole anchors
         found = segment_runs(cat("keys", texts, np.uint64), cat("counts", texts, np.int32), cat("lengths", texts, np.int64), cat("docs", texts, np.int64), cat("places", texts, np.int64), raw("texts", texts), width)
-        for some, x in zip((docs, places, widths), found, strict=True):
-            some.append(x)
-        docs, places, widths = np.concatenate(docs), np.concatenate(places), np.concatenate(widths)
+        docs, places, widths = (np.concatenate(x) for x in zip(asked_runs, settled_runs, found, strict=True))
         return on_shelves(docs, np.stack([places, widths], axis=1), shelves)
 
     return moved.groupBy("bucket").applyInArrow(group, FOUND)

@@ -6,11 +6,14 @@ table.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -346,29 +349,69 @@ def front_load(points: np.ndarray, order: np.ndarray, scores: np.ndarray, slots:
     return np.array(order)
 
 
+def route_order(points: np.ndarray, improve: bool = True) -> np.ndarray:
+    """Clusters by the nearest next centre and stops by the nearest next one in each, then shortened if asked for."""
+    k = clusters_of(points)
+    own = kmeans(points, k) if k > 1 else np.zeros(len(points), int)
+    centers = np.array([points[own == c].mean(axis=0) for c in np.unique(own)])
+    order: list[int] = []
+    for c in nearest_first(centers):
+        rows = np.flatnonzero(own == np.unique(own)[c])
+        start = int(miles(points[order[-1]], points[rows]).argmin()) if order else 0
+        order += rows[nearest_first(points[rows], start)].tolist()
+    path = np.array(order)
+    return improved(points, path) if improve else path
+
+
+def whole_routes(batches: Iterator[pa.RecordBatch], route: str, least: int = 50_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table, first row of each route and the number of rows) of sorted batches: tables of some ten thousand rows, none of which ends within a route."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+        if not held or (batch is not None and sum(b.num_rows for b in held) < least):
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        key, absent = table[route].fill_null(0).to_numpy(), table[route].is_null().to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (absent[1:] != absent[:-1])]))
+        # the last route may go on in the next batch
+        end = table.num_rows if batch is None else int(starts[-1])
+        held = table.slice(end).to_batches()
+        if end:
+            yield table.slice(0, end), np.append(starts[starts < end], end)
+        elif batch is not None:
+            least = 2 * table.num_rows
+
+
 def ordered_routes(stops: DataFrame, route: str = "route_id", improve: bool = True) -> DataFrame:
-    """route, id, seq (from 1) and miles of the whole path; stops have lat, lng and pos."""
+    """route, id, seq (from 1) and miles of the whole path; stops have lat, lng and pos.
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["pos", "id"])
-        points = group[["lat", "lng"]].to_numpy()
-        k = clusters_of(points)
-        own = kmeans(points, k) if k > 1 else np.zeros(len(points), int)
-        centers = np.array([points[own == c].mean(axis=0) for c in np.unique(own)])
-        order: list[int] = []
-        for c in nearest_first(centers):
-            rows = np.flatnonzero(own == np.unique(own)[c])
-            start = int(miles(points[order[-1]], points[rows]).argmin()) if order else 0
-            order += rows[nearest_first(points[rows], start)].tolist()
-        path = np.array(order)
-        if improve:
-            path = improved(points, path)
-        out = group.iloc[path][[route, "id"]].copy()
-        out["seq"] = np.arange(1, len(out) + 1, dtype=np.int32)
-        out["miles"] = path_miles(points[path])
-        return out
-
-    return stops.select(route, "pos", "id", "lat", "lng").groupBy(route).applyInPandas(one, f"{route} long, id long, seq int, miles double")
+    Routes of a few stops, which are nearly all, are ordered together with others of their length.
+    """
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from acreline.operators import short_routes
+
+        for table, bounds in whole_routes(batches, route):
+            points = np.column_stack([table["lat"].to_numpy(), table["lng"].to_numpy()])
+            starts, sizes = bounds[:-1], np.diff(bounds)
+            path, length = np.empty(len(points), np.int64), np.empty(len(points))
+            for n in np.unique(sizes).tolist():
+                rows = starts[sizes == n][:, None] + np.arange(n)
+                if n <= short_routes.MOST:
+                    order, far = short_routes.ordered(points[rows], improve)
+                    path[rows], length[rows] = np.take_along_axis(rows, order, axis=1), far[:, None]
+                    continue
+                for at in rows:
+                    order = route_order(points[at], improve)
+                    path[at], length[at] = at[order], path_miles(points[at[order]])
+            seq = (np.arange(len(points)) - np.repeat(starts, sizes) + 1).astype(np.int32)
+            out = pa.table({route: table[route], "id": table["id"].take(pa.array(path)), "seq": pa.array(seq), "miles": pa.array(length)})
+            yield from out.combine_chunks().to_batches(max_chunksize=50_000)
+
+    # few bytes but much work a route: a stated number of partitions isn't merged by size
+    dealt = stops.select(route, "pos", "id", "lat", "lng").repartition(int(stops.sparkSession.conf.get("spark.sql.shuffle.partitions")), route)
+    return dealt.sortWithinPartitions(route, "pos", "id").select(route, "id", "lat", "lng").mapInArrow(some, f"{route} long, id long, seq int, miles double")
 
 
 def boustrophedon(props: DataFrame, group: str = "zip_code") -> DataFrame:

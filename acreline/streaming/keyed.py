@@ -62,7 +62,8 @@ class Ageing(StatefulProcessor):
         self.confirmed = handle.getValueState("confirmed", "until long")
 
     def _due(self, at: int, arrived: int) -> int:
-        return max(at + self.keep, arrived)
+        # a timer goes off at its own time too, when an item is `keep` ms old and not yet older
+        return max(at + self.keep + 1, arrived)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         if key[0] is None:

@@ -61,6 +61,16 @@ def test_ageing_forgets_its_keys(spark, tmp_path):
     assert max(held) > 0 and held[-1] < max(held)
 
 
+def test_ageing_keeps_what_is_as_old_as_it_may_be(spark, tmp_path):
+    kind = "key string, id long, confirms boolean, at string, arrived string"
+    day = 24 * 60
+    first = [("older", 1, False, at(-1), at(0)), ("as old", 2, False, at(0), at(0)), ("younger", 3, False, at(1), at(0))]
+    rows = deliveries(spark, tmp_path / "in", kind, first, [(None, None, False, at(0), at(5 * day))])
+    rows = rows.withColumns({c: F.col(c).cast("timestamp") for c in ("at", "arrived")})
+    got, _ = drain(keyed.aged_out(rows, 3 * keyed.DAY, "2 days"), tmp_path, spark)  # the clock stops at three days
+    assert got == [("older", 1)]
+
+
 def test_statuses_settle_in_order(spark, tmp_path):
     kind = "key long, at string, number long, status string"
     late = [(1, at(10), 3, "CALLBACK"), (1, at(4), 1, "QUALIFIED"), (1, at(4), 2, "HARD_NO")]

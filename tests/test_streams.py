@@ -241,3 +241,20 @@ def counted(request):
     return Answer(200, {"X-Total-Count": "25" if request["lat"] == 0 else "0"}, [])
 
 
+def test_service_looks_at_a_table_in_batches(spark, tmp_path, monkeypatch):
+    """A count read the whole table and made lists of all its rows in the driver's process."""
+    from acreline.sources import orders_service as service
+
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    rows = {r.o_orderkey: r for r in orders.filter("o_orderstatus = 'F' AND o_orderdate >= '1996-01-01'").collect()}
+    orders.repartition(5).write.parquet(str(tmp_path / "orders.parquet"))  # in no order, several files
+    monkeypatch.setattr(service, "ROWS", 64)
+    monkeypatch.setattr(service, "_records", None)
+    of = {"table": str(tmp_path / "orders.parquet"), "kind": "deed_records", "zip": "29607", "since": "1996-01-01"}
+    want = sorted(k for k, r in rows.items() if r.o_custkey % 40 == 7)
+    counted = service.fetch({**of, "offset": 0, "limit": 5, "count": True})
+    assert counted.headers == {"X-Total-Count": str(len(want))} and [r[0] for r in counted.records] == want[:5]
+    monkeypatch.undo()
+    got = [r for at in range(0, len(want) + 4, 4) for r in service.fetch({**of, "offset": at, "limit": 4}).records]
+    assert [r[0] for r in got] == want
+    assert all(r[1:3] == (f"H{r[0]}", "29607") and r[5] is None and r[6] == rows[r[0]].o_totalprice and r[7] == rows[r[0]].o_orderdate for r in got)

@@ -14,6 +14,7 @@ sink has got to, and what the sink has taken is acknowledged to the service.
 from __future__ import annotations
 
 import importlib
+import itertools
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
@@ -24,8 +25,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 #: Seconds between tries, and records of a page: fixed values of the service.
 WAITS = (5, 10, 20)
 LIMIT = 500
-#: Pages that a batch of the stream takes at most.
+#: Pages that the first batch of a stream takes; without a number given each one after it takes as many again as all before it.
 PAGES = 4
+#: Tasks that the pages of a read or of a batch are dealt to at most: a task reads pages that follow each other.
+TASKS = 256
 PHASES = ("deed_records", "listings_records")
 SCHEMA = "id long, address_hash string, zip_code string, lat double, lng double, miles double, price double, sold_date timestamp"
 
@@ -64,19 +67,25 @@ def ask(call: Callable[[dict], Answer | None], request: dict, waits: Sequence[fl
 
 
 class Page(InputPartition):
-    def __init__(self, request: dict, records: list | None = None, keep: int | None = None) -> None:
+    """So many pages from a request's on; of the first its records, if they are here already, and of all no more than `keep`."""
+
+    def __init__(self, request: dict, records: list | None = None, keep: int | None = None, pages: int = 1) -> None:
         super().__init__(json.dumps(request))
-        self.request, self.records, self.keep = request, records, keep
+        self.request, self.records, self.keep, self.pages = request, records, keep, pages
 
 
 def rows_of(page: Page, fetch: Callable) -> Iterator[tuple]:
-    records = page.records
-    if records is None:
-        got = ask(fetch, page.request)
-        if got.status not in (200, 401):
-            raise OSError(f"the service answered {got.status} to {page.request}")
-        records = got.records
-    yield from map(tuple, records[: page.keep])
+    left = page.keep
+    for i in range(page.pages):
+        records = page.records if i == 0 else None
+        if records is None:
+            request = {**page.request, "offset": page.request["offset"] + i * page.request["limit"]}
+            got = ask(fetch, request)
+            if got.status not in (200, 401):
+                raise OSError(f"the service answered {got.status} to {request}")
+            records = got.records
+        yield from map(tuple, records[:left])
+        left = None if left is None else max(0, left - len(records))
 
 
 class RecordReader(DataSourceReader):
@@ -109,21 +118,25 @@ class RecordReader(DataSourceReader):
         total = int(first.headers.get("X-Total-Count", len(first.records)))
         total = total if self.cap is None else min(total, self.cap)
         # the first page is here already: its records travel with its task
-        return [Page(self.request(0), first.records, total)] + [Page(self.request(at), None, total - at) for at in range(self.limit, total, self.limit)]
+        pages = -(-total // self.limit) - 1
+        each = max(1, -(-pages // TASKS))
+        later = range(1, pages + 1, each)
+        return [Page(self.request(0), first.records, total)] + [Page(self.request(i * self.limit), None, total - i * self.limit, min(each, pages + 1 - i)) for i in later]
 
     def read(self, partition: Page) -> Iterator[tuple]:
         yield from rows_of(partition, named(self.fetch))
 
 
 class PullReader(DataSourceStreamReader):
-    """Options: fetch; circles ([[lat, lng, radius], ...] as JSON); phases, since, limit, pages; ack (called with an offset that the sink has taken)."""
+    """Options: fetch; circles ([[lat, lng, radius], ...] as JSON); phases, since, limit, pages (of each batch; by default they grow); ack (called with an offset that the sink has taken)."""
 
     def __init__(self, options: dict) -> None:
         options = {k.lower(): v for k, v in options.items()}
         self.fetch, self.ack = options.pop("fetch"), options.pop("ack", None)
         self.circles = json.loads(options.pop("circles"))
         self.phases = tuple(options.pop("phases", ",".join(PHASES)).split(","))
-        self.limit, self.pages = int(options.pop("limit", LIMIT)), int(options.pop("pages", PAGES))
+        self.limit, self.pages = int(options.pop("limit", LIMIT)), int(options.pop("pages", 0))
+        self.taken = 0
         self.options = options
         self.totals: dict[tuple[str, int], int] = {}
         self.at: dict | None = None
@@ -158,18 +171,26 @@ class PullReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:  # noqa: N802
         # a query that is started again plans its last batch first, so no place is known only in a new one
-        self.at = self._next(self.at or self.initialOffset(), self.pages)
+        at, pages = self.at or self.initialOffset(), self.pages or max(PAGES, self.taken)
+        self.at = self._next(at, pages)
+        here = self._total(at["phase"], at["circle"]) - at["offset"] if at["phase"] != "complete" else 0
+        self.taken += min(pages, -(-here // self.limit))
         return self.at
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         if self.at is None:
             self.at = end
-        out: list[InputPartition] = []
+        pages: list[dict] = []
         at = start
         while at != end and at["phase"] != "complete":
             if self._total(at["phase"], at["circle"]):
-                out.append(Page(self._request(**at)))
+                pages.append(at)
             at = self._next(at, 1)
+        each = max(1, -(-len(pages) // TASKS))
+        out: list[InputPartition] = []
+        for _, circle in itertools.groupby(pages, lambda p: (p["phase"], p["circle"])):
+            some = list(circle)
+            out += [Page(self._request(**some[i]), None, None, len(some[i : i + each])) for i in range(0, len(some), each)]
         return out
 
     def read(self, partition: Page) -> Iterator[tuple]:

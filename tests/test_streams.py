@@ -241,6 +241,40 @@ def counted(request):
     return Answer(200, {"X-Total-Count": "25" if request["lat"] == 0 else "0"}, [])
 
 
+def test_batches_of_a_pull_grow():
+    """Four pages a batch made a pull of 25,000 pages 6,250 batches, each with a rewrite of its table's buckets."""
+    reader = records.PullReader({"fetch": "tests.test_streams.many", "circles": "[[0, 0, 1], [1, 1, 1]]", "limit": "10"})
+    at, got, sizes = reader.initialOffset(), [], []
+    while at["phase"] != "complete":
+        end = reader.latestOffset()
+        tasks = reader.partitions(at, end)
+        assert len(tasks) <= records.TASKS
+        offsets = [(p.request["kind"], p.request["lat"], p.request["offset"] + 10 * i) for p in tasks for i in range(p.pages)]
+        got += offsets
+        sizes.append(len(offsets))
+        at = end
+    assert got == [(k, c, o) for k in records.PHASES for c in (0, 1) for o in range(0, 62_500, 10)]
+    assert sizes[:4] == [4, 4, 8, 16] and len(sizes) < 20
+
+
+def many(request):
+    return Answer(200, {"X-Total-Count": "62500"}, [])
+
+
+def ids(request):
+    """A service of 10,050 records that are their numbers."""
+    there = range(request["offset"], min(request["offset"] + request["limit"], 10_050))
+    return Answer(200, {"X-Total-Count": "10050"} if request.get("count") else {}, [(i,) for i in there])
+
+
+def test_pages_are_dealt_to_a_bounded_number_of_tasks():
+    for cap, n in ((None, 10_050), (9_001, 9_001), (7, 7)):
+        reader = records.RecordReader({"fetch": "tests.test_streams.ids", "limit": "10"} | ({"cap": str(cap)} if cap else {}))
+        tasks = reader.partitions()
+        assert len(tasks) <= records.TASKS + 1
+        assert [r for t in tasks for r in reader.read(t)] == [(i,) for i in range(n)]
+
+
 def test_service_looks_at_a_table_in_batches(spark, tmp_path, monkeypatch):
     """A count read the whole table and made lists of all its rows in the driver's process."""
     from acreline.sources import orders_service as service

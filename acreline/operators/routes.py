@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from acreline.functions import text
 
 TWO_OPT_MAX, TWO_OPT_PASSES = 300, 50
+#: Points of which each is held against all to find the nearest one left; more are looked at leaf by leaf.
+ALL_PAIRS = 1_500
 
 
 def miles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -35,6 +37,8 @@ def path_miles(points: np.ndarray) -> float:
 
 def nearest_first(points: np.ndarray, start: int = 0) -> np.ndarray:
     """Order by going to the nearest unvisited point, ties to the earlier row."""
+    if len(points) > ALL_PAIRS:
+        return nearest_left(points, start)
     left = np.ones(len(points), bool)
     order = [start]
     left[start] = False
@@ -45,6 +49,95 @@ def nearest_first(points: np.ndarray, start: int = 0) -> np.ndarray:
     return np.array(order)
 
 
+def cut_leaves(flat: np.ndarray, most: int) -> list[np.ndarray]:
+    """Row numbers of leaves of at most `most` points, cut at medians of the widest side."""
+    leaves, open_parts = [], [np.arange(len(flat))]
+    while open_parts:
+        part = open_parts.pop()
+        if len(part) <= most:
+            leaves.append(part)
+            continue
+        wide = int(np.ptp(flat[part], axis=0).argmax())
+        cut = np.argpartition(flat[part, wide], len(part) // 2)
+        open_parts += [part[cut[: len(part) // 2]], part[cut[len(part) // 2 :]]]
+    return leaves
+
+
+def nearest_left(points: np.ndarray, start: int = 0, leaf: int = 48, group: int = 48, listed: int = 10) -> np.ndarray:
+    """The order of nearest_first without a look at all pairs: lists of neighbours, and where all of a list are visited, leaves that still hold points.
+
+    Distances of lists and boxes are in space, where a straight line grows with the miles on the
+    sphere, so a leaf whose box is farther than the best point holds no nearer one.
+    """
+    n = len(points)
+    lat, lng = np.radians(points).T
+    space = np.column_stack([np.cos(lat) * np.cos(lng), np.cos(lat) * np.sin(lng), np.sin(lat)])
+    near = near_rows(space, listed)
+    far = miles(points[:, None], points[near])
+    by = np.lexsort((near, far), axis=1)
+    near, far = np.take_along_axis(near, by, axis=1), np.take_along_axis(far, by, axis=1)
+    # what isn't listed is as far as the last one listed at least, but for rounding
+    sure = far < (far[:, -1:] * (1 - 1e-9) - 1e-12)
+    leaves = cut_leaves(space, leaf)
+    own = np.empty(n, np.int64)
+    for i, x in enumerate(leaves):
+        own[x] = i
+    low, high = (np.array([f(space[x], axis=0) for x in leaves]) for f in (np.min, np.max))
+    # leaves follow each other as they were cut, so neighbours in the list are neighbours on the map
+    firsts = range(0, len(leaves), group)
+    low_of, high_of = (np.array([f(x[i : i + group], axis=0) for i in firsts]) for x, f in ((low, np.min), (high, np.max)))
+    count, count_of = [len(x) for x in leaves], [sum(len(x) for x in leaves[i : i + group]) for i in firsts]
+    nowhere = 9.0
+
+    def away(here: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        gap = np.maximum(0, np.maximum(a - here, here - b))
+        return (gap * gap).sum(axis=1)
+
+    def search(at: int) -> int:
+        here, spot = space[at], points[at]
+        best, chosen, bound = np.inf, -1, np.inf
+
+        def look(k: int) -> None:
+            nonlocal best, chosen, bound
+            some = leaves[k] = leaves[k][left[leaves[k]]]
+            d = miles(spot, points[some])
+            nearest = float(d.min())
+            if nearest <= best:
+                row = int(some[d == nearest].min())
+                best, chosen = nearest, row if nearest < best else min(row, chosen)
+                # a little more than the line of so many miles, for what rounding may do
+                bound = (2 * math.sin(best / 7918.0) * (1 + 1e-9) + 1e-12) ** 2
+
+        k = int(own[at])
+        if count[k]:
+            look(k)
+        groups = away(here, low_of, high_of)
+        for j in np.argsort(groups, kind="stable").tolist() if chosen < 0 else np.flatnonzero(groups <= bound).tolist():
+            if groups[j] > bound:
+                continue
+            gap = away(here, low[j * group : (j + 1) * group], high[j * group : (j + 1) * group])
+            for i in np.flatnonzero(gap <= bound).tolist() if chosen >= 0 else np.argsort(gap, kind="stable").tolist():
+                if gap[i] <= bound and j * group + i != k and count[j * group + i]:
+                    look(j * group + i)
+        return chosen
+
+    order, left, at = np.empty(n, np.int64), np.ones(n, bool), start
+    for step in range(n):
+        order[step], left[at] = at, False
+        k = int(own[at])
+        count[k] -= 1
+        count_of[k // group] -= 1
+        if not count[k]:
+            low[k] = high[k] = nowhere
+        if not count_of[k // group]:
+            low_of[k // group] = high_of[k // group] = nowhere
+        if step + 1 < n:
+            open_ = left[near[at]]
+            first = int(open_.argmax())
+            at = int(near[at, first]) if open_[first] and sure[at, first] else search(at)
+    return order
+
+
 def next_nearest(points: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Order of visiting all points from a place, always the nearest next one on the plane."""
     left, order, here = np.ones(len(points), bool), [], start
@@ -141,23 +234,19 @@ def or_opt(points: np.ndarray, order: np.ndarray, passes: int = 30, least: float
 
 
 def nearest_lists(points: np.ndarray, k: int = 8, leaf: int = 64) -> np.ndarray:
-    """The k nearest other points of each on the plane, nearest first: n x min(k, n - 1) row numbers.
+    """The k nearest other points of each on the plane, nearest first: n x min(k, n - 1) row numbers."""
+    return near_rows(np.column_stack([points[:, 0], points[:, 1] * np.cos(np.radians(points[:, 0].mean()))]), k, leaf)
+
+
+def near_rows(flat: np.ndarray, k: int = 8, leaf: int = 64) -> np.ndarray:
+    """The k nearest other rows of each, nearest first: n x min(k, n - 1) row numbers.
 
     Points are cut at medians into leaves; a leaf looks only into leaves whose boxes are
     nearer than the farthest neighbour it has in itself, so no distance matrix is held.
     """
-    n = len(points)
+    n = len(flat)
     k = min(k, n - 1)
-    flat = np.column_stack([points[:, 0], points[:, 1] * np.cos(np.radians(points[:, 0].mean()))])
-    leaves, open_parts = [], [np.arange(n)]
-    while open_parts:
-        part = open_parts.pop()
-        if len(part) <= max(leaf, 2 * k + 1):
-            leaves.append(part)
-            continue
-        wide = int(np.ptp(flat[part], axis=0).argmax())
-        cut = np.argpartition(flat[part, wide], len(part) // 2)
-        open_parts += [part[cut[: len(part) // 2]], part[cut[len(part) // 2 :]]]
+    leaves = cut_leaves(flat, max(leaf, 2 * k + 1))
     low, high = (np.array([f(flat[part], axis=0) for part in leaves]) for f in (np.min, np.max))
 
     def among(rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -335,18 +424,41 @@ def hulls(rows: DataFrame, key: str, parts: int = 64) -> DataFrame:
     return cut.groupBy(key, "part").applyInPandas(one, kind).groupBy(key).applyInPandas(one, kind)
 
 
-def front_load(points: np.ndarray, order: np.ndarray, scores: np.ndarray, slots: int = 22, share: float = 0.3, extra: float = 0.12) -> np.ndarray:
-    """Best-scored stops among the first ones, while the path stays within `extra` more miles."""
-    limit = path_miles(points[order]) * (1 + extra)
-    top = set(np.argsort(-scores, kind="stable")[: max(1, int(len(order) * share))].tolist())
-    order = list(order)
-    for i in [i for i in range(slots, len(order)) if order[i] in top]:
-        for at in range(1, min(slots, i)):
-            moved = order[:at] + [order[i]] + order[at:i] + order[i + 1 :]
-            if order[at] not in top and path_miles(points[moved]) <= limit:
-                order = moved
-                break
-    return np.array(order)
+def front_load(points: np.ndarray, order: np.ndarray, scores: np.ndarray, slots: int = 22, share: float = 0.3, extra: float = 0.12, block: int = 4096) -> np.ndarray:
+    """Best-scored stops among the first ones, while the path stays within `extra` more miles.
+
+    What a move adds is told from the stops beside its two places, for a block of stops at once;
+    the path is measured as a whole when a stop has moved.
+    """
+    order = np.array(order)
+    now = path_miles(points[order])
+    limit = now * (1 + extra)
+    top = np.zeros(len(order), bool)
+    top[np.argsort(-scores, kind="stable")[: max(1, int(len(order) * share))]] = True
+    waiting = slots + np.flatnonzero(top[order[slots:]])
+    at = 0
+    # a stop that moves leaves all behind it where they are
+    while at < len(waiting):
+        places = 1 + np.flatnonzero(~top[order[1:slots]])
+        if not len(places):
+            break
+        some = waiting[at : at + block]
+        here, before = points[order[some]], points[order[some - 1]]
+        ends = some + 1 == len(order)
+        after = points[order[np.where(ends, some, some + 1)]]
+        saved = miles(before, here) + np.where(ends, 0, miles(here, after) - miles(before, after))
+        a, b = points[order[places - 1]], points[order[places]]
+        more = miles(a[None], here[:, None]) + miles(here[:, None], b[None]) - miles(a, b)[None] - saved[:, None]
+        fits = now + more <= limit
+        which = np.flatnonzero(fits.any(axis=1))
+        if not len(which):
+            at += len(some)
+            continue
+        i, to = int(some[which[0]]), int(places[fits[which[0]].argmax()])
+        order[to : i + 1] = np.roll(order[to : i + 1], 1)
+        now = path_miles(points[order])
+        at += int(which[0]) + 1
+    return order
 
 
 def route_order(points: np.ndarray, improve: bool = True) -> np.ndarray:

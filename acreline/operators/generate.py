@@ -31,11 +31,14 @@ def _written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def parts(rows: DataFrame, owner: str, most: int = PART) -> DataFrame:
+def parts(rows: DataFrame, owner: str, most: int = PART, each: int = 1) -> DataFrame:
     """id, owner, lat, lng, part: parts of `most` rows or so, halved at the bin of a histogram nearest the median of their wider side.
 
-    A part whose rows all stand in one place is cut by a hash of the id and of what it was cut by before.
+    The lower half gets a multiple of `each` rows, so that of an owner's parts one at most has a
+    rest: the few rows that make it so, those next to the bin's end by place and id, change sides. A part
+    whose rows all stand in one place is halved by a hash of the id and of what it was cut by before.
     """
+    most = max(most, each)
     at = _written(rows.select("id", owner, "lat", "lng", F.col(owner).cast("string").alias("part")), "parts")
     while True:
         sizes = at.groupBy("part").agg(F.count("*").alias("n"), F.min("lat").alias("s"), F.max("lat").alias("n_"), F.min("lng").alias("w"), F.max("lng").alias("e"))
@@ -44,15 +47,30 @@ def parts(rows: DataFrame, owner: str, most: int = PART) -> DataFrame:
         large = _written(large, "large")
         if not large.limit(1).count():
             return at
-        met = at.join(large, "part", "left")
-        spot = F.when(F.col("wide"), F.col("lng")).otherwise(F.col("lat"))
-        bin_ = F.when(F.col("high") > F.col("low"), F.least(F.lit(BINS - 1), F.floor((spot - F.col("low")) / (F.col("high") - F.col("low")) * BINS))).cast("int")
-        counted = met.filter("n IS NOT NULL").groupBy("part", "n", bin_.alias("bin")).agg(F.count("*").alias("k")).filter("bin IS NOT NULL")
-        up_to = F.sum("k").over(Window.partitionBy("part").orderBy("bin"))  # at most BINS rows a part
-        cut = counted.withColumn("upto", up_to).filter("upto * 2 >= n").groupBy("part").agg(F.least(F.min("bin"), F.lit(BINS - 2)).alias("cut"))
-        side = F.when(F.col("cut").isNotNull(), F.when(bin_ > F.col("cut"), "1").otherwise("0")).otherwise(F.pmod(F.xxhash64("id", "part"), F.ceil(F.col("n") / most)).cast("string"))
-        half = F.when(F.col("n").isNull(), F.col("part")).otherwise(F.concat("part", F.lit("."), side))
-        at = _written(met.join(cut, "part", "left").select("id", owner, "lat", "lng", half.alias("part")), "parts")
+        apart = F.coalesce(F.col("high") > F.col("low"), F.lit(False))
+        spot = F.when(apart, F.coalesce(F.when(F.col("wide"), F.col("lng")).otherwise(F.col("lat")), "low")).otherwise(F.pmod(F.xxhash64("id", "part"), F.lit(1 << 20)).cast("double"))
+        share = F.when(apart, (F.col("spot") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(F.col("spot") / (1 << 20))
+        met = at.join(large, "part", "left").withColumn("spot", spot).withColumn("bin", F.least(F.lit(BINS - 1), F.floor(share * BINS)).cast("int"))
+        # at most BINS rows a part from here
+        of = Window.partitionBy("part")
+        counted = met.filter("n IS NOT NULL").groupBy("part", "n", "bin").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(of.orderBy("bin")))
+        counted = counted.withColumn("cut", F.least(F.min(F.when(F.col("upto") * 2 >= F.col("n"), F.col("bin"))).over(of), F.lit(BINS - 2)))
+        counted = counted.withColumn("below", F.sum(F.when(F.col("bin") <= F.col("cut"), F.col("k")).otherwise(0)).over(of))
+        # to the nearer multiple rows go up, or down; no half is left without rows
+        rest = F.col("below") % each
+        up = (F.col("below") >= each) & ((rest * 2 <= each) | (F.col("below") - rest + each >= F.col("n")))
+        counted = counted.withColumn("moves", F.when(up, rest).otherwise(each - rest))
+        first = F.max(F.when((F.col("bin") <= F.col("cut")) & (F.col("below") - F.col("upto") + F.col("k") >= F.col("moves")), F.col("bin")))
+        last = F.min(F.when((F.col("bin") > F.col("cut")) & (F.col("upto") >= F.col("below") + F.col("moves")), F.col("bin")))
+        cuts = counted.groupBy("part", "cut", "moves", up.alias("up")).agg(first.alias("first"), last.alias("last"))
+        met = met.join(cuts, "part", "left")
+        turned = lambda c: F.when(F.col("up"), -F.col(c)).otherwise(F.col(c))
+        near = met.filter("moves > 0 AND CASE WHEN up THEN bin BETWEEN first AND cut ELSE bin BETWEEN cut + 1 AND last END").withColumn("nth", F.row_number().over(of.orderBy(turned("spot"), turned("id"))))
+        edge = near.filter((F.col("nth") <= each) & (F.col("nth") == F.col("moves"))).select("part", F.struct("spot", "id").alias("edge"))
+        place = F.struct("spot", "id")
+        above = F.when(F.col("edge").isNull(), F.col("bin") > F.col("cut")).when(F.col("up"), place >= F.col("edge")).otherwise(place > F.col("edge"))
+        half = F.when(F.col("n").isNull(), F.col("part")).otherwise(F.concat("part", F.when(above, ".1").otherwise(".0")))
+        at = _written(met.join(edge, "part", "left").select("id", owner, "lat", "lng", half.alias("part")), "parts")
 
 
 def leaves(lat: np.ndarray, lng: np.ndarray, most: int) -> np.ndarray:
@@ -74,7 +92,7 @@ def leaves(lat: np.ndarray, lng: np.ndarray, most: int) -> np.ndarray:
 
 
 def compact(rows: DataFrame, owner: str, most: int = MOST, part: int = PART) -> DataFrame:
-    """id, owner, route: compact routes of at most `most` rows, each row on one. rows: id, owner, lat, lng."""
+    """id, owner, route: compact routes of at most `most` rows, as few as can be, each row on one. rows: id, owner, lat, lng."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
@@ -82,7 +100,7 @@ def compact(rows: DataFrame, owner: str, most: int = MOST, part: int = PART) ->
         return pd.DataFrame({"id": group["id"], owner: group[owner], "route": group["part"] + "/" + pd.Series(leaf, group.index).astype(str)})
 
     kind = rows.schema[owner].dataType.simpleString()
-    return parts(rows, owner, part).groupBy("part").applyInPandas(one, f"id long, {owner} {kind}, route string")
+    return parts(rows, owner, part, most).groupBy("part").applyInPandas(one, f"id long, {owner} {kind}, route string")
 
 
 def street_walk(numbers: np.ndarray, points: np.ndarray, backwards: bool) -> np.ndarray:

@@ -79,6 +79,16 @@ def test_compact_routes_hold_each_door_once(spark):
     assert spread.median() < 0.02  # a town alone is three times as wide
 
 
+@pytest.mark.parametrize(("most", "part"), [(40, 300), (7, 50), (25, 25), (90, 60)])
+def test_compact_routes_are_as_few_as_can_be(spark, most, part):
+    rows = doors(spark)
+    rows.loc[2000:2001, ["lat", "lng"]] = 80.0, 170.0  # two far away: nearly all others are in one bin
+    got = generate.compact(spark.createDataFrame(rows), "owner", most, part=part).toPandas()
+    assert sorted(got["id"]) == rows["id"].tolist()
+    assert got.groupby("route").size().max() <= most
+    assert got.groupby("owner")["route"].nunique().to_dict() == {o: -(-n // most) for o, n in rows.groupby("owner").size().items()}
+
+
 def test_generated_routes(spark):
     t = Tables(spark, SF)
     as_of = F.lit(AS_OF).cast("timestamp")

@@ -59,24 +59,32 @@ def quality(props: DataFrame) -> DataFrame:
 def heat(props: DataFrame, as_of: Column) -> DataFrame:
     """props with heat: sales of a year in the own and neighbouring cells, fading by the day; one within 0.1 mile adds a boost.
 
-    Sales are summed per cell and cells over their neighbours before a property meets them. For
-    the boost distinct places of sales and properties meet on a grid not much wider than the 0.1 mile
-    (up to 68 degrees of latitude).
+    Sales are summed per cell and cells over their neighbours before a property meets them. A cell
+    also tells in which of its sixteen parts something was sold, as places of one part are within
+    0.1 mile. Only places in parts without a sale are held against single places of sales, on
+    a grid not much wider than the 0.1 mile (up to 68 degrees of latitude).
     """
     row, col = geo.cell(F.col("lat"), F.col("lng"))
     age = fractional_days(as_of, F.col("sold_date"))
     sales = props.filter(F.col("sold_date").isNotNull()).withColumn("age", age).filter(f"age BETWEEN 0 AND {HEAT_DAYS}").select("lat", "lng", "age")
-    cells = sales.groupBy(row.alias("r"), col.alias("c")).agg(F.sum(F.exp(F.col("age") * -HEAT_DECAY)).alias("w"))
-    around = cells.select("w", F.inline(geo.ring(F.col("r"), F.col("c")))).groupBy("r", "c").agg(F.sum("w").alias("raw"))
+    quarter = lambda at, cell: F.greatest(F.lit(0), F.least(F.lit(3), F.floor((at - cell * geo.HEAT_CELL) / (geo.HEAT_CELL / 4)))).cast("int")
+    part = quarter(F.col("lat"), row) * 4 + quarter(F.col("lng"), col)
+    cells = sales.groupBy(row.alias("r"), col.alias("c")).agg(F.sum(F.exp(F.col("age") * -HEAT_DECAY)).alias("w"), F.bit_or(F.call_function("shiftleft", F.lit(1), part)).alias("parts"))
+    spread = cells.select("w", "parts", F.col("r").alias("own_r"), F.col("c").alias("own_c"), F.inline(geo.ring(F.col("r"), F.col("c"))))
+    own = F.when((F.col("r") == F.col("own_r")) & (F.col("c") == F.col("own_c")), F.col("parts")).otherwise(0)
+    around = spread.groupBy("r", "c").agg(F.sum("w").alias("raw"), F.bit_or(own).alias("parts"))
+    beside = F.coalesce(F.bit_get("parts", part), F.lit(0)) == 1
     fine = lambda: (F.floor(F.col("lat") / 0.0015).alias("r"), F.floor(F.col("lng") / 0.004).alias("c"))
+    met = lambda rows: rows.withColumns({"r": row, "c": col}).join(around, ["r", "c"], "left").withColumn("beside", beside)
+    # without any sale around there is none within 0.1 mile
+    homes = met(props.select("lat", "lng")).filter("NOT beside AND raw IS NOT NULL").select("lat", "lng").distinct()
+    homes = homes.select("lat", "lng", F.inline(geo.ring(*fine())))
     places = sales.select("lat", "lng").distinct().select(F.col("lat").alias("slat"), F.col("lng").alias("slng"), *fine())
-    places = places.select("slat", "slng", F.inline(geo.ring(F.col("r"), F.col("c"))))
     far = geo.haversine_miles(F.col("lat"), F.col("lng"), F.col("slat"), F.col("slng"))
-    homes = props.select("lat", "lng").distinct().select("lat", "lng", *fine())
     near = homes.join(places, ["r", "c"]).filter(far <= HEAT_MILES).select("lat", "lng").distinct().withColumn("near", F.lit(True))
     warm = F.lit(1.0) - F.exp(-F.col("raw"))
-    joined = props.withColumns({"r": row, "c": col}).join(around, ["r", "c"], "left").join(near, ["lat", "lng"], "left")
-    value = F.coalesce(F.when(F.col("near"), F.least(F.lit(1.0), warm * HEAT_BOOST)).otherwise(warm), F.lit(0.0))
+    joined = met(props).join(near, ["lat", "lng"], "left")
+    value = F.coalesce(F.when(F.col("beside") | F.col("near"), F.least(F.lit(1.0), warm * HEAT_BOOST)).otherwise(warm), F.lit(0.0))
     return joined.select(*props.columns, value.alias("heat"))
 
 

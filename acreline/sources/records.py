@@ -28,7 +28,7 @@ LIMIT = 500
 #: Pages that the first batch of a stream takes; without a number given each one after it takes as many again as all before it.
 PAGES = 4
 #: Tasks that the pages of a read or of a batch are dealt to at most: a task reads pages that follow each other.
-TASKS = 256
+TASKS = 64
 PHASES = ("deed_records", "listings_records")
 SCHEMA = "id long, address_hash string, zip_code string, lat double, lng double, miles double, price double, sold_date timestamp"
 
